@@ -85,6 +85,15 @@ def is_number(v: Column, key: str) -> Column:
     return F.coalesce(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
 
 
+def scalar_text(v: Column, key: str) -> Column:
+    """Field as text the way a JSON reader shows it: fractional numbers are
+    floats (``462645.00`` -> ``462645.0``), integers and strings as they are."""
+    t = F.schema_of_variant(F.variant_get(v, _path(key), "variant"))
+    return (F.when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"),
+                   F.try_variant_get(v, _path(key), "double").cast("string"))
+            .otherwise(get_str(v, key)))
+
+
 def strip_ws(text: Column) -> Column:
     """Remove leading and trailing whitespace (not only spaces)."""
     return F.regexp_replace(text, "^\\s+|\\s+$", "")

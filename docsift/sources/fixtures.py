@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsift.sources.tables import register_tables
+from docsift.sources.tables import referenced_tables, register_tables
 
 LABEL_LOG = """
 select d.doc_id + 1 as line_no,
@@ -129,10 +129,12 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     The views are resolved when ``spark.sql`` analyses the text, so the
     returned DataFrame stays bound to ``sf_dir`` even if another directory is
-    registered later in the same session.
+    registered later in the same session. Narrow source scans are spread over
+    the task slots when registered (``tables.spread``).
     """
-    register_tables(spark, sf_dir)
-    return spark.sql(FIXTURES[name][0])
+    text = FIXTURES[name][0]
+    register_tables(spark, sf_dir, referenced_tables(text))
+    return spark.sql(text)
 
 
 def duckdb_cte(*names: str) -> str:

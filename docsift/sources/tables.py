@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,14 +12,49 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# view name -> path currently registered, per session
+_registered: dict[tuple[int, str], str] = {}
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return os.path.join(sf_dir, f"{name}.parquet")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def referenced_tables(sql: str) -> list[str]:
+    """Driver tables named after FROM / JOIN in ``sql``."""
+    names = re.findall(r"\b(?:from|join)\s+([a-z_]+)", sql, flags=re.IGNORECASE)
+    return [n for n in dict.fromkeys(n.lower() for n in names) if n in TABLES]
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Round-robin a scan that plans fewer tasks than the cluster has slots.
+
+    Small single-file tables scan as one task, which would leave every per-row
+    step (string building, JSON parsing, hashing) on one core. Large inputs
+    scan as many tasks and are returned unchanged, so they pay no shuffle.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+    """Register the named tables of ``sf_dir`` as temp views (once per path)."""
+    sid = id(spark._jsparkSession)
+    for name in names:
+        path = table_path(sf_dir, name)
+        if _registered.get((sid, name)) == path and spark.catalog.tableExists(name):
+            continue
+        if os.path.exists(path) or "://" in path:
+            spread(spark, spark.read.parquet(path)).createOrReplaceTempView(name)
+            _registered[(sid, name)] = path
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register every table present in ``sf_dir`` as a temp view of its own name."""
-    for name in TABLES:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
+def scan_partitions(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Number of scan tasks Spark plans for one table (planning only, no job)."""
+    return table(spark, sf_dir, name).rdd.getNumPartitions()
