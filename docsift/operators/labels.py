@@ -27,7 +27,11 @@ def parse_log(lines: DataFrame, line: str = "line", line_no: str = "line_no") ->
     """
     text = F.col(line)
     rec = J.parse_object(text)
-    parsed = lines.select(F.col(line_no).alias("line_no"), text.alias("line"), rec.alias("rec"))
+    # ``rec`` comes out of a one-element generator: Catalyst cannot push a
+    # predicate on it below the generator or copy the parse into each
+    # consumer, so every line is parsed exactly once, after any repartition.
+    parsed = lines.select(F.col(line_no).alias("line_no"), text.alias("line"),
+                          F.inline(F.array(F.struct(rec.alias("rec")))))
     status = (F.when(F.col("rec").isNotNull(),
                      F.when(J.has_key(F.col("rec"), "error"), F.lit("failed")).otherwise(F.lit("ok")))
               .when(F.coalesce(J.strip_ws(F.col("line")), F.lit("")) == "", F.lit("blank"))
