@@ -38,7 +38,10 @@ def bands(threshold: int, bits: int = C.HASH_BITS) -> list[tuple[int, int]]:
 
 
 def _band_value(h: Column, off: int, width: int) -> Column:
-    return F.shiftrightunsigned(h, off).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+    mask = (1 << width) - 1
+    if mask >= 1 << 63:  # a 64-bit band: the mask is all ones, i.e. -1 as BIGINT
+        mask -= 1 << 64
+    return F.shiftrightunsigned(h, off).bitwiseAND(F.lit(mask).cast("bigint"))
 
 
 def band_rows(df: DataFrame, hash_col: str, threshold: int) -> DataFrame:
