@@ -1 +1,83 @@
-"""Queries (filled in below)."""
+"""Streaming jobs run to completion (availableNow) over table-derived files.
+
+Each query writes its input, derived by Spark from the driver tables, into a
+fresh folder under the session's checkpoint root, streams it, and returns
+what the sink holds. The oracle is the batch result the stream must equal.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from docsift import constants as C
+from docsift.plans.q_dedup import _walk
+from docsift.plans.registry import register
+from docsift.session import scratch_dir
+from docsift.sources.fixtures import duckdb_cte, fixture
+from docsift.streaming import jobs as SJ
+
+
+def _paths(spark, name):
+    root = scratch_dir(spark, name)
+    return {k: os.path.join(root, k) for k in ("input", "sink", "store", "checkpoint")}
+
+
+@register("stream_seen_urls", duckdb_cte("attempt_log") + "select distinct url from attempt_log")
+def stream_seen_urls(spark, sf_dir):
+    p = _paths(spark, "seen-urls")
+    attempts = fixture(spark, sf_dir, "attempt_log")
+    attempts.write.parquet(p["input"])
+    q = SJ.seen_urls(spark, p["input"], attempts.schema, p["sink"], p["checkpoint"],
+                     max_files_per_trigger=2)
+    q.awaitTermination()
+    return spark.read.parquet(p["sink"])
+
+
+@register("stream_label_log", duckdb_cte("model_replies") + f""", j as (select *, case
+  when strpos(content, '```json') > 0 then regexp_replace(substring(content, strpos(content, '```json') + 7,
+    greatest(case when strpos(substring(content, strpos(content, '```json') + 7), '```') > 0
+      then strpos(substring(content, strpos(content, '```json') + 7), '```') - 1
+      else length(content) - (strpos(content, '```json') + 7) end, 0)), '^\\s+|\\s+$', '', 'g')
+  when strpos(content, '{{') > 0 then case when (case when strpos(content, '}}') > 0 then length(content) - strpos(reverse(content), '}}') + 1 else 0 end) >= strpos(content, '{{')
+    then substring(content, strpos(content, '{{'), (length(content) - strpos(reverse(content), '}}') + 1) - strpos(content, '{{') + 1) else '' end
+  else content end as json_text from model_replies)
+select conv_id, turn, case when error is null then 'ok' else 'error' end as outcome, error from (select *, case
+  when exception_kind = 'timeout' then '{C.ERR_TIMEOUT}'
+  when exception_kind = 'network' then '{C.ERR_NETWORK_PREFIX}' || exception_kind
+  when exception_kind is not null then '{C.ERR_OTHER_PREFIX}' || exception_kind
+  when status_code <> 200 then '{C.ERR_STATUS_PREFIX}' || cast(status_code as varchar)
+  when not coalesce(json_valid(json_text), false) then '{C.ERR_JSON}'
+  when not coalesce(case when json_valid(json_text) then json_type(json_text) = 'OBJECT' end, false)
+    then '{C.ERR_OTHER_PREFIX}reply is not a JSON object' end as error from j)""")
+def stream_label_log(spark, sf_dir):
+    p = _paths(spark, "label-log")
+    replies = fixture(spark, sf_dir, "model_replies")
+    replies.write.parquet(p["input"])
+    q = SJ.label_log(spark, p["input"], replies.schema, p["sink"], p["checkpoint"],
+                     max_files_per_trigger=2)
+    q.awaitTermination()
+    schema = "conv_id long, turn long, outcome string, error string, record string"
+    return spark.read.schema(schema).json(p["sink"]).select("conv_id", "turn", "outcome", "error")
+
+
+# arrivals: the three blocks of the fingerprint table land one after another
+# (first crawl, re-encoded copies, exact re-uploads); the store starts empty
+_BLOCKS = (0, 1_000_000, 2_000_000)
+
+
+@register("stream_incremental_dedup", "with recursive" + duckdb_cte("fingerprints")[len("with"):]
+          + ", r as (select ord as node, bits from fingerprints)" + _walk("r") + """
+select node as ord, case when is_kept then 'new' else 'duplicate' end as status from walk where node is not null""")
+def stream_incremental_dedup(spark, sf_dir):
+    p = _paths(spark, "incremental-dedup")
+    fp = fixture(spark, sf_dir, "fingerprints").withColumn("file", F.concat(F.lit("f"), F.col("ord").cast("string")))
+    for i, lo in enumerate(_BLOCKS):  # one write per block: arrival order = file order
+        hi = _BLOCKS[i + 1] if i + 1 < len(_BLOCKS) else None
+        block = fp.filter(F.col("ord") >= lo) if hi is None else fp.filter((F.col("ord") >= lo) & (F.col("ord") < hi))
+        block.coalesce(1).write.mode("append").parquet(p["input"])
+    q = SJ.incremental_dedup(spark, p["input"], "ord long, bits string, file string", p["store"], p["sink"],
+                             p["checkpoint"], threshold=C.DEFAULT_THRESHOLD, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(p["sink"]).select("ord", "status")

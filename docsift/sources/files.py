@@ -7,8 +7,6 @@ survive, so the size gate costs no I/O for rejected files.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,11 +87,17 @@ STORE_SCHEMA = "hash bigint, bits string, file string, ord long, batch_id long"
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprint store; a missing or unreadable store is empty."""
-    if path and os.path.exists(path) and any(not n.startswith(("_", ".")) for n in os.listdir(path)):
+    """Fingerprint store; a missing or unreadable store is empty.
+
+    The path may be any Hadoop URI (shared storage on a cluster), so the
+    check is a read attempt rather than a local file test.
+    """
+    if path:
         try:
-            return spark.read.schema(STORE_SCHEMA).parquet(path)
-        except Exception:  # noqa: BLE001 - a corrupt store starts empty
+            df = spark.read.schema(STORE_SCHEMA).parquet(path)
+            df.schema  # noqa: B018 - resolves the path now
+            return df
+        except Exception:  # noqa: BLE001 - missing or corrupt store starts empty
             pass
     return spark.createDataFrame([], STORE_SCHEMA)
 
