@@ -32,14 +32,15 @@ def reject_reason(rules: FilterRules = FilterRules(), size="file_size", fmt="for
                   ok="decodable") -> Column:
     """First failing rule: file_size, format, dimensions, aspect_ratio, undecodable; NULL passes."""
     size, fmt, w, h, ok = (F.col(x) for x in (size, fmt, w, h, ok))
+    unknown = F.lit(True)  # a value that could not be read fails its rule
     bad_dims = (w < rules.min_side) | (h < rules.min_side) | (w > rules.max_side) | (h > rules.max_side)
     # max/min > k  <=>  max > k*min for positive integer sides (no float rounding)
     bad_aspect = F.greatest(w, h) > F.least(w, h) * rules.max_aspect
-    return (F.when((size < rules.min_bytes) | (size > rules.max_bytes), F.lit("file_size"))
-            .when(~fmt.isin(*rules.formats), F.lit("format"))
-            .when(bad_dims, F.lit("dimensions"))
-            .when(bad_aspect, F.lit("aspect_ratio"))
-            .when(~ok, F.lit("undecodable")))
+    return (F.when(F.coalesce((size < rules.min_bytes) | (size > rules.max_bytes), unknown), F.lit("file_size"))
+            .when(F.coalesce(~fmt.isin(*rules.formats), unknown), F.lit("format"))
+            .when(F.coalesce(bad_dims, unknown), F.lit("dimensions"))
+            .when(F.coalesce(bad_aspect, unknown), F.lit("aspect_ratio"))
+            .when(~F.coalesce(ok, F.lit(False)), F.lit("undecodable")))
 
 
 def apply_filter(df: DataFrame, rules: FilterRules = FilterRules()) -> DataFrame:
