@@ -24,6 +24,7 @@ from docsift import constants as C
 from docsift.functions.hashing import bits_to_long
 from docsift.operators.greedy import greedy_rounds
 from docsift.operators.hamming import near_pairs
+from docsift.session import write_table
 
 
 def with_hash(rows: DataFrame, bits: str = "bits") -> DataFrame:
@@ -50,6 +51,7 @@ def node_pairs(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFr
 
 def assign(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``node, leader`` for every node (a leader leads itself)."""
+    pairs = write_table(pairs, "dedup-pairs")  # computed once, read by both steps below
     kept, removed = greedy_rounds(pairs.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")))
     removed_ids = removed.select(F.col("id").alias("node"))
     # a removed node belongs to its earliest adjacent leader, which precedes it
@@ -66,7 +68,7 @@ def dedup_plan(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFra
     A row is kept only if it is the leader's file; every other row of a group
     (exact copies included) is removed.
     """
-    nodes = collapse_exact(rows)
+    nodes = write_table(collapse_exact(rows), "dedup-nodes")
     owners = assign(nodes, node_pairs(nodes, threshold))
     lead_files = nodes.select(F.col("node").alias("leader"), F.col("file_ord").alias("leader_file"),
                               F.col("hash").alias("leader_hash"))
@@ -76,7 +78,7 @@ def dedup_plan(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFra
 
 
 def leaders(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
-    nodes = collapse_exact(rows)
+    nodes = write_table(collapse_exact(rows), "dedup-nodes")
     owners = assign(nodes, node_pairs(nodes, threshold))
     return owners.filter(F.col("node") == F.col("leader")).join(nodes, "node").select(
         F.col("node").alias("ord"), "bits")
@@ -102,7 +104,7 @@ def incremental(batch: DataFrame, store: DataFrame, threshold: int = C.DEFAULT_T
     row is within the threshold; otherwise it is new and joins the store.
     Returns ``ord, status`` for every batch row.
     """
-    nodes = collapse_exact(batch)
+    nodes = write_table(collapse_exact(batch), "dedup-nodes")
     stored = with_hash(store).select("hash").distinct()
     hits = _hits_vs_store(nodes, stored, threshold)
     fresh = nodes.join(hits, "node", "left_anti")

@@ -7,7 +7,8 @@ undecided node with no undecided earlier neighbour is kept; undecided later
 neighbours of kept nodes are removed; repeat. Each round is three joins over
 the remaining edges, which shrink every round. Every round's state is cut
 from its lineage with a reliable ``checkpoint()`` into the session's
-checkpoint folder, so a lost executor costs at most one round.
+checkpoint folder (a written table), so a lost executor costs at most one
+round and later rounds never recompute earlier ones.
 
 Rounds are few on near-duplicate graphs (clusters are small); a long chain
 ordered along the chain needs about half its length in rounds.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.session import ensure_checkpoint_dir
+from docsift.session import ensure_checkpoint_dir, write_table
 
 
 def greedy_rounds(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
@@ -27,36 +28,38 @@ def greedy_rounds(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame
     ``edges(src, dst)`` must satisfy src < dst in the walk order (ids are the
     order). Returns ``(kept, removed)`` id tables (column ``id``). Nodes
     without edges are kept and not listed here.
+
+    Per round three small tables are written to the checkpoint root: the
+    nodes decided in the round, the remaining undecided nodes and the
+    remaining edges. Each is written once (no recomputation) and read back.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select("src", "dst").distinct().checkpoint()
-    kept_parts: list[DataFrame] = []
-    removed_parts: list[DataFrame] = []
-    undecided = (e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id")))
-                 .distinct().checkpoint())
+    e = write_table(edges.select("src", "dst").distinct(), "greedy-edges")
+    undecided = write_table(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id")))
+                            .distinct(), "greedy-nodes")
+    decided_parts: list[DataFrame] = []
     for _ in range(max_rounds):
         if e.isEmpty():
-            kept_parts.append(undecided)
+            decided_parts.append(undecided.withColumn("kept", F.lit(True)))
             break
-        blocked = e.select(F.col("dst").alias("id"))
-        kept = undecided.join(blocked, "id", "left_anti").checkpoint()
+        kept = undecided.join(e.select(F.col("dst").alias("id")), "id", "left_anti")
         removed = (e.join(kept.withColumnRenamed("id", "src"), "src", "left_semi")
-                   .select(F.col("dst").alias("id")).distinct().checkpoint())
-        kept_parts.append(kept)
-        removed_parts.append(removed)
-        undecided = (undecided.join(kept, "id", "left_anti")
-                     .join(removed, "id", "left_anti").checkpoint())
-        e = (e.join(kept.withColumnRenamed("id", "src"), "src", "left_anti")
-             .join(removed.withColumnRenamed("id", "src"), "src", "left_anti")
-             .join(removed.withColumnRenamed("id", "dst"), "dst", "left_anti")
-             .checkpoint())
+                   .select(F.col("dst").alias("id")).distinct())
+        decided = write_table(kept.withColumn("kept", F.lit(True))
+                              .unionByName(removed.withColumn("kept", F.lit(False))), "greedy-decided")
+        decided_parts.append(decided)
+        undecided = write_table(undecided.join(decided, "id", "left_anti"), "greedy-nodes")
+        gone = decided.select("id")
+        e = write_table(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+                        .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "greedy-edges")
     else:
         raise RuntimeError("greedy leader rounds did not converge")
-    empty = spark.createDataFrame([], "id long")
-    kept_all = _union(kept_parts, empty)
-    removed_all = _union(removed_parts, empty)
-    return kept_all, removed_all
+    empty = spark.createDataFrame([], "id long, kept boolean")
+    decided_all = empty
+    for p in decided_parts:
+        decided_all = decided_all.unionByName(p.select(F.col("id").cast("long"), "kept"))
+    return (decided_all.filter("kept").select("id"), decided_all.filter("NOT kept").select("id"))
 
 
 def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:

@@ -7,12 +7,15 @@ followed by an exact check. A pair that agrees on several bands is emitted
 only for the lowest such band, so no ``distinct`` (and no extra shuffle) is
 needed afterwards.
 
-Skew: a band value shared by very many hashes makes one join key hot. Keys
-above ``hot_rows`` rows are salted: the left side spreads over ``salts``
-sub-keys and the right side is replicated to each, so one hot key becomes
-``salts`` tasks. AQE's skew-join split covers the rest. Exact copies must be
-collapsed first (``dedup.collapse_exact``), since identical hashes agree on
-every band.
+Skew: a band value shared by very many hashes makes one join key hot. By
+default AQE's skew-join split handles it (``spark.sql.adaptive.skewJoin``,
+on in ``session.DEFAULT_CONF``): at runtime a shuffle partition far above
+the median is cut into chunks, each joined with the matching partition of
+the other side, so a hot key runs as many tasks and costs nothing when
+there is no skew. Where AQE is off, pass ``hot_rows``: keys above that many
+rows are salted explicitly (left side spread over ``salts`` sub-keys, right
+side replicated to each). Exact copies must be collapsed first
+(``dedup.collapse_exact``), since identical hashes agree on every band.
 """
 
 from __future__ import annotations
@@ -71,7 +74,7 @@ def _salted(rows: DataFrame, hot: DataFrame | None, id_col: str, salts: int, rep
 
 
 def near_pairs(left: DataFrame, right: DataFrame | None = None, threshold: int = C.DEFAULT_THRESHOLD,
-               id_col: str = "ord", hash_col: str = "hash", hot_rows: int | None = 50_000,
+               id_col: str = "ord", hash_col: str = "hash", hot_rows: int | None = None,
                salts: int = 32) -> DataFrame:
     """Pairs ``(id_a, id_b, distance)`` with ``distance <= threshold``.
 

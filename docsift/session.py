@@ -67,3 +67,12 @@ def _count():
 
 
 _counter = _count()
+
+
+def write_table(df, name: str):
+    """Write ``df`` once to a fresh Parquet table under the checkpoint root and
+    return a reader of it. Cuts lineage like a reliable checkpoint, in one
+    pass, and survives executor loss (the folder is shared storage)."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
