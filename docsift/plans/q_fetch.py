@@ -68,3 +68,13 @@ def unseen_urls(spark, sf_dir):
     attempts = fixture(spark, sf_dir, "attempt_log")
     done = FT.resolve_attempts(attempts).filter(F.col("outcome") == "done").select("url")
     return JN.unmatched(attempts.select("url").distinct(), done, "url")
+
+
+@register("download_counts", _O + """
+select count(*) as attempted, count(*) filter (where outcome = 'saved') as downloaded,
+  count(distinct url) filter (where outcome = 'saved') as distinct_saved from o""")
+def download_counts(spark, sf_dir):
+    o = FT.download_outcomes(FT.name_files(fixture(spark, sf_dir, "fetch_log")))
+    saved = F.col("outcome") == "saved"
+    return o.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(saved).alias("downloaded"),
+                 F.count_distinct(F.when(saved, F.col("url"))).alias("distinct_saved"))
