@@ -133,3 +133,16 @@ def test_step_status(spark):
     steps = spark.createDataFrame([("search", "success"), ("label", "failed")], "step string, status string")
     r = W.step_status(steps).first()
     assert r.all_ok is False and r.steps["search"] == "success"
+
+
+def test_strict_loader_fails_on_bad_line(spark, tmp_dir):
+    import pytest
+    p = os.path.join(tmp_dir, "d.jsonl")
+    with open(p, "w") as f:
+        f.write('{"document_category":"a"}\n{"document_category": "broken\n')
+    schema = "document_category string"
+    with pytest.raises(Exception):
+        FS.read_strict_jsonl(spark, p, schema).collect()
+    with open(p, "w") as f:
+        f.write('{"document_category":"a"}\n')
+    assert FS.read_strict_jsonl(spark, p, schema).first().document_category == "a"
