@@ -52,7 +52,9 @@ def node_pairs(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFr
 def assign(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``node, leader`` for every node (a leader leads itself)."""
     pairs = write_table(pairs, "dedup-pairs")  # computed once, read by both steps below
-    kept, removed = greedy_rounds(pairs.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")))
+    # near_pairs emits each pair once, and the table is already written
+    kept, removed = greedy_rounds(pairs.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")),
+                                  edges_ready=True)
     removed_ids = removed.select(F.col("id").alias("node"))
     # a removed node belongs to its earliest adjacent leader, which precedes it
     lead_edges = (pairs.join(removed_ids.withColumnRenamed("node", "node_b"), "node_b", "left_semi")

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from docsift.session import ensure_checkpoint_dir, write_table
 
 
-def greedy_rounds(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def greedy_rounds(edges: DataFrame, max_rounds: int = 10_000,
+                  edges_ready: bool = False) -> tuple[DataFrame, DataFrame]:
     """Decide every node that has an edge.
 
     ``edges(src, dst)`` must satisfy src < dst in the walk order (ids are the
@@ -35,7 +36,8 @@ def greedy_rounds(edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = write_table(edges.select("src", "dst").distinct(), "greedy-edges")
+    e = edges.select("src", "dst") if edges_ready else write_table(edges.select("src", "dst").distinct(),
+                                                                      "greedy-edges")
     undecided = write_table(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id")))
                             .distinct(), "greedy-nodes")
     decided_parts: list[DataFrame] = []
