@@ -39,15 +39,18 @@ def field_presence(parsed: DataFrame, required=C.REQUIRED_EXTRACTION_FIELDS,
     """
     rec = F.col("rec")
     ok = F.col("status") == "ok"
-    req_present = sum((J.non_null(rec, f).cast("int") for f in required), F.lit(0))
-    opt_present = sum((J.non_null(rec, f).cast("int") for f in optional), F.lit(0))
-    missing = F.array_join(F.filter(F.array(*[F.when(~J.non_null(rec, f), F.lit(f)) for f in required]),
-                                    lambda x: x.isNotNull()), ", ")
-    return parsed.select(
-        "line_no", "status",
-        F.when(ok, J.get_str(rec, "_metadata.image_path")).alias("image_path"),
-        F.when(ok, req_present).alias("required_present"),
-        F.when(ok, opt_present).alias("optional_present"),
+    # presence flags computed once per row; counts and the missing list read them
+    flags = parsed.select(
+        "line_no", "status", F.when(ok, J.get_str(rec, "_metadata.image_path")).alias("image_path"),
+        F.array(*[J.non_null(rec, f) for f in required]).alias("_req"),
+        F.array(*[J.non_null(rec, f) for f in optional]).alias("_opt"))
+    count_true = lambda arr: F.aggregate(arr, F.lit(0), lambda a, x: a + x.cast("int"))
+    names = F.array(*[F.lit(f) for f in required])
+    missing = F.array_join(F.filter(names, lambda x, i: ~F.get(F.col("_req"), i)), ", ")
+    return flags.select(
+        "line_no", "status", "image_path",
+        F.when(ok, count_true(F.col("_req"))).alias("required_present"),
+        F.when(ok, count_true(F.col("_opt"))).alias("optional_present"),
         F.when(ok, missing).alias("missing_required"),
     )
 
