@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import grace_dedup
+from docsift.llm import grace_dedup, simhash_trie
 from docsift.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 from n join k using (text_sha256)""")
 def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash_trie")
+def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(read(spark, sf_dir, "documents"))
