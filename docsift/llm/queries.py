@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import grace_dedup, simhash_trie
-from docsift.llm.common import read
+from docsift.llm import bpe, grace_dedup, simhash_trie
+from docsift.llm.common import hex_digest, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,20 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def multilingual_vocabulary() -> tuple[str, str]:
+    """Path and split pattern of the vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op6_bpe_round_trip")
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(read(spark, sf_dir, "documents"), *multilingual_vocabulary())
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        hex_digest(F.col("ids")).alias("ids_sha256"), hex_digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 @query("op7_grace_dedup", rf"""
 with n as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}+', '', 'g')) as text_sha256,
