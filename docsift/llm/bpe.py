@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 WORD = 64
 #: Encoded pre-tokens that a worker keeps, in two generations.
-CACHE = 150_000
+CACHE = 400_000
 #: Longer pre-tokens are encoded each time they occur.
 CACHED_CHARS = 64
 #: Texts beyond this many characters are split into pre-tokens piecewise, to bound memory.
@@ -39,84 +39,76 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank is found by find-first-set."""
-
-    __slots__ = ("buckets", "words", "summary")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.summary = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        w = rank // WORD
-        self.words[w] = self.words.get(w, 0) | 1 << rank % WORD
-        self.summary |= 1 << w
-
-    def lowest(self) -> int:
-        """The lowest rank in use; -1 if there is none."""
-        if not self.summary:
-            return -1
-        w = (self.summary & -self.summary).bit_length() - 1
-        word = self.words[w]
-        return w * WORD + (word & -word).bit_length() - 1
-
-    def take(self, rank: int) -> int:
-        """The leftmost position of ``rank``, whose bits are cleared with the last."""
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            w = rank // WORD
-            left = self.words[w] & ~(1 << rank % WORD)
-            if left:
-                self.words[w] = left
-            else:
-                del self.words[w]
-                self.summary &= ~(1 << w)
-        return position
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always the pair of the lowest rank, leftmost first."""
+    """Ids of one pre-token: always the pair of the lowest rank, leftmost first.
+
+    ``end[i]`` is where the part that starts at i ends, so also where the next
+    part starts (0: no part starts here any more); ``before[i]`` is the start of
+    the part before. The queue is inlined, since it is most of the work:
+    ``buckets[rank]`` is a heap of positions, ``words`` has the bits of the ranks
+    in use and ``summary`` those of the words in use.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    parts: list[bytes | None] = [piece[i:i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue, get = RankQueue(), ranks.get
+    n, get = len(piece), ranks.get
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    summary = 0
     for i in range(n - 1):
         rank = get(piece[i:i + 2])
         if rank is not None:
-            queue.push(rank, i)
-    while (rank := queue.lowest()) >= 0:
-        i = queue.take(rank)
-        left = parts[i]
-        if left is None or (j := after[i]) >= n:
+            if rank in buckets:
+                buckets[rank].append(i)  # in rising order, so still a heap
+            else:
+                buckets[rank] = [i]
+                w = rank // WORD
+                words[w] = words.get(w, 0) | 1 << rank % WORD
+                summary |= 1 << w
+    while summary:
+        w = (summary & -summary).bit_length() - 1
+        word = words[w]
+        low = word & -word
+        rank = w * WORD + low.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            words[w] = word = word ^ low
+            if not word:
+                summary ^= 1 << w
+        j = end[i]
+        if not j or j >= n:
             continue
-        pair = left + parts[j]
-        if get(pair) != rank:
+        k = end[j]
+        if get(piece[i:k]) != rank:
             continue  # stale: one of the parts has grown since
-        parts[i], parts[j] = pair, None
-        k = after[i] = after[j]
+        end[i], end[j] = k, 0
+        fresh = []
         if k < n:
             before[k] = i
-            rank = get(pair + parts[k])
-            if rank is not None:
-                queue.push(rank, i)
+            fresh.append((i, get(piece[i:end[k]])))
         h = before[i]
         if h >= 0:
-            rank = get(parts[h] + pair)
-            if rank is not None:
-                queue.push(rank, h)
-    return [ranks[p] for p in parts if p is not None]
+            fresh.append((h, get(piece[h:k])))
+        for at, rank in fresh:
+            if rank is None:
+                continue
+            if rank in buckets:
+                heappush(buckets[rank], at)
+            else:
+                buckets[rank] = [at]
+                w = rank // WORD
+                words[w] = words.get(w, 0) | 1 << rank % WORD
+                summary |= 1 << w
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[piece[i:end[i]]])
+        i = end[i]
+    return ids
 
 
 class Encoder:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, grace_dedup, simhash_trie
+from docsift.llm import bpe, grace_dedup, mixing, simhash_trie
 from docsift.llm.common import hex_digest, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash_trie")
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op10_mix_sources")
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents")).documents
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
