@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, grace_dedup, mixing, simhash_trie
+from docsift.llm import bpe, grace_dedup, mixing, quality_rules, simhash_trie
 from docsift.llm.common import hex_digest, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op2_adaptive_quality")
+def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
 def multilingual_vocabulary() -> tuple[str, str]:
     """Path and split pattern of the vocabulary that the queries encode with."""
     import public_tokenizers
