@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, grace_dedup, mixing, quality_rules, simhash_trie
+from docsift.llm import bpe, grace_dedup, mixing, nbsvm, quality_rules, simhash_trie, toxicity
 from docsift.llm.common import hex_digest, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+@query("op4_ftrl_toxicity")
+def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def multilingual_vocabulary() -> tuple[str, str]:
     """Path and split pattern of the vocabulary that the queries encode with."""
     import public_tokenizers
@@ -68,3 +74,9 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents")).documents
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_nbsvm_quality")
+def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return nbsvm.score(docs, nbsvm.train(docs, read(spark, sf_dir, "labels")))
