@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, grace_dedup, mixing, nbsvm, quality_rules, simhash_trie, toxicity
+from docsift.llm import bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, pii, quality_rules, simhash_trie, toxicity
 from docsift.llm.common import hex_digest, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,17 +26,70 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_bootstrapped_pii")
+def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(read(spark, sf_dir, "documents"))
+
+    def count(k: int, kind: str):
+        return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k, kind) for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, hex_digest(pii.joined(F.col("base"))).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 @query("op2_adaptive_quality")
 def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL = (-1, "<|im_end|><|im_start|>assistant ok")
+
+
+@query("op3_chat_prefix_tree", r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + len(regexp_extract_all(role, '<\\*\|'))
+                + 2 * len(regexp_extract_all(role, '[%\n]'))) as bigint) as formatted_chars
+from c group by conv_id""")
+def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(CONTROL[0], i, role, CONTROL[1]) for i, role in enumerate(("user", "assistant"))], table.schema)
+    return chat_tree.read_back(chat_tree.build(table.unionByName(control)))
+
+
 @query("op4_ftrl_toxicity")
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+@query("op5_line_windows", rf"""
+with l as (
+  select doc_id, x.i - 1 as i, x.line as line
+  from (select doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda v, i: {{'line': v, 'i': i}})) as x from documents)),
+f as (
+  select doc_id, i as first, lead(i, 2) over w as last, line || chr(10) || lead(line, 1) over w || chr(10) || lead(line, 2) over w as passage
+  from l where regexp_matches(line, '[^\x20\x09-\x0D]') window w as (partition by doc_id order by i)),
+r as (
+  select doc_id, first, last, row_number() over (partition by passage order by doc_id nulls last, first) as nth
+  from f where last is not null),
+gone as (
+  select distinct doc_id, unnest(range(first, last + 1)) as i from r where nth > 1)
+select l.doc_id as doc_id, count(*) as n_lines, count(gone.i) as n_removed,
+       sha256(coalesce(string_agg(case when gone.i is null then line end, chr(10) order by l.i), '')) as text_sha256
+from l left join gone on gone.doc_id = l.doc_id and gone.i = l.i group by l.doc_id""")
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.drop_repeated(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", hex_digest(F.col("text")).alias("text_sha256"))
+
+
 def multilingual_vocabulary() -> tuple[str, str]:
     """Path and split pattern of the vocabulary that the queries encode with."""
     import public_tokenizers
