@@ -54,3 +54,22 @@ def hex_digest(c: Column) -> Column:
 def scale_partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions, for explicit repartitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def content_key(id_col: str, text_col: str) -> Column:
+    """Hash of a row's id and text; rows that share both are interchangeable."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
+def one_row_each(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named by ``chosen`` (id, key, n), all columns as they
+    are, one for each name; n is how many rows share the id and the key. Where n
+    is above one the rows are alike in id and text, and any one is taken."""
+    keyed = docs.withColumn("__key", content_key(id_col, text_col))
+    named = chosen.select(F.col("id").alias("__id"), F.col("key").alias("__k"), F.col("n").alias("__n"))
+    same = (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    single = keyed.join(named.filter("__n = 1"), same, "left_semi")
+    if named.filter("__n > 1").isEmpty():
+        return single.drop("__key")
+    repeated = keyed.join(named.filter("__n > 1"), same, "left_semi").dropDuplicates([id_col, "__key"])
+    return single.unionByName(repeated).drop("__key")

@@ -144,5 +144,16 @@ def scored(docs: DataFrame, score: Callable[[str | None], float], id_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def accepted(docs: DataFrame, accept: Callable[[str | None], bool], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is accepted, all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([accept(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-min(max(x, -35.0), 35.0))))

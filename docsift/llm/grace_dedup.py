@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import WS_CHARS, materialize
+from docsift.llm.common import WS_CHARS, content_key, materialize, one_row_each
 
 BUCKET_BYTES = 32 << 20
 #: Bits of the hash that each level of partitioning takes.
@@ -43,7 +43,7 @@ class ContentTable:
     def __init__(self, capacity: int = 1024):
         self.mask = capacity - 1
         self.slots = [-1] * capacity
-        self.entries: list[list] = []  # [hash, content, digest, copies, most points, id]
+        self.entries: list[list] = []  # [hash, content, digest, copies, best row, rows equal to it]
         self.n_bytes = 0
 
     def _grow(self) -> None:
@@ -55,53 +55,67 @@ class ContentTable:
                 at = (at + 1) & self.mask
             self.slots[at] = i
 
-    def add(self, h: int, content: bytes, copies: int, points: int, key, digest: str | None = None) -> str:
-        """Count ``copies`` of ``content``; its digest. The entry keeps the id of
-        the row with the most code points, then the smallest id (null last)."""
+    def add(self, h: int, content: bytes, copies: int, row: tuple, alike: int, digest: str | None = None) -> str:
+        """Count ``copies`` of ``content``; its digest. The best row is the least
+        of (-code points, id is null, id, key); ``alike`` rows are equal to ``row``."""
         at = h & self.mask
         while (i := self.slots[at]) >= 0:
             e = self.entries[i]
             if e[0] == h and e[1] == content:
                 e[3] += copies
-                if points > e[4] or points == e[4] and key is not None and (e[5] is None or key < e[5]):
-                    e[4], e[5] = points, key
+                if row < e[4]:
+                    e[4], e[5] = row, alike
+                elif row == e[4]:
+                    e[5] += alike
                 return e[2]
             at = (at + 1) & self.mask
         self.slots[at] = len(self.entries)
         digest = digest or hashlib.sha256(content).hexdigest()
-        self.entries.append([h, content, digest, copies, points, key])
+        self.entries.append([h, content, digest, copies, row, alike])
         self.n_bytes += len(content) + 200
         if 3 * len(self.entries) > 2 * self.mask:
             self._grow()
         return digest
 
+    def columns(self, part: list, id_type: pa.DataType) -> list[pa.Array]:
+        """digest, id, points, key, alike, copies of the entries ``part``."""
+        rows = [e[4] for e in part]
+        return [pa.array([e[2] for e in part], pa.string()), pa.array([None if none else x for _, none, x, _ in rows], id_type),
+                pa.array([-p for p, *_ in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
+                pa.array([e[5] for e in part], pa.int64()), pa.array([e[3] for e in part], pa.int64())]
+
+
+#: Columns of a distinct content's best row and counts.
+_BEST = "digest string, doc_id {id}, points bigint, key bigint, alike bigint, copies bigint"
+
+
+def _row(points: int, key, content_key: int, zero) -> tuple:
+    return (-points, key is None, zero if key is None else key, content_key)
+
 
 def _spill(batches: Iterator[pa.RecordBatch], bucket_bytes: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> member rows (id, digest) and, content not null, records."""
-    schema = pa.schema([("doc_id", id_type), ("digest", pa.string()), ("h", pa.int64()), ("content", pa.binary()),
-                        ("copies", pa.int64()), ("points", pa.int64())])
+    """(id, text, key) -> member rows (digest, id) and, content not null, records."""
+    names = ["digest", "doc_id", "points", "key", "alike", "copies", "h", "content"]
+    zero = pa.scalar(0).cast(id_type).as_py()
     table = ContentTable()
 
     def records(t: ContentTable) -> Iterator[pa.RecordBatch]:
         for part in sliced(t.entries, lambda e: len(e[1])):
             h = np.array([e[0] for e in part], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([e[5] for e in part], id_type), pa.array([e[2] for e in part], pa.string()), pa.array(h),
-                pa.array([e[1] for e in part], pa.binary()), pa.array([e[3] for e in part], pa.int64()),
-                pa.array([e[4] for e in part], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*t.columns(part, id_type), pa.array(h), pa.array([e[1] for e in part], pa.binary())], names=names)
 
     for batch in batches:
         ids, digests = batch.column(0).to_pylist(), []
-        for key, text in zip(ids, batch.column(1)):
+        for doc_id, text, key in zip(ids, batch.column(1), batch.column(2).to_pylist()):
             text = text.as_py() or ""
             content = text.encode().translate(None, _DELETE)
-            digests.append(table.add(xxhash.xxh64_intdigest(content), content, 1, len(text), key))
+            digests.append(table.add(xxhash.xxh64_intdigest(content), content, 1, _row(len(text), doc_id, key, zero), 1))
             if table.n_bytes > bucket_bytes:
                 yield from records(table)
                 table = ContentTable()
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(digests, pa.string()), pa.nulls(n, pa.int64()),
-                                          pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+        none = pa.nulls(len(ids), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), batch.column(0).cast(id_type), none, none, none, none, none,
+                                          pa.nulls(len(ids), pa.binary())], names=names)
     yield from records(table)
 
 
@@ -120,24 +134,22 @@ def sliced(items: list, n_bytes) -> Iterator[list]:
 
 def _merge(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Records sorted by bucket -> one row for each distinct content."""
-    schema = pa.schema([("digest", pa.string()), ("keep_id", id_type), ("group_size", pa.int64()), ("points", pa.int64())])
+    zero = pa.scalar(0).cast(id_type).as_py()
 
     def classes(t: ContentTable) -> Iterator[pa.RecordBatch]:
         for part in sliced(t.entries, lambda e: 100):
-            yield pa.RecordBatch.from_arrays([
-                pa.array([e[2] for e in part], pa.string()), pa.array([e[5] for e in part], id_type),
-                pa.array([e[3] for e in part], pa.int64()), pa.array([e[4] for e in part], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays(t.columns(part, id_type), names=["digest", "doc_id", "points", "key", "alike", "copies"])
 
     table, bucket = ContentTable(), None
     for batch in batches:
-        cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        rows = zip(cols["bucket"].to_pylist(), cols["h"].to_numpy().view(np.uint64).tolist(), cols["content"],
-                   cols["copies"].to_pylist(), cols["points"].to_pylist(), cols["doc_id"].to_pylist(), cols["digest"].to_pylist())
-        for b, h, content, copies, points, key, digest in rows:
+        c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        h = c["h"].to_numpy().view(np.uint64).tolist()
+        rows = zip(*(c[n].to_pylist() for n in ("bucket", "copies", "points", "doc_id", "key", "alike", "digest")), h, c["content"])
+        for b, copies, points, doc_id, key, alike, digest, h, content in rows:
             if b != bucket:
                 yield from classes(table)
                 table, bucket = ContentTable(), b
-            table.add(h, content.as_py(), copies, points, key, digest)
+            table.add(h, content.as_py(), copies, _row(points, doc_id, key, zero), alike, digest)
     yield from classes(table)
 
 
@@ -167,6 +179,29 @@ def bucket_column(records: DataFrame, bucket_bytes: int) -> Column:
     return bucket
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(members: digest, doc_id of every row; classes: digest, doc_id, points,
+    key, alike, copies of every distinct content)."""
+    name = docs.schema[id_col].dataType.simpleString()
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(name)
+    if id_type is None:
+        raise TypeError(f"{id_col}: a bigint, int or string id is needed, not {name}")
+
+    def spill(batches):
+        return _spill(batches, bucket_bytes, id_type)
+
+    def merge(batches):
+        return _merge(batches, id_type)
+
+    best = _BEST.format(id=name)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), content_key(id_col, text_col).alias("key"))
+    spilled = materialize(rows.mapInArrow(spill, f"{best}, h bigint, content binary"), "grace-spill")
+    records = spilled.filter(F.col("content").isNotNull())
+    classes = (records.withColumn("bucket", bucket_column(records, bucket_bytes)).repartition("bucket").sortWithinPartitions("bucket")
+               .mapInArrow(merge, best))
+    return spilled.filter(F.col("content").isNull()).select("digest", "doc_id"), materialize(classes, "grace-classes")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Group rows whose texts are equal without white space; one row per input row.
 
@@ -179,26 +214,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty, empty and all-white-space texts are equal to one another. Other
     columns of ``docs`` are ignored. An empty table gives an empty table.
     """
-    id_type = docs.schema[id_col].dataType
-    to_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type.simpleString())
-    if to_arrow is None:
-        raise TypeError(f"{id_col}: a bigint, int or string id is needed, not {id_type.simpleString()}")
-    name = id_type.simpleString()
-
-    def spill(batches):
-        return _spill(batches, bucket_bytes, to_arrow)
-
-    def merge(batches):
-        return _merge(batches, to_arrow)
-
-    spilled = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-            spill, f"doc_id {name}, digest string, h bigint, content binary, copies bigint, points bigint"), "grace-spill")
-    records = spilled.filter(F.col("content").isNotNull())
-    classes = materialize(
-        records.withColumn("bucket", bucket_column(records, bucket_bytes)).repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(merge, f"digest string, keep_id {name}, group_size bigint, points bigint"), "grace-classes")
-    members = spilled.filter(F.col("content").isNull()).select("doc_id", "digest")
-    return members.join(classes, "digest").select(
+    members, classes = _grouped(docs, id_col, text_col, bucket_bytes)
+    of_class = classes.select("digest", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"))
+    return members.join(of_class, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``docs`` (all columns) with one row left of each group of equal texts: the
+    row that :func:`exact_groups` keeps; of repeated rows one."""
+    _, classes = _grouped(docs, id_col, text_col, bucket_bytes)
+    return one_row_each(docs, classes.select(F.col("doc_id").alias("id"), "key", F.col("alike").alias("n")), id_col, text_col)

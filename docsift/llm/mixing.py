@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import WS_CLASS, let, materialize, text_of
+from docsift.llm.common import WS_CLASS, content_key, let, materialize, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Words in the mix to words in the table; times that a source may be used.
@@ -39,18 +39,13 @@ class Mix(NamedTuple):
     """``documents``: doc_id, source, size, source_size, target, taken, one row
     per input row. ``slots``: shard, slot, source, block. ``parts``: doc_id, key,
     copies, copy, size, first, length, uses: the parts of documents in blocks that
-    the mix uses (words from ``first``), ``key`` as of :func:`content_key`."""
+    the mix uses (words from ``first``), ``key`` as of ``content_key``."""
 
     documents: DataFrame
     slots: DataFrame
     parts: DataFrame
 
 
-def content_key(id_col: str, text_col: str) -> Column:
-    """Hash of a row's id and text; rows that share both are interchangeable."""
-    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-
-
 def targets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """``sources(source, source_size)`` with ``sid`` (1.. by code point, null
     last), ``weight`` and ``target``: shares by weight of ``total`` times all
@@ -206,3 +201,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents = keyed.join(taken.withColumnRenamed("start", "at"), ["sid", "at"], "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return Mix(documents, slots.drop("sid"), parts.drop("sid", "start"))
+
+
+def mixed_texts(docs: DataFrame, mixed: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` (all columns) as the mix takes them: each row's text is cut to the
+    words in blocks that are used, and a row comes twice where blocks are used
+    twice. Words keep the white space before them, but the first. Rows without
+    a used block are left out. What a row takes of its text is bounded by it."""
+    names = ["doc_id", "key", "copies", "copy"]
+    ranges = mixed.parts.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("first", "length", "uses"))).alias("__ranges"))
+    turns = ranges.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("__ranges", lambda r: r["uses"])))))
+    turns = turns.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("copies").alias("__copies"),
+                         F.filter("__ranges", lambda r: r["uses"] >= F.col("__turn")).alias("__ranges"))
+    turns = materialize(turns, "mix-turns")
+    keyed = docs.withColumn("__key", content_key(id_col, text_col))
+    same = (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    joined = keyed.join(turns.filter("__copies = 1"), same)
+    if not turns.filter("__copies > 1").isEmpty():
+        several = turns.filter("__copies > 1")
+        once = keyed.join(several, same, "left_semi").dropDuplicates([id_col, "__key"])
+        joined = joined.unionByName(once.join(several, same))
+    pieces = F.regexp_extract_all(text_of(text_col), F.lit(f"[{WS_CLASS}]*[^{WS_CLASS}]+"), F.lit(0))
+    cut = let(pieces, lambda p: F.concat_ws("", F.flatten(F.transform("__ranges", lambda r: F.slice(p, (r["first"] + 1).cast("int"), r["length"].cast("int"))))))
+    out = joined.withColumn(text_col, F.regexp_replace(cut, f"^[{WS_CLASS}]+", ""))
+    return out.select(*docs.columns)

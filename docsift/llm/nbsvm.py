@@ -123,19 +123,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(at, both[:len(at)], both[len(at):], bias, slope, offset)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` in (0, 1), ``predicted`` (score at
-    least CUT), one row per input row, repeated rows too.
-
-    A null or empty text has no features and is scored by the bias; null ids
-    are passed on and aren't held out. Other columns are ignored. Nothing but
-    the text enters the score.
-    """
+def _scorer(docs: DataFrame, model: Model):
+    """Text -> score, with the weights broadcast and unpacked once in each worker."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made: list = []
 
     def apply(text: str | None) -> float:
-        if not made:  # once in each worker
+        if not made:
             m = shared.value
             w, r = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
             w[m.at], r[m.at] = m.weights, m.scales
@@ -144,5 +138,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         at, v = scaled(extract(text), r)
         return X.sigmoid(m.slope * (float(w[at] @ v) + m.bias) + m.offset)
 
-    out = X.scored(docs, apply, id_col, text_col)
+    return apply
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` in (0, 1), ``predicted`` (score at
+    least CUT), one row per input row, repeated rows too.
+
+    A null or empty text has no features and is scored by the bias; null ids
+    are passed on and aren't held out. Other columns are ignored. Nothing but
+    the text enters the score.
+    """
+    out = X.scored(docs, _scorer(docs, model), id_col, text_col)
     return out.select("doc_id", X.held_out(F.col("doc_id"), FOLD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`score` predicts 1 for, all columns as they
+    are; no shuffle, since each row is decided where it is read."""
+    scorer = _scorer(docs, model)
+    return X.accepted(docs, lambda text: scorer(text) >= CUT, text_col)

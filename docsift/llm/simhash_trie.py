@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import materialize
+from docsift.llm.common import content_key, materialize, one_row_each
 from docsift.llm.components import connected_components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
@@ -60,16 +60,17 @@ def simhash(text: str | None, n: int = SHINGLE_WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint's 64 bits as a bigint), one row per
+    """``doc_id``, ``key`` (hash of id and text), ``fp`` (64 bits), one row per
     input row; a null text counts as empty, whose fingerprint is zero."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((simhash(t.as_py(), shingle_words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((simhash(t.as_py(), shingle_words) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("doc_id"), content_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint")
 
 
 def bit_order(fps: DataFrame) -> list[int]:
@@ -186,6 +187,17 @@ def _unpermuted(p: np.ndarray, back: list[int]) -> np.ndarray:
     return out
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, key, fp; placed: fp, doc_id (its smallest), root: a
+    fingerprint that stands for the component)."""
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
+    least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
+    links = materialize(near_pairs(least, max_bits), "simhash-links")
+    root = connected_components(links)  # node, root: linked fingerprints only
+    placed = least.join(root, least.fp == root.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    return rows, materialize(placed, "simhash-placed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """Components of documents whose fingerprints are linked; one row per input row.
 
@@ -195,12 +207,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked like any other; repeated rows share their component. Other columns
     are ignored; an empty table gives an empty table.
     """
-    docs = materialize(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
-    least = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
-    links = materialize(near_pairs(least, max_bits), "simhash-links")
-    root = connected_components(links)  # node, root: linked fingerprints only
-    placed = least.join(root, least.fp == root.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed, "simhash-placed")
+    rows, placed = _components(docs, id_col, text_col, shingle_words, max_bits)
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = materialize(placed.join(smallest, "root").select("fp", "component_id"), "simhash-components")
-    return docs.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` (all columns) with one row left of each component: the smallest
+    id, nulls last, then the smallest hash of the text; of repeated rows one."""
+    rows, placed = _components(docs, id_col, text_col, shingle_words, max_bits)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
+    # counted before the components are joined, so that copies are one row
+    names = rows.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")).select("fp", F.struct(row.alias("at"), F.col("n")).alias("best"))
+    names = materialize(names.groupBy("fp").agg(F.min("best").alias("best")), "simhash-best")
+    chosen = names.join(placed.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("b"))
+    chosen = materialize(chosen.select(F.col("b.at.doc_id").alias("id"), F.col("b.at.key").alias("key"), F.col("b.n").alias("n")), "simhash-chosen")
+    return one_row_each(docs, chosen, id_col, text_col)

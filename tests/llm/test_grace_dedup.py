@@ -41,8 +41,8 @@ def test_empty_table(spark):
 def test_table_compares_contents_not_hashes():
     t = G.ContentTable(4)
     for i in range(50):
-        t.add(12345, b"%d" % (i % 5), 1, 3, i)
-    assert [(e[1], e[3], e[5]) for e in t.entries] == [(b"%d" % i, 10, i) for i in range(5)]
+        t.add(12345, b"%d" % (i % 5), 1, (-3, False, i, 0), 1)
+    assert [(e[1], e[3], e[4][2]) for e in t.entries] == [(b"%d" % i, 10, i) for i in range(5)]
 
 
 def test_buckets_are_split_until_they_fit(spark):
@@ -51,3 +51,11 @@ def test_buckets_are_split_until_they_fit(spark):
     sized = df.withColumn("bucket", G.bucket_column(df, 3000)).groupBy("bucket").count().collect()
     assert max(r["count"] for r in sized) <= 10 or all(int(r.bucket.split(":")[0]) >= 60 for r in sized if r["count"] > 10)
     assert len({int(r.bucket.split(":")[0]) for r in sized}) > 1
+
+
+def test_one_row_of_each_group_is_left(spark):
+    df = spark.createDataFrame([(d, t, 1, "c") for d, t in ROWS], "doc_id bigint, text string, key int, digest string").repartition(5)
+    out = G.drop_copies(df)
+    assert out.columns == df.columns
+    left = sorted(((r.doc_id, (r.text or "").translate(WS)) for r in out.collect()), key=repr)
+    assert left == sorted({(k, (t or "").translate(WS)) for (d, t), k in zip(ROWS, (dict((repr((b[0], b[4])), b[1]) for b in brute(ROWS))[repr((d, hashlib.sha256((t or "").translate(WS).encode()).hexdigest()))] for d, t in ROWS))}, key=repr)

@@ -76,3 +76,17 @@ def test_empty_tables(spark):
     assert M.mix(spark.createDataFrame([], schema)).documents.count() == 0
     out = M.mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], schema)).documents.collect()
     assert [(r.size, r.target, r.taken) for r in out] == [(0, 0.0, 0)] * 2
+
+
+def test_mixed_texts_hold_what_is_taken(spark):
+    df, _ = table(spark)
+    mixed = M.mix(df)
+    texts = M.mixed_texts(df, mixed)
+    assert texts.columns == df.columns
+    got, want = Counter(), Counter()
+    for r in texts.collect():
+        assert r.text and r.text == r.text.strip()
+        got[r.doc_id] += len(r.text.split())
+    for r in mixed.documents.collect():
+        want[r.doc_id] += r.taken
+    assert got == +want

@@ -94,3 +94,14 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "q")], "doc_id bigint, text string")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in S.near_duplicates(df).collect())
     assert got == [("4", "4"), ("4", "4"), ("None", "4"), ("None", "None")]
+
+
+def test_one_row_of_each_component_is_left(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3]), (None, "a b c d"), (None, "a b c d"), (None, "only null id"), (50, "one two THREE four")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id bigint, text string, fp string, n int")
+    out = S.drop_near_duplicates(df)
+    known = brute([r for r in rows if r[0] is not None])
+    want = {c for _, c in known.values()}
+    assert out.columns == df.columns
+    got = [r.doc_id for r in out.collect()]
+    assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 2
