@@ -6,9 +6,12 @@ Rows are ``(ord, bits)``: ``ord`` is the arrival order (and the file id), and
 1. ``collapse_exact``: one node per distinct hash (first ``ord`` is the node
    id, the last ``ord`` is the file kept for it). This removes the hottest
    skew (many identical hashes) before any pair is formed.
-2. ``hamming.near_pairs`` on the nodes: all pairs within the threshold.
-3. ``greedy.greedy_rounds``: the walk-order leader set.
-4. each other node joins its earliest adjacent leader; exact copies follow
+2. ``assign``: nodes are taken in waves of growing size, in walk order. A
+   wave's nodes are first compared with the leaders found so far, which
+   removes the members of known clusters; only the rest is compared among
+   itself and walked greedily. So a cluster of m near copies costs about m
+   rows, not m * m / 2 pairs.
+3. each other node joins its earliest adjacent leader; exact copies follow
    their node.
 
 Groups are returned in long form (one row per member), never as collected
@@ -22,10 +25,16 @@ from pyspark.sql import functions as F
 
 from docsift import constants as C
 from docsift.functions.hashing import bits_to_long
-from docsift.operators.greedy import greedy_rounds
+from docsift.operators.greedy import greedy
 from docsift.operators.hamming import near_pairs
 from docsift.session import write_table
 
+#: Nodes in the first wave, and how much larger each next one is.
+FIRST_WAVE, WAVE_GROWTH = 256, 16
+#: Wave ends up to this rank are exact; beyond it an approximate quantile does,
+#: since waves need only be in order.
+EXACT_RANKS = 4096
+
 
 def with_hash(rows: DataFrame, bits: str = "bits") -> DataFrame:
     return rows.withColumn("hash", bits_to_long(F.col(bits)))
@@ -49,19 +58,68 @@ def node_pairs(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFr
             .select(F.col("id_a").alias("node_a"), F.col("id_b").alias("node_b"), "distance"))
 
 
-def assign(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``node, leader`` for every node (a leader leads itself)."""
-    pairs = write_table(pairs, "dedup-pairs")  # computed once, read by both steps below
-    # near_pairs emits each pair once, and the table is already written
-    kept, removed = greedy_rounds(pairs.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst")),
-                                  edges_ready=True)
-    removed_ids = removed.select(F.col("id").alias("node"))
-    # a removed node belongs to its earliest adjacent leader, which precedes it
-    lead_edges = (pairs.join(removed_ids.withColumnRenamed("node", "node_b"), "node_b", "left_semi")
-                  .join(removed_ids.withColumnRenamed("node", "node_a"), "node_a", "left_anti"))
-    owner = lead_edges.groupBy(F.col("node_b").alias("node")).agg(F.min("node_a").alias("leader"))
-    return (nodes.select("node").join(owner, "node", "left")
-            .select("node", F.coalesce("leader", "node").alias("leader")))
+def wave_ends(nodes: DataFrame) -> list[int]:
+    """Node ids at which the waves end (the last wave has no end)."""
+    n = nodes.count()
+    ranks, size = [], FIRST_WAVE
+    while size < n:
+        ranks.append(size)
+        size *= WAVE_GROWTH
+    near = [r for r in ranks if r <= EXACT_RANKS]
+    ends = []
+    if near:
+        first = nodes.select("node").orderBy("node").limit(near[-1])
+        ends = [r.e for r in first.select(F.row_number().over(_by_node()).alias("r"), F.col("node").alias("e")).filter(F.col("r").isin(near)).orderBy("e").collect()]
+    far = [r / n for r in ranks if r > EXACT_RANKS]
+    if far:
+        ends += nodes.agg(F.percentile_approx("node", far, 100_000).alias("e")).first().e
+    return ends
+
+
+def _by_node():
+    from pyspark.sql.window import Window
+
+    return Window.orderBy("node")
+
+
+def assign(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, known: DataFrame | None = None) -> DataFrame:
+    """``node, leader`` for every node (a leader leads itself).
+
+    ``known`` (``hash``): leaders from before; a node near one of them gets a
+    null leader. ``nodes`` must be cheap to read again (a written table).
+    """
+    ends = wave_ends(nodes)
+    leaders = known.select(F.lit(None).cast("long").alias("node"), "hash") if known is not None else None
+    owners: list[DataFrame] = []
+    for lo, hi in zip([None, *ends], [*ends, None]):
+        wave = nodes.select(F.col("node").cast("long"), "hash")
+        wave = wave if lo is None else wave.filter(F.col("node") > lo)
+        wave = wave if hi is None else wave.filter(F.col("node") <= hi)
+        if leaders is not None:
+            found = near_pairs(wave, leaders.withColumn("hash_id", F.col("hash")).select(F.col("hash_id").alias("node"), "hash"), threshold, "node")
+            of_hash = leaders.select(F.col("hash").alias("id_b"), F.col("node").alias("leader"))
+            # the earliest leader; one from before (null) comes first
+            hits = (found.join(of_hash, "id_b").groupBy(F.col("id_a").alias("node"))
+                    .agg(F.min("leader").alias("leader"), F.max(F.col("leader").isNull()).alias("old")))
+            hits = write_table(hits.select("node", F.when(~F.col("old"), F.col("leader")).alias("leader")), "dedup-hits")
+            owners.append(hits)
+            wave = wave.join(hits.select("node"), "node", "left_anti")
+        wave = write_table(wave, "dedup-wave")
+        pairs = write_table(near_pairs(wave, None, threshold, "node"), "dedup-pairs")
+        decided = write_table(greedy(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))), "dedup-decided")
+        removed = decided.filter(~F.col("kept")).select(F.col("id").alias("node"))
+        # a removed node's earliest adjacent leader precedes it
+        of_wave = (pairs.join(removed.withColumnRenamed("node", "id_b"), "id_b", "left_semi")
+                   .join(removed.withColumnRenamed("node", "id_a"), "id_a", "left_anti")
+                   .groupBy(F.col("id_b").alias("node")).agg(F.min("id_a").alias("leader")))
+        fresh = wave.join(removed, "node", "left_anti")
+        owners.append(write_table(of_wave.unionByName(fresh.select("node", F.col("node").alias("leader"))), "dedup-owners"))
+        fresh = write_table(fresh.select("node", "hash"), "dedup-leaders")
+        leaders = fresh if leaders is None else leaders.unionByName(fresh)
+    out = owners[0]
+    for o in owners[1:]:
+        out = out.unionByName(o)
+    return out
 
 
 def dedup_plan(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
@@ -71,7 +129,7 @@ def dedup_plan(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFra
     (exact copies included) is removed.
     """
     nodes = write_table(collapse_exact(rows), "dedup-nodes")
-    owners = assign(nodes, node_pairs(nodes, threshold))
+    owners = write_table(assign(nodes, threshold), "dedup-owners")
     lead_files = nodes.select(F.col("node").alias("leader"), F.col("file_ord").alias("leader_file"),
                               F.col("hash").alias("leader_hash"))
     per_row = with_hash(rows).join(nodes.select("hash", "node"), "hash")
@@ -81,7 +139,7 @@ def dedup_plan(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFra
 
 def leaders(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
     nodes = write_table(collapse_exact(rows), "dedup-nodes")
-    owners = assign(nodes, node_pairs(nodes, threshold))
+    owners = assign(nodes, threshold)
     return owners.filter(F.col("node") == F.col("leader")).join(nodes, "node").select(
         F.col("node").alias("ord"), "bits")
 
@@ -107,18 +165,10 @@ def incremental(batch: DataFrame, store: DataFrame, threshold: int = C.DEFAULT_T
     Returns ``ord, status`` for every batch row.
     """
     nodes = write_table(collapse_exact(batch), "dedup-nodes")
-    stored = with_hash(store).select("hash").distinct()
-    hits = _hits_vs_store(nodes, stored, threshold)
-    fresh = nodes.join(hits, "node", "left_anti")
-    owners = assign(fresh, node_pairs(fresh, threshold))
+    stored = write_table(with_hash(store).select("hash").distinct(), "dedup-stored")
+    owners = assign(nodes, threshold, known=stored)
     new_nodes = owners.filter(F.col("node") == F.col("leader")).select("node")
     per_row = with_hash(batch).join(nodes.select("hash", "node"), "hash")
     is_new = per_row.join(new_nodes.withColumn("n", F.lit(True)), "node", "left")
     return is_new.select("ord", F.when(F.coalesce("n", F.lit(False)) & (F.col("ord") == F.col("node")),
                                        F.lit("new")).otherwise(F.lit("duplicate")).alias("status"))
-
-
-def _hits_vs_store(nodes: DataFrame, stored: DataFrame, threshold: int) -> DataFrame:
-    pairs = near_pairs(nodes.select("node", "hash"), stored.select(F.col("hash").alias("node"), "hash"),
-                       threshold=threshold, id_col="node", hash_col="hash")
-    return pairs.select(F.col("id_a").alias("node")).distinct()

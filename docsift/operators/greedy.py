@@ -1,77 +1,69 @@
-"""Greedy leader set over an ordered graph, as DataFrame rounds.
+"""Greedy leader set over an ordered graph.
 
 Walking items in order and keeping an item unless an already kept item is
-adjacent yields the lexicographically first maximal independent set. It can
-be computed in parallel rounds (Blelloch, Fineman and Shun, 2012): an
-undecided node with no undecided earlier neighbour is kept; undecided later
-neighbours of kept nodes are removed; repeat. Each round is three joins over
-the remaining edges, which shrink every round. Every round's state is cut
-from its lineage with a reliable ``checkpoint()`` into the session's
-checkpoint folder (a written table), so a lost executor costs at most one
-round and later rounds never recompute earlier ones.
-
-Rounds are few on near-duplicate graphs (clusters are small); a long chain
-ordered along the chain needs about half its length in rounds.
+adjacent yields the lexicographically first maximal independent set. It is
+computed in parallel rounds (Blelloch, Fineman and Shun, 2012): an undecided
+node with no undecided earlier neighbour is kept; undecided later neighbours
+of kept nodes are removed; repeat. Every round writes its small state to the
+session's checkpoint folder, so a lost executor costs at most one round and
+later rounds never recompute earlier ones. Once at most ``WALK_EDGES`` edges
+are left, one task walks them in order, so long chains need few rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.session import ensure_checkpoint_dir, write_table
 
+#: Edges that one task may walk (a bounded rest, some megabytes).
+WALK_EDGES = 200_000
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    earlier: dict[int, list[int]] = {}
+    nodes: set[int] = set()
+    for b in batches:
+        for src, dst in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            earlier.setdefault(dst, []).append(src)
+            nodes.update((src, dst))
+    kept: set[int] = set()
+    order = sorted(nodes)
+    for n in order:
+        if not any(p in kept for p in earlier.get(n, ())):
+            kept.add(n)
+    yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array([n in kept for n in order], pa.bool_())],
+                                     names=["id", "kept"])
 
-def greedy_rounds(edges: DataFrame, max_rounds: int = 10_000,
-                  edges_ready: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Decide every node that has an edge.
 
-    ``edges(src, dst)`` must satisfy src < dst in the walk order (ids are the
-    order). Returns ``(kept, removed)`` id tables (column ``id``). Nodes
-    without edges are kept and not listed here.
+def greedy(edges: DataFrame) -> DataFrame:
+    """``id, kept`` for every node that has an edge.
 
-    Per round three small tables are written to the checkpoint root: the
-    nodes decided in the round, the remaining undecided nodes and the
-    remaining edges. Each is written once (no recomputation) and read back.
+    ``edges(src, dst)`` must be distinct and satisfy src < dst in the walk
+    order (ids are the order). Nodes without edges are kept and not listed.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select("src", "dst") if edges_ready else write_table(edges.select("src", "dst").distinct(),
-                                                                      "greedy-edges")
-    undecided = write_table(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id")))
-                            .distinct(), "greedy-nodes")
-    decided_parts: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            decided_parts.append(undecided.withColumn("kept", F.lit(True)))
-            break
-        kept = undecided.join(e.select(F.col("dst").alias("id")), "id", "left_anti")
-        removed = (e.join(kept.withColumnRenamed("id", "src"), "src", "left_semi")
-                   .select(F.col("dst").alias("id")).distinct())
-        decided = write_table(kept.withColumn("kept", F.lit(True))
-                              .unionByName(removed.withColumn("kept", F.lit(False))), "greedy-decided")
-        decided_parts.append(decided)
-        undecided = write_table(undecided.join(decided, "id", "left_anti"), "greedy-nodes")
+    ensure_checkpoint_dir(edges.sparkSession)
+    e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
+    parts: list[DataFrame] = []
+    while e.count() > WALK_EDGES:
+        nodes = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
+        kept = nodes.join(e.select(F.col("dst").alias("id")), "id", "left_anti")
+        removed = e.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        decided = write_table(kept.withColumn("kept", F.lit(True)).unionByName(removed.withColumn("kept", F.lit(False))),
+                              "greedy-decided")
+        parts.append(decided)
         gone = decided.select("id")
         e = write_table(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
                         .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "greedy-edges")
-    else:
-        raise RuntimeError("greedy leader rounds did not converge")
-    empty = spark.createDataFrame([], "id long, kept boolean")
-    decided_all = empty
-    for p in decided_parts:
-        decided_all = decided_all.unionByName(p.select(F.col("id").cast("long"), "kept"))
-    return (decided_all.filter("kept").select("id"), decided_all.filter("NOT kept").select("id"))
-
-
-def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    out = empty
+        # a node whose edges all went with this round is free, and so kept
+        left = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
+        parts.append(write_table(nodes.join(gone, "id", "left_anti").join(left, "id", "left_anti")
+                                 .withColumn("kept", F.lit(True)), "greedy-free"))
+    out = e.repartition(1).mapInArrow(_walk, "id long, kept boolean")
     for p in parts:
-        out = out.unionByName(p.select(F.col("id").cast("long")))
+        out = out.unionByName(p)
     return out
-
-
-def leaders(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
-    """Nodes kept by the greedy walk: all nodes minus the removed ones."""
-    _, removed = greedy_rounds(edges)
-    return nodes.join(removed.withColumnRenamed("id", id_col), id_col, "left_anti")

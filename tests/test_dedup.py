@@ -5,7 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from docsift.operators import dedup as DD
+from docsift.operators import greedy
 from docsift.operators.hamming import near_pairs
+from docsift.session import write_table
 
 
 def _bits(h):
@@ -33,7 +35,7 @@ def test_near_pairs_equal_brute_force(spark):
     signed = [h - 2**64 if h >= 2**63 else h for h in hashes]
     df = spark.createDataFrame(list(enumerate(signed)), "ord long, hash long")
     for t in (0, 3, 5, 9):
-        got = {(r.id_a, r.id_b, r.distance) for r in near_pairs(df, threshold=t, hot_rows=2).collect()}
+        got = {(r.id_a, r.id_b, r.distance) for r in near_pairs(df, threshold=t).collect()}
         want = {(i, j, bin(hashes[i] ^ hashes[j]).count("1")) for i in range(len(hashes))
                 for j in range(i + 1, len(hashes)) if bin(hashes[i] ^ hashes[j]).count("1") <= t}
         assert got == want
@@ -84,3 +86,48 @@ def test_incremental_against_store(spark):
                                   "ord long, bits string")
     got = {r.ord: r.status for r in DD.incremental(batch, store, 5).collect()}
     assert got == {1: "duplicate", 2: "new", 3: "duplicate", 4: "duplicate"}
+
+
+def test_a_large_cluster_makes_no_quadratic_table(spark):
+    """5,000 near copies of one hash: every one within 5 bits of the first."""
+    rnd = random.Random(3)
+    center = rnd.getrandbits(64)
+    hashes = [center]
+    seen = {center}
+    while len(hashes) < 5000:
+        h = center
+        for b in rnd.sample(range(64), rnd.randint(1, 5)):
+            h ^= 1 << b
+        if h not in seen:
+            seen.add(h)
+            hashes.append(h)
+    df = spark.createDataFrame([(i, _bits(h)) for i, h in enumerate(hashes)], "ord long, bits string")
+    nodes = write_table(DD.collapse_exact(df), "test-nodes")
+    assert [r.n for r in nodes.agg(F.count(F.lit(1)).alias("n")).collect()] == [5000]
+    ends = DD.wave_ends(nodes)
+    assert ends[0] == DD.FIRST_WAVE - 1
+    owners = {r.node: r.leader for r in DD.assign(nodes, 5).collect()}
+    assert set(owners.values()) == {0} and len(owners) == 5000
+    # only the first wave is compared with itself
+    first = nodes.filter(F.col("node") <= ends[0])
+    assert near_pairs(first, None, 5, "node").count() <= DD.FIRST_WAVE ** 2 / 2
+
+
+def test_long_chain_matches_the_walk(spark):
+    """Each hash is near its neighbours alone, so every other one leads."""
+    hashes, h = [], 0
+    for i in range(600):
+        h ^= sum(1 << ((7 * i + k) % 64) for k in range(3))
+        hashes.append(h)
+    items = list(dict.fromkeys(hashes))
+    df = spark.createDataFrame([(i, _bits(x)) for i, x in enumerate(items)], "ord long, bits string")
+    assert sorted(r.ord for r in DD.leaders(df, 5).collect()) == _greedy(list(enumerate(items)), 5)
+
+
+def test_greedy_rounds_and_walk_agree(spark, monkeypatch):
+    rnd = random.Random(5)
+    edges = {tuple(sorted(rnd.sample(range(120), 2))) for _ in range(300)} | {(i, i + 1) for i in range(200, 260)}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    want = {r.id: r.kept for r in greedy.greedy(df).collect()}
+    monkeypatch.setattr(greedy, "WALK_EDGES", 0)
+    assert {r.id: r.kept for r in greedy.greedy(df).collect()} == want
