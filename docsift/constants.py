@@ -46,7 +46,31 @@ ERR_TIMEOUT = "API request timed out"
 ERR_NETWORK_PREFIX = "Network error: "
 ERR_OTHER_PREFIX = "请求异常: "
 ERR_PROCESSING_PREFIX = "Processing failed: "
-JSON_FENCE = "```json"
+ERR_PROCESSING_EXTRACTION_PREFIX = "处理异常: "
+METADATA_PURPOSE = "OCR_DLP_performance_testing"
+DATA_URL_PREFIX = "data:image/jpeg;base64,"
+
+# --- summary report ---------------------------------------------------------
+REPORT_HEADING = "# Image Classification Summary Report"
+REPORT_RULE = "=" * 50
+REPORT_OVERVIEW = "## Overview"
+REPORT_TOTAL, REPORT_SUCCESSFUL = "- Total Images: ", "- Successfully Classified: "
+REPORT_FAILED, REPORT_RATE = "- Failed: ", "- Success Rate: "
+REPORT_TITLES = {
+    "document_category": "## Document Categories",
+    "ocr_difficulty": "## OCR Difficulty Distribution",
+    "language_primary": "## Language Distribution",
+}
+
+# --- comparison document ----------------------------------------------------
+COMPARISON_SUMMARY = {
+    "extraction_purpose": "Extract specific data values from documents",
+    "labeling_purpose": "Classify documents for OCR_DLP testing",
+    "extraction_use_case": "Business process automation, data entry",
+    "labeling_use_case": "ML system evaluation, dataset preparation",
+    "extraction_focus": "Document content and data",
+    "labeling_focus": "Document type and characteristics",
+}
 
 # --- image filter defaults --------------------------------------------------
 MIN_SIDE, MAX_SIDE = 300, 4096

@@ -17,23 +17,45 @@ def strict_parse(text: Column) -> Column:
     """Parse ``text`` as exactly one JSON value, or NULL.
 
     ``try_parse_json`` alone accepts trailing text (``{..} junk``) and two
-    concatenated objects; wrapping the text in ``[...]`` makes both a syntax
-    error, and requiring that the array has no second element keeps exactly
-    one value. Blank text becomes ``[]`` and so NULL as well.
+    concatenated objects. Wrapping the text in ``[...]`` makes both a syntax
+    error unless the text closes the bracket itself (``{..}] junk``), so a
+    text with a bracket must also parse as the value of an object. Requiring
+    that the array has no second element keeps exactly one value; blank text
+    becomes ``[]`` and so NULL as well.
     """
     arr = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.variant_get(arr, "$[1]", "variant").isNull(),
+    whole = ~text.contains("]") | F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(F.variant_get(arr, "$[1]", "variant").isNull() & whole,
                   F.variant_get(arr, "$[0]", "variant"))
 
 
+def quote_constants(text: Column) -> Column:
+    """``NaN``, ``Infinity`` and ``-Infinity`` outside strings as strings: common
+    JSON readers accept them as numbers, Spark's does not."""
+    mark = "\u0001"  # can't stand in valid JSON text
+    marked = F.regexp_replace(text, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(NaN|-?Infinity)', f"$1{mark}$2")
+    quoted = F.regexp_replace(marked, f"{mark}(NaN|-?Infinity)", '"$1"')
+    return F.regexp_replace(quoted, mark, "")
+
+
 def is_object_text(text: Column) -> Column:
     """Text whose first non-blank character opens an object."""
     return text.rlike("^" + _JSON_WS + "\\{")
 
 
 def parse_object(text: Column) -> Column:
-    """Strictly parsed JSON object as VARIANT; NULL for anything else."""
-    return F.when(is_object_text(text), strict_parse(text))
+    """Strictly parsed JSON object as VARIANT; NULL for anything else.
+
+    Repeated keys keep the last value where the session allows them (see
+    :func:`allow_repeated_keys`)."""
+    plain = strict_parse(text)
+    odd = F.when(text.rlike("NaN|Infinity"), strict_parse(quote_constants(text)))
+    return F.when(is_object_text(text), F.coalesce(plain, odd))
+
+
+def allow_repeated_keys(spark) -> None:
+    """Let objects repeat a key, the last value winning, as common readers do."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def _path(key: str) -> str:

@@ -96,25 +96,19 @@ def assign(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, known: DataFr
         wave = wave if lo is None else wave.filter(F.col("node") > lo)
         wave = wave if hi is None else wave.filter(F.col("node") <= hi)
         if leaders is not None:
-            found = near_pairs(wave, leaders.withColumn("hash_id", F.col("hash")).select(F.col("hash_id").alias("node"), "hash"), threshold, "node")
+            found = near_pairs(wave, leaders.select(F.col("hash").alias("node"), "hash"), threshold, "node")
             of_hash = leaders.select(F.col("hash").alias("id_b"), F.col("node").alias("leader"))
             # the earliest leader; one from before (null) comes first
             hits = (found.join(of_hash, "id_b").groupBy(F.col("id_a").alias("node"))
                     .agg(F.min("leader").alias("leader"), F.max(F.col("leader").isNull()).alias("old")))
             hits = write_table(hits.select("node", F.when(~F.col("old"), F.col("leader")).alias("leader")), "dedup-hits")
             owners.append(hits)
-            wave = wave.join(hits.select("node"), "node", "left_anti")
-        wave = write_table(wave, "dedup-wave")
-        pairs = write_table(near_pairs(wave, None, threshold, "node"), "dedup-pairs")
-        decided = write_table(greedy(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))), "dedup-decided")
-        removed = decided.filter(~F.col("kept")).select(F.col("id").alias("node"))
-        # a removed node's earliest adjacent leader precedes it
-        of_wave = (pairs.join(removed.withColumnRenamed("node", "id_b"), "id_b", "left_semi")
-                   .join(removed.withColumnRenamed("node", "id_a"), "id_a", "left_anti")
-                   .groupBy(F.col("id_b").alias("node")).agg(F.min("id_a").alias("leader")))
-        fresh = wave.join(removed, "node", "left_anti")
-        owners.append(write_table(of_wave.unionByName(fresh.select("node", F.col("node").alias("leader"))), "dedup-owners"))
-        fresh = write_table(fresh.select("node", "hash"), "dedup-leaders")
+            wave = write_table(wave.join(hits.select("node"), "node", "left_anti"), "dedup-wave")
+        pairs = write_table(near_pairs(wave, None, threshold, "node").select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")), "dedup-pairs")
+        led = wave.join(greedy(pairs).withColumnRenamed("id", "node"), "node", "left")
+        led = write_table(led.select("node", F.coalesce("leader", "node").alias("leader"), "hash"), "dedup-owners")
+        owners.append(led.select("node", "leader"))
+        fresh = led.filter(F.col("node") == F.col("leader")).select("node", "hash")
         leaders = fresh if leaders is None else leaders.unionByName(fresh)
     out = owners[0]
     for o in owners[1:]:
@@ -129,7 +123,7 @@ def dedup_plan(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFra
     (exact copies included) is removed.
     """
     nodes = write_table(collapse_exact(rows), "dedup-nodes")
-    owners = write_table(assign(nodes, threshold), "dedup-owners")
+    owners = assign(nodes, threshold)
     lead_files = nodes.select(F.col("node").alias("leader"), F.col("file_ord").alias("leader_file"),
                               F.col("hash").alias("leader_hash"))
     per_row = with_hash(rows).join(nodes.select("hash", "node"), "hash")

@@ -31,39 +31,42 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, dst in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             earlier.setdefault(dst, []).append(src)
             nodes.update((src, dst))
-    kept: set[int] = set()
+    leader: dict[int, int] = {}
     order = sorted(nodes)
     for n in order:
-        if not any(p in kept for p in earlier.get(n, ())):
-            kept.add(n)
-    yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array([n in kept for n in order], pa.bool_())],
-                                     names=["id", "kept"])
+        leader[n] = min((p for p in earlier.get(n, ()) if leader[p] == p), default=n)
+    yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array([leader[n] for n in order], pa.int64())],
+                                     names=["id", "leader"])
 
 
 def greedy(edges: DataFrame) -> DataFrame:
-    """``id, kept`` for every node that has an edge.
+    """``id, leader`` for every node that has an edge: a kept node leads itself,
+    any other belongs to its earliest adjacent kept node.
 
-    ``edges(src, dst)`` must be distinct and satisfy src < dst in the walk
-    order (ids are the order). Nodes without edges are kept and not listed.
+    ``edges(src, dst)`` must be distinct, cheap to read again (a written table)
+    and satisfy src < dst in the walk order (ids are the order). Nodes without
+    edges are kept and not listed.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
-    parts: list[DataFrame] = []
+    every = e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
+    kept_parts: list[DataFrame] = []
     while e.count() > WALK_EDGES:
         nodes = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
-        kept = nodes.join(e.select(F.col("dst").alias("id")), "id", "left_anti")
+        kept = write_table(nodes.join(e.select(F.col("dst").alias("id")), "id", "left_anti"), "greedy-kept")
         removed = e.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        decided = write_table(kept.withColumn("kept", F.lit(True)).unionByName(removed.withColumn("kept", F.lit(False))),
-                              "greedy-decided")
-        parts.append(decided)
-        gone = decided.select("id")
+        gone = write_table(kept.union(removed), "greedy-gone")
         e = write_table(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
                         .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "greedy-edges")
         # a node whose edges all went with this round is free, and so kept
         left = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
-        parts.append(write_table(nodes.join(gone, "id", "left_anti").join(left, "id", "left_anti")
-                                 .withColumn("kept", F.lit(True)), "greedy-free"))
-    out = e.repartition(1).mapInArrow(_walk, "id long, kept boolean")
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+        free = nodes.join(gone, "id", "left_anti").join(left, "id", "left_anti")
+        kept_parts.append(write_table(kept.union(free), "greedy-kept"))
+    walked = e.repartition(1).mapInArrow(_walk, "id long, leader long")
+    if not kept_parts:
+        return walked
+    kept = walked.filter("id = leader").select("id")
+    for p in kept_parts:
+        kept = kept.union(p)
+    kept = write_table(kept, "greedy-kept")
+    owned = every.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return kept.select("id", F.col("id").alias("leader")).union(owned.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("leader")))

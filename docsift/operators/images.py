@@ -54,10 +54,15 @@ def reason_counts(filtered: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Image info with transparency and the payload re-encode flag."""
+    """Image info with transparency and the payload re-encode flag.
+
+    An image is transparent by its mode, or by a marker in its header
+    (column ``transparency``, where there is one)."""
+    by_mode = F.col("mode").isin(*C.TRANSPARENT_MODES)
+    marked = F.coalesce(F.col("transparency"), F.lit(False)) if "transparency" in df.columns else F.lit(False)
     return df.select(
         "file_id", "filename", "format", "width", "height", "mode", "file_size",
-        F.col("mode").isin(*C.TRANSPARENT_MODES).alias("has_transparency"),
+        (by_mode | marked).alias("has_transparency"),
         (F.col("file_size") > C.MAX_PAYLOAD_BYTES).alias("needs_reencode"),
     )
 

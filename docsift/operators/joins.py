@@ -18,12 +18,6 @@ def unmatched(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFr
     return left.join(right.select(*keys), keys, "left_anti")
 
 
-def matched(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
-    """Rows of ``left`` whose key occurs in ``right`` (EXISTS)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return left.join(right.select(*keys), keys, "left_semi")
-
-
 def side_by_side(left: DataFrame, right: DataFrame, key: str, left_flag: str, right_flag: str) -> DataFrame:
     """Full outer join on ``key`` with presence flags for each side."""
     l2 = left.withColumn(left_flag, F.lit(True))

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docsift import constants as C
 from docsift.functions import json as J
+from docsift.operators.numbering import with_position
 
 
 def parse_log(lines: DataFrame, line: str = "line", line_no: str = "line_no") -> DataFrame:
@@ -25,6 +25,7 @@ def parse_log(lines: DataFrame, line: str = "line", line_no: str = "line_no") ->
     ``status`` is ``ok`` / ``failed`` for records, and ``blank`` /
     ``invalid_json`` / ``not_object`` for lines that are not records.
     """
+    J.allow_repeated_keys(lines.sparkSession)
     text = F.col(line)
     rec = J.parse_object(text)
     # ``rec`` comes out of a one-element generator: Catalyst cannot push a
@@ -84,12 +85,13 @@ def histograms(parsed: DataFrame, fields=C.HISTOGRAM_FIELDS) -> DataFrame:
     long = successful(parsed).select("line_no", F.inline(pairs))
     counts = long.groupBy("dimension", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
-    per_dim = Window.partitionBy("dimension")
-    ordered = Window.partitionBy("dimension").orderBy(F.desc("n"), F.asc("first_line"))
-    return counts.select(
-        "dimension", "value", "n",
-        _pct(F.col("n"), F.sum("n").over(per_dim)).alias("pct"),
-        F.row_number().over(ordered).alias("rank"),
+    # values are free text: rank them by ranges, not in one window per dimension
+    counts = counts.withColumn("less", -F.col("n"))
+    placed = with_position(counts, ["dimension", "less", "first_line", "value"], "pos")
+    totals = placed.groupBy("dimension").agg(F.sum("n").alias("all"), F.min("pos").alias("first"))
+    return placed.join(totals, "dimension").select(
+        "dimension", "value", "n", _pct(F.col("n"), F.col("all")).alias("pct"),
+        (F.col("pos") - F.col("first") + 1).cast("int").alias("rank"),
     )
 
 
@@ -149,6 +151,11 @@ def _joined(arr: Column, k: int) -> Column:
     return F.coalesce(F.array_join(F.slice(arr, 1, k), ", "), F.lit(""))
 
 
+def image_path(rec: Column) -> Column:
+    """The image a record is about (its ``_metadata``)."""
+    return J.get_str(rec, "_metadata.image_path")
+
+
 def top_items(parsed: DataFrame) -> DataFrame:
     """First three testing scenarios and first five sensitive data types."""
     rec = F.col("rec")
@@ -162,7 +169,7 @@ def top_items(parsed: DataFrame) -> DataFrame:
 def ocr_view(parsed: DataFrame) -> DataFrame:
     rec = F.col("rec")
     return successful(parsed).select(
-        "line_no",
+        "line_no", image_path(rec).alias("image_path"),
         J.get_str(rec, "ocr_difficulty").alias("difficulty"),
         J.get_str(rec, "text_clarity").alias("text_clarity"),
         J.get_str(rec, "language_primary").alias("language"),
@@ -178,11 +185,11 @@ def dlp_view(parsed: DataFrame, flat: bool = False) -> DataFrame:
     sens = J.get_str_array(rec, "sensitive_data_types")
     scen = J.get_str_array(rec, "testing_scenarios")
     if not flat:
-        return successful(parsed).select("line_no", sens.alias("sensitive_data"),
+        return successful(parsed).select("line_no", image_path(rec).alias("image_path"), sens.alias("sensitive_data"),
                                          J.get_str(rec, "document_category").alias("document_type"),
                                          scen.alias("testing_scenarios"))
     return successful(parsed).select(
-        "line_no",
+        "line_no", image_path(rec).alias("image_path"),
         F.array_join(sens, ",").alias("sensitive_data"),
         F.when(sens.isNotNull(), F.size(sens)).cast("bigint").alias("n_sensitive"),
         J.get_str(rec, "document_category").alias("document_type"),
@@ -193,7 +200,7 @@ def dlp_view(parsed: DataFrame, flat: bool = False) -> DataFrame:
 def classification_view(parsed: DataFrame) -> DataFrame:
     rec = F.col("rec")
     return successful(parsed).select(
-        "line_no",
+        "line_no", image_path(rec).alias("image_path"),
         J.get_str(rec, "document_category").alias("category"),
         J.get_str(rec, "document_subcategory").alias("subcategory"),
         J.get_double(rec, "confidence_score").alias("confidence"),

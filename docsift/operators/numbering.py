@@ -1,72 +1,40 @@
 """Dense 0- or 1-based positions in a global order, without a one-task window.
 
 ``row_number() over (order by k)`` has no partition key, so Spark runs it in
-a single task. Here the order is cut into ranges instead:
-
-1. a bounded sample of the order key (about ``per_bucket_sample`` rows per
-   range) gives range boundaries, which become a balanced CASE tree;
-2. one aggregate counts the rows of each range (one row per range);
-3. each range is numbered by ``row_number()`` partitioned by range, plus the
-   number of rows in all earlier ranges.
-
-Only the sample and the per-range counts reach the driver; both are bounded
-by the number of ranges, not by the data. Ties in the order key stay in one
-range, so order by a unique key (or add a tiebreak column).
+a single task. Here the rows are range-partitioned and sorted by the key, get
+a number within their partition, and are written once; the partitions' counts
+(one row each) give the offsets. The input is computed once, nulls come first,
+and only the offsets are summed in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _less(cols: list[Column], types: list, values: tuple) -> Column:
-    """Lexicographic ``(cols) < (values)`` with literals typed like the columns."""
-    lits = [F.lit(v).cast(t) for v, t in zip(values, types)]
-    cond = cols[-1] < lits[-1]
-    for c, v in zip(reversed(cols[:-1]), reversed(lits[:-1])):
-        cond = (c < v) | ((c == v) & cond)
-    return cond
-
-
-def _bucket_expr(cols, types, bounds: list[tuple], lo: int, hi: int) -> Column:
-    """Index of the range of the key: number of bounds <= key, as a CASE tree."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_less(cols, types, bounds[mid]), _bucket_expr(cols, types, bounds, lo, mid)) \
-        .otherwise(_bucket_expr(cols, types, bounds, mid + 1, hi))
+from docsift.session import ensure_checkpoint_dir, write_table
 
 
 def with_position(df: DataFrame, order_cols: list[str], name: str = "pos", start: int = 0,
-                  ranges: int | None = None, per_bucket_sample: int = 64, seed: int = 17) -> DataFrame:
-    """Add ``name`` = ``start`` + rank of the row in ``order_cols`` order."""
-    spark = df.sparkSession
-    k = ranges or max(1, 2 * spark.sparkContext.defaultParallelism)
-    total = df.count()
-    if total == 0:
-        return df.withColumn(name, F.lit(start).cast("bigint"))
-    frac = min(1.0, k * per_bucket_sample / total)
-    sample = sorted(tuple(r) for r in df.select(*order_cols).sample(fraction=frac, seed=seed).collect()
-                    if all(v is not None for v in r))
-    bounds: list[tuple] = []
-    if sample:
-        step = len(sample) / k
-        for i in range(1, k):
-            b = sample[min(len(sample) - 1, int(i * step))]
-            if not bounds or b > bounds[-1]:
-                bounds.append(b)
-    types = [df.schema[c].dataType for c in order_cols]
-    bucket = _bucket_expr([F.col(c) for c in order_cols], types, bounds, 0, len(bounds))
-    tagged = df.withColumn("_range", bucket)
-    counts = dict(tuple(r) for r in tagged.groupBy("_range").count().collect())
-    offsets, acc = [], 0
-    for b in range(len(bounds) + 1):
-        offsets.append(acc)
-        acc += counts.get(b, 0)
-    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]).cast("array<bigint>"), F.col("_range") + 1)
-    w = Window.partitionBy("_range").orderBy(*[F.col(c) for c in order_cols])
-    return (tagged.withColumn(name, offset + F.row_number().over(w) - 1 + F.lit(start))
-            .drop("_range"))
+                  ranges: int | None = None) -> DataFrame:
+    """Add ``name`` = ``start`` + rank of the row in ``order_cols`` order (nulls first).
 
+    All columns of ``df`` are written along, so number a projection and join
+    back where rows are wide. Ties are numbered in an arbitrary order: add a
+    tiebreak column where that matters.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    # the low 33 bits of the id count the rows of a partition, the rest is its number
+    placed = write_table(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_id", F.monotonically_increasing_id()), "positions")
+    placed = (placed.withColumn("_range", F.shiftright("_id", 33))
+              .withColumn("_row", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    return (placed.join(base, "_range").withColumn(name, F.col("_base") + F.col("_row") + F.lit(start))
+            .drop("_range", "_row", "_base"))

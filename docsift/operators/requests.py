@@ -1,7 +1,7 @@
 """Vision-model request bodies as a column (input of a batch inference job).
 
 The prompt is a parameter; the request carries the image as a base64 data
-URL. Payloads above the size limit are flagged for re-encoding
+URL, always declared as JPEG. Payloads above the size limit are flagged for re-encoding
 (``needs_reencode``), which happens outside Spark.
 """
 
@@ -17,16 +17,9 @@ LABEL_PARAMS = {"max_tokens": 1500, "temperature": 0.1, "detail": "high"}
 EXTRACT_PARAMS = {"max_tokens": 2000, "temperature": 0.1, "detail": "high"}
 
 
-def mime_of(path: Column) -> Column:
-    low = F.lower(path)
-    return (F.when(low.endswith(".png"), F.lit("image/png"))
-            .when(low.endswith(".webp"), F.lit("image/webp"))
-            .otherwise(F.lit("image/jpeg")))
-
-
-def request_body(content: Column, path: Column, prompt: str, model: str, params=LABEL_PARAMS) -> Column:
+def request_body(content: Column, prompt: str, model: str, params=LABEL_PARAMS) -> Column:
     """JSON text of a chat request with one text part and one image part."""
-    url = F.concat(F.lit("data:"), mime_of(path), F.lit(";base64,"), payload_b64(content))
+    url = F.concat(F.lit(C.DATA_URL_PREFIX), payload_b64(content))
     parts = F.array(
         F.struct(F.lit("text").alias("type"), F.lit(prompt).alias("text"),
                  F.lit(None).cast("struct<url:string,detail:string>").alias("image_url")),

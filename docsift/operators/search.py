@@ -78,33 +78,44 @@ def search_urls(responses: DataFrame, engine: str | None = None, limit: int = 10
     return rows.select("response_id", "keyword", "engine", F.posexplode(urls).alias("pos", "url"))
 
 
-def budgets(n_keywords: int, max_images: int, engine: str = "mixed") -> tuple[int, int]:
-    """(per keyword, per engine) URL budgets of a crawl."""
-    per_keyword = max_images // n_keywords if n_keywords else max_images
-    per_engine = per_keyword // len(C.ENGINES) if engine == "mixed" else per_keyword
+def budgets(n_keywords: Column, max_images: int, engine: str = "mixed") -> tuple[Column, Column]:
+    """(per keyword, per engine) URL budgets of a crawl; without keywords the whole budget."""
+    per_keyword = F.coalesce(F.floor(F.try_divide(F.lit(max_images), n_keywords)), F.lit(max_images)).cast("bigint")
+    per_engine = F.floor(per_keyword / len(C.ENGINES)).cast("bigint") if engine == "mixed" else per_keyword
     return per_keyword, per_engine
 
 
-def crawl_selection(urls: DataFrame, max_images: int = 500, n_keywords: int | None = None) -> DataFrame:
+def crawl_budgets(responses: DataFrame, max_images: int = 500) -> DataFrame:
+    """One row: ``n_keywords, per_keyword, per_engine`` over all responses,
+    those of keywords whose searches all failed too."""
+    n = responses.agg(F.count_distinct("keyword").alias("n_keywords"))
+    per_keyword, per_engine = budgets(F.col("n_keywords"), max_images)
+    return n.select("n_keywords", per_keyword.alias("per_keyword"), per_engine.alias("per_engine"))
+
+
+def crawl_selection(responses: DataFrame, max_images: int = 500, n_keywords: int | None = None) -> DataFrame:
     """Mixed-engine crawl: per-engine limit, per-keyword distinct + limit,
     global distinct + limit. First-seen order decides which duplicate stays
     and what the limits keep: keyword, then engine order, then response and
-    rank. Returns ``seq, url, keyword, engine``.
+    rank. Returns ``seq, url, keyword, engine``. ``n_keywords``: how many were
+    searched for, where that is more than have a response.
     """
     if n_keywords is None:
-        n_keywords = urls.select("keyword").distinct().count()
-    per_keyword, per_engine = budgets(n_keywords, max_images)
+        budget = crawl_budgets(responses, max_images).first()
+    else:
+        budget = responses.sparkSession.range(1).select(*[c.alias(k) for c, k in zip(
+            budgets(F.lit(n_keywords), max_images), ("per_keyword", "per_engine"))]).first()
     rank = F.lit(len(C.ENGINES))
     for i, e in reversed(list(enumerate(C.ENGINES))):
         rank = F.when(F.col("engine") == e, F.lit(i)).otherwise(rank)
     w_engine = Window.partitionBy("keyword", "engine").orderBy("response_id", "pos")
-    limited = (urls.withColumn("engine_rank", rank)
+    limited = (search_urls(responses).withColumn("engine_rank", rank)
                .withColumn("_rn", F.row_number().over(w_engine))
-               .filter(F.col("_rn") <= per_engine))
+               .filter(F.col("_rn") <= budget["per_engine"]))
     seen = F.struct("engine_rank", "response_id", "pos", "engine")
     per_kw = limited.groupBy("keyword", "url").agg(F.min(seen).alias("first"))
     w_kw = Window.partitionBy("keyword").orderBy("first")
-    per_kw = per_kw.withColumn("_rn", F.row_number().over(w_kw)).filter(F.col("_rn") <= per_keyword)
+    per_kw = per_kw.withColumn("_rn", F.row_number().over(w_kw)).filter(F.col("_rn") <= budget["per_keyword"])
     glob = per_kw.groupBy("url").agg(F.min(F.struct("keyword", "first")).alias("g"))
     top = glob.orderBy("g").limit(max_images)
     return top.select(

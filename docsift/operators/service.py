@@ -24,6 +24,10 @@ RESULT_SCHEMA = ("{key} {key_type}, status_code int, content string, exception_k
                  "exception_message string, attempts int")
 
 
+#: Results are handed on after so many calls, not at the end of a batch.
+ROWS_A_YIELD = 16
+
+
 class CallTimeout(Exception):
     """Raise from a client to report a timeout."""
 
@@ -52,7 +56,7 @@ def call_service(df: DataFrame, key: str, request: str, client_factory: Callable
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
-        for pdf in batches:
+        for pdf in (whole.iloc[at:at + ROWS_A_YIELD] for whole in batches for at in range(0, len(whole), ROWS_A_YIELD)):
             out = []
             for k, req in zip(pdf[key], pdf[request]):
                 status, content, kind, msg, n = None, None, None, None, 0

@@ -9,12 +9,13 @@ def valid_obj(text: str) -> str:
 
 
 def parsed(src: str) -> str:
-    """``line_no, line, rec, status`` over a log CTE named ``src``."""
-    return f"""select line_no, line, case when {valid_obj('line')} then line end as rec,
-  case when {valid_obj('line')} then case when json_exists(line, '$.error') then 'failed' else 'ok' end
-       when regexp_matches(coalesce(line, ''), '^\\s*$') then 'blank'
-       when not json_valid(line) then 'invalid_json' else 'not_object' end as status
- from {src}"""
+    """``line_no, line, rec, status`` over a log CTE named ``src``. A bare NaN
+    (only ever a value of a whole field here) is read as a string."""
+    return f"""select line_no, line, case when {valid_obj('text')} then text end as rec,
+  case when {valid_obj('text')} then case when json_exists(text, '$.error') then 'failed' else 'ok' end
+       when regexp_matches(coalesce(text, ''), '^\\s*$') then 'blank'
+       when not json_valid(text) then 'invalid_json' else 'not_object' end as status
+ from (select *, replace(line, ':NaN', ':"NaN"') as text from {src})"""
 
 
 def has(rec: str, key: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift import constants as C
+from docsift.functions import json as J
 from docsift.operators import dedup as DD
 from docsift.operators import extraction as X
 from docsift.operators import fetch as FT
@@ -20,9 +21,10 @@ from docsift.operators import images as I
 from docsift.operators import labels as L
 from docsift.operators import replies as R
 from docsift.operators import search as S
-from docsift.operators.requests import EXTRACT_PARAMS, LABEL_PARAMS, request_body
+from docsift.operators.requests import EXTRACT_PARAMS, LABEL_PARAMS, needs_reencode, request_body
 from docsift.operators.service import call_service, materialize
-from docsift.session import scratch_dir
+from docsift.operators.numbering import with_position
+from docsift.session import scratch_dir, write_table
 from docsift.sinks import writers as W
 from docsift.sources import files as FS
 from docsift.sources import images as IM
@@ -30,10 +32,9 @@ from docsift.sources import images as IM
 
 def crawl(responses: DataFrame, max_images: int = 500, keywords: list[str] | None = None) -> DataFrame:
     """Stored search responses -> the URL list of a mixed-engine crawl."""
-    urls = S.search_urls(responses)
     if keywords is not None:
-        urls = urls.filter(F.col("keyword").isin(*keywords))
-    return S.crawl_selection(urls, max_images=max_images, n_keywords=len(keywords) if keywords else None)
+        responses = responses.filter(F.col("keyword").isin(*keywords))
+    return S.crawl_selection(responses, max_images=max_images, n_keywords=len(set(keywords)) if keywords else None)
 
 
 def downloads(fetch_log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,46 +45,81 @@ def downloads(fetch_log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def accept_images(spark: SparkSession, folder: str, store_path: str | None = None,
                   rules: I.FilterRules = I.FilterRules(), threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
-    """Filter then de-duplicate a folder of images: ``path, status``.
-
-    The size gate is pushed to the file listing; header checks and hashes
-    only run for files that pass it. Hashes are compared with the store
-    (if any) and in path order among themselves.
+    """Filter then de-duplicate a folder of images: ``path, status``, one row per
+    listed file.
+
+    ``invalid``: a rule failed. ``duplicate``: near a stored hash, or near an
+    earlier accepted file in path order. ``accepted``: the rest; a file that
+    passes the rules but has no pixel hash (WebP) cannot be a duplicate.
+    ``hidden``: the file source skips names that start with ``_`` or ``.``.
+    Only files within the size bounds are opened. New hashes are added to the
+    store, if one is named.
     """
-    files = FS.scan_images(spark, folder, "dedup", min_bytes=rules.min_bytes, max_bytes=rules.max_bytes)
-    info = IM.image_info(files)
+    listed = FS.scan_images(spark, folder, "dedup")
+    sized = listed.filter(F.col("length").between(rules.min_bytes, rules.max_bytes))
     # one folder, not recursive: the file name is unique and spelled the same
     # by both sources (their path URIs differ in form)
     hashes = IM.hash_images(spark, folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "bits")
-    rows = (info.join(hashes, "name", "left")
-            .withColumn("decodable", F.col("bits").isNotNull() | (F.col("format") == "WEBP"))
-            .withColumn("file_id", F.col("path")).withColumn("filename", F.col("name")))
-    checked = I.apply_filter(rows, rules)
-    valid = FS.number_files(checked.filter("accepted AND bits IS NOT NULL"), "label") \
-        .select(F.col("processing_order").alias("ord"), "bits", "path")
-    store = FS.read_store(spark, store_path) if store_path else spark.createDataFrame([], "ord long, bits string")
-    status = DD.incremental(valid.select("ord", "bits"), store.select("ord", "bits"), threshold)
-    accepted = valid.join(status, "ord").select("path", F.when(F.col("status") == "new", "accepted")
-                                                .otherwise("duplicate").alias("status"))
-    rejected = checked.filter(~F.col("accepted")).select("path", F.lit("invalid").alias("status"))
-    return accepted.unionByName(rejected)
-
-
-def label(spark: SparkSession, folder: str, client_factory: Callable, prompt: str, model: str,
-          partitions: int | None = None, flavour: str = "label") -> DataFrame:
+    rows = (IM.image_info(sized).join(hashes, "name", "left")
+            .withColumn("decodable", F.col("bits").isNotNull() | (F.col("format") == "WEBP")))
+    passed = write_table(I.apply_filter(rows, rules).filter("accepted").select("path", "name", "bits"), "accept-passed")
+    hashed = with_position(passed.filter("bits IS NOT NULL"), ["path"], "ord", start=1)
+    hashed = write_table(hashed, "accept-hashed")
+    store = FS.read_store(spark, store_path) if store_path else spark.createDataFrame([], FS.STORE_SCHEMA)
+    status = write_table(DD.incremental(hashed.select("ord", "bits"), store.select("ord", "bits"), threshold), "accept-status")
+    checked = hashed.join(status, "ord").select("path", "ord", "bits", F.col("status").alias("found"))
+    out = (listed.select("path").join(passed.select("path", F.lit(True).alias("passed")), "path", "left")
+           .join(checked.select("path", "found"), "path", "left")
+           .select("path", F.when(F.col("passed").isNull(), F.lit("invalid"))
+                   .when(F.col("found") == "duplicate", F.lit("duplicate")).otherwise(F.lit("accepted")).alias("status")))
+    if store_path:
+        batch = (store.agg(F.max("batch_id")).first()[0] or 0) + 1
+        fresh = DD.with_hash(checked.filter(F.col("found") == "new")).withColumn("file", F.col("path"))
+        W.append_store(fresh, store_path, batch)
+    hidden = FS.hidden_images(spark, folder).select("path", F.lit("hidden").alias("status"))
+    return out.unionByName(hidden)
+
+
+def label(spark: SparkSession, folder: str, client_factory: Callable, prompt: str, model: str, timestamp: str,
+          partitions: int | None = None, flavour: str = "label", log_dir: str | None = None, summary_dir: str | None = None) -> DataFrame:
     """Label every image of a folder through a service; failures stay as rows.
 
     Replies are written once to the checkpoint root before parsing, so a
-    retried stage never repeats a paid call.
+    retried stage never repeats a paid call. An image above the payload limit
+    is not sent, but recorded as failed. ``log_dir`` gets the JSON-lines log,
+    ``summary_dir`` the report.
     """
-    files = FS.number_files(FS.scan_images(spark, folder, "label" if flavour == "label" else "extract"), flavour)
+    J.allow_repeated_keys(spark)
+    files = FS.scan_images(spark, folder, "label" if flavour == "label" else "extract")
+    numbered = FS.number_files(files, flavour).select("path", "name", "length", "processing_order")
     params = LABEL_PARAMS if flavour == "label" else EXTRACT_PARAMS
-    reqs = files.select("path", "processing_order",
-                        request_body(F.col("content"), F.col("path"), prompt, model, params).alias("request"))
+    reqs = files.filter(~needs_reencode(F.col("length"))).select("path", request_body(F.col("content"), prompt, model, params).alias("request"))
     replies = materialize(call_service(reqs, "path", "request", client_factory, partitions=partitions),
                           scratch_dir(spark, "replies"))
-    out = R.with_outcome(replies, flavour).join(files.select("path", "processing_order"), "path")
-    return R.with_file_info(out, F.col("path"), F.col("processing_order"))
+    info = write_table(IM.image_info(files).select("path", F.struct("name", "file_size", "format", "width", "height", "mode").alias("image_info")), "label-info")
+    out = numbered.join(replies, "path", "left").join(info, "path", "left")
+    unsent = F.col("attempts").isNull()
+    out = out.withColumn("exception_kind", F.when(unsent, F.lit("processing")).otherwise(F.col("exception_kind"))).withColumn(
+        "exception_message", F.when(unsent, F.lit("image is above the payload limit and needs re-encoding")).otherwise(F.col("exception_message")))
+    out = R.with_metadata(R.with_outcome(out, flavour), F.col("path"), F.col("image_info"), F.lit(timestamp), model, flavour=flavour)
+    out = R.record_text(R.with_file_info(out, F.col("path"), F.col("processing_order")))
+    if log_dir:
+        out.orderBy("processing_order").select(F.col("line").alias("value")).write.mode("overwrite").text(log_dir)
+        if summary_dir:
+            summarize(spark, log_dir, summary_dir)
+    return out
+
+
+def pipeline(spark: SparkSession, responses: DataFrame, fetch_log: DataFrame, folder: str, root: str, client_factory: Callable,
+             prompt: str, model: str, timestamp: str, max_images: int = 500) -> dict[str, DataFrame]:
+    """Search responses -> URL list -> downloads -> labels -> report, laid out
+    under ``root``; ``folder`` holds the downloaded images."""
+    urls = write_table(crawl(responses, max_images), "pipeline-urls")
+    W.write_url_list(urls, f"{root}/urls", order="seq")
+    outcomes, mapping = downloads(fetch_log.join(urls.select("url"), "url", "left_semi"))
+    parts = {"labels": f"{root}/labels", "summary": f"{root}/summary"}
+    labels = label(spark, folder, client_factory, prompt, model, timestamp, log_dir=parts["labels"], summary_dir=parts["summary"])
+    return {"urls": urls, "outcomes": outcomes, "map": mapping, "labels": labels}
 
 
 def validate(spark: SparkSession, log_path: str) -> dict[str, DataFrame]:

@@ -10,7 +10,7 @@ from docsift.operators import dedup as DD
 from docsift.operators import images as I
 from docsift.plans.registry import register
 from docsift.sources.fixtures import duckdb_cte, fixture
-from docsift.sources.tables import register_tables, table
+from docsift.sources.tables import table
 
 T = C.DEFAULT_THRESHOLD
 _F = duckdb_cte("fingerprints")
@@ -24,8 +24,7 @@ with b as (select vec_id, list_transform(embedding, lambda x: x::double) e from
 select vec_id, bits, lower(printf('%016x', bits::bit::bigint)) as hash_hex,
   cast(length(bits) - length(replace(bits, '1', '')) as integer) as ones from h""")
 def ahash(spark, sf_dir):
-    register_tables(spark, sf_dir, ["embeddings"])
-    emb = spark.table("embeddings")
+    emb = table(spark, sf_dir, "embeddings")
     bits = average_bits(F.col("embedding"))
     return emb.select("vec_id", bits.alias("bits")).select(
         "vec_id", "bits", long_to_hex(bits_to_long(F.col("bits"))).alias("hash_hex"),
@@ -89,20 +88,20 @@ def dedup_removed(spark, sf_dir):
     return DD.removed(DD.dedup_plan(fixture(spark, sf_dir, "fingerprints"), T))
 
 
-# incremental: the block of stored copies (ord >= 2000000) is the existing
-# store; every other row arrives in ord order and is checked against it
-STORE_FROM = 2_000_000
+# incremental: block 2 is the existing store; every other row arrives in ord
+# order and is checked against it
+STORE_BLOCK = 2
 
 
 @register("incremental_dedup", "with recursive" + _F[len("with"):] + f""",
- s as (select distinct bits from fingerprints where ord >= {STORE_FROM}),
- bt as (select ord as node, bits from fingerprints where ord < {STORE_FROM})""" +
+ s as (select distinct bits from fingerprints where block = {STORE_BLOCK}),
+ bt as (select ord as node, bits from fingerprints where block <> {STORE_BLOCK})""" +
           _walk("bt", f"(select coalesce(list(bits), []::varchar[]) from s)") + """
 select node as ord, case when is_kept then 'new' else 'duplicate' end as status from walk where node is not null""")
 def incremental_dedup(spark, sf_dir):
     fp = fixture(spark, sf_dir, "fingerprints")
-    store = fp.filter(F.col("ord") >= STORE_FROM)
-    batch = fp.filter(F.col("ord") < STORE_FROM)
+    store = fp.filter(F.col("block") == STORE_BLOCK)
+    batch = fp.filter(F.col("block") != STORE_BLOCK)
     return DD.incremental(batch, store, T)
 
 
@@ -115,14 +114,14 @@ _REASON = f"""case when i.file_id is null then 'missing'
 
 
 @register("arrival_status", "with recursive" + duckdb_cte("fingerprints", "image_info")[len("with"):] + f""",
- a as (select f.ord, f.bits, {_REASON} as reason from fingerprints f left join image_info i on i.file_id = f.ord % 1000000),
+ a as (select f.ord, f.bits, {_REASON} as reason from fingerprints f left join image_info i on i.file_id = f.ord // 3),
  v as (select ord as node, bits from a where reason is null)""" + _walk("v") + """
 select ord, 'invalid' as status from a where reason is not null
 union all select node, case when is_kept then 'accepted' else 'duplicate' end from walk where node is not null""")
 def arrival_status(spark, sf_dir):
     fp = fixture(spark, sf_dir, "fingerprints")
     info = fixture(spark, sf_dir, "image_info")
-    arrivals = fp.join(info, F.col("ord") % 1_000_000 == F.col("file_id"), "left")
+    arrivals = fp.join(info, F.floor(F.col("ord") / 3) == F.col("file_id"), "left")
     reason = F.when(F.col("file_id").isNull(), F.lit("missing")).otherwise(I.reject_reason())
     checked = arrivals.withColumn("reason", reason)
     valid = checked.filter(F.col("reason").isNull()).select("ord", "bits")

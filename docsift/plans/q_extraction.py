@@ -81,16 +81,23 @@ def quality_flags(spark, sf_dir):
     return X.quality_flags(parsed_extraction(spark, sf_dir))
 
 
+# both records side by side, joined on the image they are about
 @register("compare_views", duckdb_cte("label_log", "extraction_log")
           + ", pl as (" + D.parsed("label_log") + "), px as (" + D.parsed("extraction_log") + ")" + """
-select coalesce(a.line_no, b.line_no) as line_no, a.document_category, b.document_type,
+select coalesce(a.image_path, b.image_path) as image_path, a.line_no as label_line, b.line_no as extraction_line,
+  a.document_category, a.ocr_difficulty, b.document_type, b.total_amount,
   a.line_no is not null as has_label, b.line_no is not null as has_extraction
-from (select line_no, rec ->> '$.document_category' as document_category from pl where status = 'ok') a
-full outer join (select line_no, rec ->> '$.document_type' as document_type from px where status = 'ok') b
-  on a.line_no = b.line_no""")
+from (select line_no, rec ->> '$._metadata.image_path' as image_path, rec ->> '$.document_category' as document_category,
+   rec ->> '$.ocr_difficulty' as ocr_difficulty from pl where status = 'ok') a
+full outer join (select line_no, rec ->> '$._metadata.image_path' as image_path, rec ->> '$.document_type' as document_type,
+   try_cast(rec ->> '$.total_amount' as decimal(18,2)) as total_amount from px where status = 'ok') b
+  on a.image_path = b.image_path""")
 def compare_views(spark, sf_dir):
+    rec = F.col("rec")
     lab = L.successful(L.parse_log(fixture(spark, sf_dir, "label_log"))).select(
-        "line_no", J.get_str(F.col("rec"), "document_category").alias("document_category"))
+        L.image_path(rec).alias("image_path"), F.col("line_no").alias("label_line"),
+        J.get_str(rec, "document_category").alias("document_category"), J.get_str(rec, "ocr_difficulty").alias("ocr_difficulty"))
     ext = L.successful(parsed_extraction(spark, sf_dir)).select(
-        "line_no", J.get_str(F.col("rec"), "document_type").alias("document_type"))
-    return JN.side_by_side(lab, ext, "line_no", "has_label", "has_extraction")
+        L.image_path(rec).alias("image_path"), F.col("line_no").alias("extraction_line"),
+        J.get_str(rec, "document_type").alias("document_type"), F.try_variant_get(rec, "$.total_amount", "decimal(18,2)").alias("total_amount"))
+    return JN.side_by_side(lab, ext, "image_path", "has_label", "has_extraction")

@@ -15,7 +15,7 @@ _I = duckdb_cte("image_info")
 
 @register("image_info", _I + f"""
 select file_id, filename, format, width, height, mode, file_size,
-  mode in ('RGBA', 'LA') as has_transparency, file_size > {C.MAX_PAYLOAD_BYTES} as needs_reencode
+  (mode in ('RGBA', 'LA') or transparency) as has_transparency, file_size > {C.MAX_PAYLOAD_BYTES} as needs_reencode
 from image_info""")
 def image_info(spark, sf_dir):
     return I.describe(fixture(spark, sf_dir, "image_info"))

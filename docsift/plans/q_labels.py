@@ -97,14 +97,14 @@ def top_scenarios(spark, sf_dir):
 
 
 @register("ocr_view", _S + f"""
-select line_no, {D.get_str('rec', 'ocr_difficulty')} as difficulty, {D.get_str('rec', 'text_clarity')} as text_clarity,
+select line_no, rec ->> '$._metadata.image_path' as image_path, {D.get_str('rec', 'ocr_difficulty')} as difficulty, {D.get_str('rec', 'text_clarity')} as text_clarity,
   {D.get_str('rec', 'language_primary')} as language from s""")
 def ocr_view(spark, sf_dir):
     return L.ocr_view(parsed_labels(spark, sf_dir))
 
 
 @register("dlp_view", _S + f"""
-select line_no, array_to_string({D.str_list('rec', 'sensitive_data_types')}, ',') as sensitive_data,
+select line_no, rec ->> '$._metadata.image_path' as image_path, array_to_string({D.str_list('rec', 'sensitive_data_types')}, ',') as sensitive_data,
   cast(len({D.str_list('rec', 'sensitive_data_types')}) as bigint) as n_sensitive,
   {D.get_str('rec', 'document_category')} as document_type,
   array_to_string({D.str_list('rec', 'testing_scenarios')}, ',') as testing_scenarios from s""")
@@ -113,7 +113,7 @@ def dlp_view(spark, sf_dir):
 
 
 @register("classification_view", _S + f"""
-select line_no, {D.get_str('rec', 'document_category')} as category, {D.get_str('rec', 'document_subcategory')} as subcategory,
+select line_no, rec ->> '$._metadata.image_path' as image_path, {D.get_str('rec', 'document_category')} as category, {D.get_str('rec', 'document_subcategory')} as subcategory,
   try_cast({D.get_str('rec', 'confidence_score')} as double) as confidence from s""")
 def classification_view(spark, sf_dir):
     return L.classification_view(parsed_labels(spark, sf_dir))
@@ -131,8 +131,8 @@ def failure_hints(spark, sf_dir):
 
 @register("unlabeled_files", duckdb_cte("label_log", "image_info") + ", p as (" + D.parsed("label_log") + ")" + """
 select i.file_id, i.filename from image_info i
-where not exists (select 1 from p where p.status = 'ok' and p.line_no - 1 = i.file_id)""")
+where not exists (select 1 from p where p.status = 'ok' and p.rec ->> '$._metadata.image_path' = i.filename)""")
 def unlabeled_files(spark, sf_dir):
-    labeled = L.successful(parsed_labels(spark, sf_dir)).select((F.col("line_no") - 1).alias("file_id"))
+    labeled = L.successful(parsed_labels(spark, sf_dir)).select(L.image_path(F.col("rec")).alias("filename"))
     files = fixture(spark, sf_dir, "image_info").select("file_id", "filename")
-    return JN.unmatched(files, labeled, "file_id")
+    return JN.unmatched(files, labeled, "filename")

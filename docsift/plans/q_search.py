@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from docsift import constants as C
 from docsift.operators import search as S
 from docsift.plans.registry import register
@@ -58,12 +56,7 @@ MAX_IMAGES = 500
 select count(distinct keyword) as n_keywords, {MAX_IMAGES} // count(distinct keyword) as per_keyword,
   ({MAX_IMAGES} // count(distinct keyword)) // 4 as per_engine from search_responses""")
 def crawl_budgets(spark, sf_dir):
-    resp = fixture(spark, sf_dir, "search_responses")
-    n = F.count_distinct("keyword")
-    return resp.agg(n.alias("n_keywords")).select(
-        "n_keywords",
-        F.floor(F.lit(MAX_IMAGES) / F.col("n_keywords")).cast("bigint").alias("per_keyword"),
-        F.floor(F.floor(F.lit(MAX_IMAGES) / F.col("n_keywords")) / 4).cast("bigint").alias("per_engine"))
+    return S.crawl_budgets(fixture(spark, sf_dir, "search_responses"), MAX_IMAGES)
 
 
 @register("crawl_selection", _R + f""", u as ({_ALL}),
@@ -79,5 +72,4 @@ def crawl_budgets(spark, sf_dir):
 select cast(row_number() over (order by gk) - 1 as integer) as seq, url, keyword, engine
 from g order by gk limit {MAX_IMAGES}""")
 def crawl_selection(spark, sf_dir):
-    urls = S.search_urls(fixture(spark, sf_dir, "search_responses"))
-    return S.crawl_selection(urls, max_images=MAX_IMAGES)
+    return S.crawl_selection(fixture(spark, sf_dir, "search_responses"), max_images=MAX_IMAGES)

@@ -55,7 +55,7 @@ def stream_label_log(spark, sf_dir):
     p = _paths(spark, "label-log")
     replies = fixture(spark, sf_dir, "model_replies")
     replies.write.parquet(p["input"])
-    q = SJ.label_log(spark, p["input"], replies.schema, p["sink"], p["checkpoint"],
+    q = SJ.label_log(spark, p["input"], replies.schema, p["sink"], p["checkpoint"], keys=("conv_id", "turn"),
                      max_files_per_trigger=2)
     q.awaitTermination()
     schema = "conv_id long, turn long, outcome string, error string, record string"
@@ -64,20 +64,19 @@ def stream_label_log(spark, sf_dir):
 
 # arrivals: the three blocks of the fingerprint table land one after another
 # (first crawl, re-encoded copies, exact re-uploads); the store starts empty
-_BLOCKS = (0, 1_000_000, 2_000_000)
+_BLOCKS = 3
 
 
 @register("stream_incremental_dedup", "with recursive" + duckdb_cte("fingerprints")[len("with"):]
-          + ", r as (select ord as node, bits from fingerprints)" + _walk("r") + """
-select node as ord, case when is_kept then 'new' else 'duplicate' end as status from walk where node is not null""")
+          + ", a as (select row_number() over (order by block, ord) as node, ord, bits from fingerprints), r as (select node, bits from a)"
+          + _walk("r") + """
+select a.ord as ord, case when is_kept then 'new' else 'duplicate' end as status from walk join a on a.node = walk.node""")
 def stream_incremental_dedup(spark, sf_dir):
     p = _paths(spark, "incremental-dedup")
     fp = fixture(spark, sf_dir, "fingerprints").withColumn("file", F.concat(F.lit("f"), F.col("ord").cast("string")))
-    for i, lo in enumerate(_BLOCKS):  # one write per block: arrival order = file order
-        hi = _BLOCKS[i + 1] if i + 1 < len(_BLOCKS) else None
-        block = fp.filter(F.col("ord") >= lo) if hi is None else fp.filter((F.col("ord") >= lo) & (F.col("ord") < hi))
-        block.coalesce(1).write.mode("append").parquet(p["input"])
-    q = SJ.incremental_dedup(spark, p["input"], "ord long, bits string, file string", p["store"], p["sink"],
-                             p["checkpoint"], threshold=C.DEFAULT_THRESHOLD, max_files_per_trigger=1)
-    q.awaitTermination()
+    for block in range(_BLOCKS):  # the next block lands when the one before is through
+        fp.filter(F.col("block") == block).drop("block").write.mode("append").parquet(p["input"])
+        q = SJ.incremental_dedup(spark, p["input"], "ord long, bits string, file string", p["store"], p["sink"],
+                                 p["checkpoint"], threshold=C.DEFAULT_THRESHOLD, max_files_per_trigger=None)
+        q.awaitTermination()
     return spark.read.parquet(p["sink"]).select("ord", "status")

@@ -27,5 +27,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from docsift.plans import (  # noqa: F401
-        q_labels, q_extraction, q_images, q_search, q_fetch, q_dedup, q_replies, q_streaming,
+        q_labels, q_extraction, q_images, q_search, q_fetch, q_dedup, q_replies, q_streaming, q_round_trips,
     )

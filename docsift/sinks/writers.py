@@ -10,9 +10,10 @@ import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from docsift import constants as C
 from docsift.operators import labels as L
+from docsift.operators.numbering import with_position
 
 
 def write_jsonl(df: DataFrame, path: str, rec_col: str | None = None, mode: str = "overwrite") -> None:
@@ -42,19 +43,14 @@ def append_store(rows: DataFrame, path: str, batch_id: int) -> None:
 def summary_lines(parsed: DataFrame) -> DataFrame:
     """The classification summary as ordered markdown lines ``(seq, line)``."""
     spark = parsed.sparkSession
+    texts = [F.lit(C.REPORT_HEADING), F.lit(C.REPORT_RULE), F.lit(""), F.lit(C.REPORT_OVERVIEW),
+             F.concat(F.lit(C.REPORT_TOTAL), F.col("total_records").cast("string")),
+             F.concat(F.lit(C.REPORT_SUCCESSFUL), F.col("successful").cast("string")),
+             F.concat(F.lit(C.REPORT_FAILED), F.col("failed").cast("string")),
+             F.concat(F.lit(C.REPORT_RATE), F.format_number(F.bround("success_pct", 1), 1), F.lit("%")), F.lit("")]
     ov = L.overview(parsed).select(F.lit(0).alias("sec"), F.lit(0).alias("rank"), F.inline(F.array(
-        F.struct(F.lit(0).alias("sub"), F.lit("# Image Classification Summary Report").alias("line")),
-        F.struct(F.lit(1).alias("sub"), F.lit("=" * 50).alias("line")),
-        F.struct(F.lit(2).alias("sub"), F.lit("").alias("line")),
-        F.struct(F.lit(3).alias("sub"), F.lit("## Overview").alias("line")),
-        F.struct(F.lit(4).alias("sub"), F.concat(F.lit("- Total Images: "), F.col("total_records").cast("string")).alias("line")),
-        F.struct(F.lit(5).alias("sub"), F.concat(F.lit("- Successfully Classified: "), F.col("successful").cast("string")).alias("line")),
-        F.struct(F.lit(6).alias("sub"), F.concat(F.lit("- Failed: "), F.col("failed").cast("string")).alias("line")),
-        F.struct(F.lit(7).alias("sub"), F.concat(F.lit("- Success Rate: "), F.format_number(F.bround("success_pct", 1), 1),
-                                                 F.lit("%")).alias("line")),
-        F.struct(F.lit(8).alias("sub"), F.lit("").alias("line")))))
-    titles = {"document_category": "## Document Categories", "ocr_difficulty": "## OCR Difficulty Distribution",
-              "language_primary": "## Language Distribution"}
+        *[F.struct(F.lit(i).alias("sub"), t.alias("line")) for i, t in enumerate(texts)])))
+    titles = C.REPORT_TITLES
     sec = F.lit(None).cast("int")
     for i, d in enumerate(titles):
         sec = F.when(F.col("dimension") == d, F.lit(i + 1)).otherwise(sec)
@@ -63,15 +59,24 @@ def summary_lines(parsed: DataFrame) -> DataFrame:
         F.concat(F.lit("- "), "value", F.lit(": "), F.col("n").cast("string"), F.lit(" ("),
                  F.regexp_replace(F.format_number(F.bround("pct", 1), 1), ",", ""), F.lit("%)")).alias("line"))
     heads = spark.createDataFrame([(i + 1, 0, 0, t) for i, t in enumerate(titles.values())] +
-                                  [(i + 1, 10**9, 0, "") for i in range(len(titles))],
+                                  [(i + 1, 2**31 - 1, 0, "") for i in range(len(titles))],
                                   "sec int, rank int, sub int, line string")
     lines = ov.unionByName(hist).unionByName(heads)
-    return lines.select(F.row_number().over(Window.orderBy("sec", "rank", "sub")).alias("seq"), "line")
+    return with_position(lines, ["sec", "rank", "sub"], "seq", start=1).select("seq", "line")
 
 
 def write_summary(parsed: DataFrame, path: str) -> None:
-    """Write the report as one text file in its own folder (never over the log)."""
-    summary_lines(parsed).coalesce(1).sortWithinPartitions("seq").select("line").write.mode("overwrite").text(path)
+    """Write the report's lines in order into its own folder (never over the
+    log); one file unless a histogram is very long."""
+    summary_lines(parsed).orderBy("seq").select("line").write.mode("overwrite").text(path)
+
+
+def write_comparison(compared: DataFrame, path: str) -> None:
+    """One comparison document per image: ``compared`` has ``image_path``,
+    ``content_extraction`` and ``image_labeling`` (VARIANT records)."""
+    notes = F.struct(*[F.lit(v).alias(k) for k, v in C.COMPARISON_SUMMARY.items()])
+    compared.select(F.to_json(F.struct("image_path", "content_extraction", "image_labeling", notes.alias("comparison_summary"))).alias("value")) \
+        .write.mode("overwrite").text(path)
 
 
 def write_dataset(root: str, images: DataFrame | None = None, labels: DataFrame | None = None,
@@ -89,11 +94,17 @@ def write_dataset(root: str, images: DataFrame | None = None, labels: DataFrame
     return out
 
 
-def step_status(steps: DataFrame) -> DataFrame:
-    """Workflow summary: one row with every step's status and whether all succeeded."""
-    return steps.agg(F.map_from_entries(F.collect_list(F.struct("step", "status"))).alias("steps"),
-                     F.every(F.col("status") == "success").alias("all_ok"))
+def step_status(steps: DataFrame, order: str | None = None) -> DataFrame:
+    """Workflow summary: one row with every step's status and whether all succeeded.
+
+    A step that was repeated counts with its last status by ``order`` (without
+    it, the largest). The map has one entry for each step name.
+    """
+    last = F.max_by("status", order) if order else F.max("status")
+    each = steps.groupBy("step").agg(last.alias("status"))
+    return each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("step", "status")))).alias("steps"),
+                    F.every(F.col("status") == "success").alias("all_ok"))
 
 
-def write_step_status(steps: DataFrame, path: str) -> None:
-    step_status(steps).write.mode("overwrite").json(path)
+def write_step_status(steps: DataFrame, path: str, order: str | None = None) -> None:
+    step_status(steps, order).write.mode("overwrite").json(path)

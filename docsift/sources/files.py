@@ -7,11 +7,13 @@ survive, so the size gate costs no I/O for rejected files.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift import constants as C
+from docsift.functions import json as J
 from docsift.operators.numbering import with_position
 
 
@@ -50,9 +52,22 @@ def scan_images(spark: SparkSession, folder: str, flavour: str = "label",
 
 
 def number_files(files: DataFrame, flavour: str = "label") -> DataFrame:
-    """Add the 1-based ``processing_order`` (by path; extraction by suffix rank, path)."""
+    """``files`` without ``content``, with the 1-based ``processing_order`` (by
+    path; extraction by suffix rank, path). Join on the path where it is needed:
+    no image bytes go through the exchange."""
     order = ["ext_rank", "path"] if flavour == "extract" else ["path"]
-    return with_position(files, order, "processing_order", start=1)
+    return with_position(files.drop("content"), order, "processing_order", start=1)
+
+
+def hidden_images(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, name`` of image files that the file source skips, since their
+    names start with ``_`` or ``.``. Read from the folder's listing, which the
+    driver holds for any scan."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [(f.getPath().toString(), f.getPath().getName()) for f in files if f.isFile() and f.getPath().getName()[0] in "._"]
+    kept = [x for x in names if x[1].lower().endswith(C.LABEL_SCAN_SUFFIXES)]
+    return spark.createDataFrame(kept, "path string, name string")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +93,7 @@ def read_strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> D
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """URL list: trimmed non-blank lines with their 0-based list position ``ord``."""
-    lines = read_lines(spark, path).select("file", "line_no", F.trim("line").alias("url"))
+    lines = read_lines(spark, path).select("file", "line_no", J.strip_ws(F.col("line")).alias("url"))
     kept = lines.filter(F.length("url") > 0)
     return with_position(kept, ["file", "line_no"], "ord", start=0).select("ord", "url")
 
@@ -87,26 +102,30 @@ STORE_SCHEMA = "hash bigint, bits string, file string, ord long, batch_id long"
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprint store; a missing or unreadable store is empty.
-
-    The path may be any Hadoop URI (shared storage on a cluster), so the
-    check is a read attempt rather than a local file test.
-    """
-    if path:
-        try:
-            df = spark.read.schema(STORE_SCHEMA).parquet(path)
-            df.schema  # noqa: B018 - resolves the path now
-            return df
-        except Exception:  # noqa: BLE001 - missing or corrupt store starts empty
-            pass
+    """Fingerprint store; a path that isn't there is an empty store, any other
+    error (permissions, network, a corrupt file) is raised, at the latest when
+    the rows are read."""
+    try:
+        df = spark.read.schema(STORE_SCHEMA).parquet(path)
+        df.schema  # noqa: B018 - resolves the path now
+        return df
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     return spark.createDataFrame([], STORE_SCHEMA)
 
 
 def import_store_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object ``{hex hash: file}`` (one object per file) as store rows."""
-    text = spark.read.text(path, wholetext=True)
-    m = F.try_variant_get(F.try_parse_json("value"), "$", "map<string,string>")
-    pairs = text.select(F.explode(m).alias("hash_hex", "file"))
+    """A JSON object ``{hex hash: file}`` as store rows.
+
+    Read by lines, since the object may be far larger than one row can be: an
+    object on one line, or one entry on each line.
+    """
+    line = F.regexp_replace(J.strip_ws(F.col("value")), ",$", "")
+    opened = F.when(line.startswith("{"), line).otherwise(F.concat(F.lit("{"), line))
+    closed = F.when(opened.endswith("}"), opened).otherwise(F.concat(opened, F.lit("}")))
+    m = F.try_variant_get(F.try_parse_json(closed), "$", "map<string,string>")
+    pairs = spark.read.text(path).select(F.explode(m).alias("hash_hex", "file"))
     h = F.conv("hash_hex", 16, -10).cast("bigint")
     bits = F.lpad(F.conv("hash_hex", 16, 2), 64, "0")
     return pairs.select(h.alias("hash"), bits.alias("bits"), "file",

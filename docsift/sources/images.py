@@ -1,8 +1,8 @@
 """Image metadata from bytes, and the pixel form of the average hash.
 
-Header parsing reads only the first bytes of each file. It is a pandas UDF
-over Arrow batches (one small loop per row in Python, no per-row JVM
-round trip). The JVM ``image`` source decodes JPEG, PNG, BMP and GIF; WebP
+Header parsing walks the segments of a file up to the frame header, wherever
+that is. It is a pandas UDF over Arrow batches (one small loop per row in
+Python, no per-row JVM round trip). The JVM ``image`` source decodes JPEG, PNG, BMP and GIF; WebP
 has no JVM reader, so for WebP only the header is checked.
 """
 
@@ -16,24 +16,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INFO_TYPE = "struct<format:string,width:int,height:int,mode:string,error:string>"
+INFO_TYPE = "struct<format:string,width:int,height:int,mode:string,transparency:boolean,error:string>"
 
 _PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 
 
+def _png_transparency(b: bytes) -> bool:
+    """A tRNS chunk stands before the image data, after however many others."""
+    at = 8
+    while at + 8 <= len(b):
+        n, kind = struct.unpack(">I4s", b[at:at + 8])
+        if kind == b"tRNS":
+            return True
+        if kind in (b"IDAT", b"IEND"):
+            return False
+        at += 12 + n
+    return False
+
+
+def _gif_transparency(b: bytes) -> bool:
+    """The flag of a graphic control extension before the first image."""
+    at = 13 + (3 << (b[10] & 7) + 1 if b[10] & 0x80 else 0)
+    while at + 3 < len(b) and b[at] == 0x21:
+        if b[at + 1] == 0xF9:
+            return bool(b[at + 3] & 1)
+        at += 2
+        while at < len(b) and b[at]:
+            at += 1 + b[at]
+        at += 1
+    return False
+
+
 def _header_info(b: bytes | None) -> dict:
     if b is None or len(b) < 12:
         return {"error": "cannot identify image file"}
     try:
         if b[:8] == b"\x89PNG\r\n\x1a\n":
             w, h, depth, ctype = struct.unpack(">IIBB", b[16:26])
-            mode = _PNG_MODES.get(ctype, "RGB")
-            if mode == "RGB" and b"tRNS" in b[:4096]:
-                mode = "RGBA"
-            return {"format": "PNG", "width": w, "height": h, "mode": mode}
+            return {"format": "PNG", "width": w, "height": h, "mode": _PNG_MODES.get(ctype, "RGB"),
+                    "transparency": _png_transparency(b)}
         if b[:3] == b"GIF":
             w, h = struct.unpack("<HH", b[6:10])
-            return {"format": "GIF", "width": w, "height": h, "mode": "P"}
+            return {"format": "GIF", "width": w, "height": h, "mode": "P", "transparency": _gif_transparency(b)}
         if b[:2] == b"BM":
             w, h = struct.unpack("<ii", b[18:26])
             bpp = struct.unpack("<H", b[28:30])[0]
@@ -75,13 +99,14 @@ def _header_info(b: bytes | None) -> dict:
 
 
 def _header_batch(content: pd.Series) -> pd.DataFrame:
-    rows = [_header_info(None if c is None else bytes(c[:65536])) for c in content]
+    rows = [_header_info(None if c is None else bytes(c)) for c in content]
     col = lambda k: [r.get(k) for r in rows]
     return pd.DataFrame({
         "format": pd.Series(col("format"), dtype="object"),
         "width": pd.array(col("width"), dtype="Int32"),
         "height": pd.array(col("height"), dtype="Int32"),
         "mode": pd.Series(col("mode"), dtype="object"),
+        "transparency": pd.array([bool(r.get("transparency")) for r in rows], dtype="boolean"),
         "error": pd.Series(col("error"), dtype="object"),
     })
 
@@ -97,7 +122,7 @@ def header_info(content: Column) -> Column:
 
 
 def image_info(files: DataFrame) -> DataFrame:
-    """``path, name, file_size`` plus header format, size, mode and error."""
+    """``path, name, file_size`` plus header format, size, mode, transparency marker and error."""
     return files.select("path", "name", F.col("length").alias("file_size"),
                         header_info(F.col("content")).alias("info")).select(
         "path", "name", "file_size", "info.*")
@@ -108,7 +133,8 @@ def decoded(spark: SparkSession, folder: str) -> DataFrame:
 
     Undecodable files are dropped by the source; join on ``origin`` to flag them.
     """
-    return spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*")
+    glob = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[bB][mM][pP],[gG][iI][fF]}"
+    return spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", glob).load(folder).select("image.*")
 
 
 def _ahash(data: bytes, w: int, h: int, c: int, n: int = 8) -> str | None:

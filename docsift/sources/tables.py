@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +11,11 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-
-# view name -> path currently registered, per session
-_registered: dict[tuple[int, str], str] = {}
+_REFERENCE = re.compile(r"\b(from|join)\s+([a-z_]+)\b", flags=re.IGNORECASE)
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,35 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def referenced_tables(sql: str) -> list[str]:
     """Driver tables named after FROM / JOIN in ``sql``."""
-    names = re.findall(r"\b(?:from|join)\s+([a-z_]+)", sql, flags=re.IGNORECASE)
-    return [n for n in dict.fromkeys(n.lower() for n in names) if n in TABLES]
+    names = (m[1].lower() for m in _REFERENCE.findall(sql))
+    return [n for n in dict.fromkeys(names) if n in TABLES]
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Round-robin a scan that plans fewer tasks than the cluster has slots.
+def sql_over(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Run ``text`` with the table names after FROM / JOIN bound to ``sf_dir``.
 
-    Small single-file tables scan as one task, which would leave every per-row
-    step (string building, JSON parsing, hashing) on one core. Large inputs
-    scan as many tasks and are returned unchanged, so they pay no shuffle.
+    The tables become temp views whose names hold a digest of the folder, so
+    two folders never mix and no view of the user's is replaced. A missing
+    table raises, as any other read of a path that isn't there.
     """
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register the named tables of ``sf_dir`` as temp views (once per path)."""
-    sid = id(spark._jsparkSession)
-    for name in names:
-        path = table_path(sf_dir, name)
-        if _registered.get((sid, name)) == path and spark.catalog.tableExists(name):
-            continue
-        if os.path.exists(path) or "://" in path:
-            spread(spark, spark.read.parquet(path)).createOrReplaceTempView(name)
-            _registered[(sid, name)] = path
-
-
-def scan_partitions(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Number of scan tasks Spark plans for one table (planning only, no job)."""
-    return table(spark, sf_dir, name).rdd.getNumPartitions()
+    tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
+    for name in referenced_tables(text):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"docsift_{tag}_{name}")
+
+    def bound(m: re.Match) -> str:
+        return f"{m[1]} docsift_{tag}_{m[2].lower()}" if m[2].lower() in TABLES else m[0]
+
+    return spark.sql(_REFERENCE.sub(bound, text))

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docsift import constants as C
+from docsift.functions import json as J
 from docsift.operators import dedup as DD
 from docsift.operators import replies as R
+from docsift.session import write_table
 from docsift.sinks.writers import append_store
 from docsift.sources.files import read_store
 
@@ -47,17 +49,24 @@ def seen_urls(spark: SparkSession, source: str, schema, sink: str, checkpoint: s
     return _trigger(w, available_now).start()
 
 
-def label_log(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-              available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+def label_log(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keys: tuple[str, ...],
+              path_col: str | None = None, order_col: str | None = None, timestamp_col: str | None = None, model: str = "",
+              flavour: str = "label", available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Replies -> ``keys``, outcome, error and the record's JSON line. With
+    ``path_col`` the record gets its metadata and file info."""
+    J.allow_repeated_keys(spark)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     replies = reader.parquet(source)
-    rec = R.with_outcome(replies).select(
-        "conv_id", "turn",
-        F.when(F.col("o.has_error"), F.lit("error")).otherwise(F.lit("ok")).alias("outcome"),
-        F.col("o.error").alias("error"),
-        F.to_json(F.col("o.rec")).alias("record"))
+    rec = R.with_outcome(replies, flavour)
+    if path_col:
+        stamp = F.col(timestamp_col) if timestamp_col else F.lit(None).cast("string")
+        rec = R.with_metadata(rec, F.col(path_col), None, stamp, model, flavour=flavour)
+        rec = R.with_file_info(rec, F.col(path_col), F.col(order_col) if order_col else F.lit(None).cast("int"))
+    rec = R.record_text(rec, "record").select(
+        *keys, F.when(F.col("o.has_error"), F.lit("error")).otherwise(F.lit("ok")).alias("outcome"),
+        F.col("o.error").alias("error"), "record")
     w = rec.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint) \
         .option("ignoreNullFields", "false").outputMode("append")
     return _trigger(w, available_now).start()
@@ -74,12 +83,13 @@ def incremental_dedup(spark: SparkSession, source: str, schema, store: str, stat
     stream = reader.parquet(source)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("ord", "bits", "file")
+        rows = write_table(batch.select("ord", "bits", "file"), "stream-batch")
         stored = read_store(spark, store).filter(F.col("batch_id") != batch_id)
         status = DD.incremental(rows, stored.select("ord", "bits"), threshold)
         (status.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(status_sink))
-        fresh = (DD.with_hash(rows).join(status.filter(F.col("status") == "new").select("ord"), "ord"))
+        written = spark.read.parquet(status_sink).filter((F.col("batch_id") == batch_id) & (F.col("status") == "new"))
+        fresh = DD.with_hash(rows).join(written.select("ord"), "ord")
         append_store(fresh, store, batch_id)
 
     w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)

@@ -128,6 +128,6 @@ def test_greedy_rounds_and_walk_agree(spark, monkeypatch):
     rnd = random.Random(5)
     edges = {tuple(sorted(rnd.sample(range(120), 2))) for _ in range(300)} | {(i, i + 1) for i in range(200, 260)}
     df = spark.createDataFrame(sorted(edges), "src long, dst long")
-    want = {r.id: r.kept for r in greedy.greedy(df).collect()}
+    want = {r.id: r.leader for r in greedy.greedy(df).collect()}
     monkeypatch.setattr(greedy, "WALK_EDGES", 0)
-    assert {r.id: r.kept for r in greedy.greedy(df).collect()} == want
+    assert {r.id: r.leader for r in greedy.greedy(df).collect()} == want

@@ -56,23 +56,34 @@ def test_grades(spark):
     assert g["challenge_factors"] == "❌"
 
 
-def _reference_extract(content):
-    # the documented rule, written plainly
-    if "```json" in content:
-        s = content.find("```json") + 7
-        e = content.find("```", s)
-        return content[s:e].strip()
-    if "{" in content:
-        return content[content.find("{"):content.rfind("}") + 1]
-    return content
-
-
-def test_reply_json_text_matches_rule(spark):
-    cases = ['{"a":1}', 'Here: {"a":1} done', '```json {"a":1} ``` tail', '```json{"a":1}', 'no json',
-             '{"a":1}{"b":2}', '', '} before {', '```json\n{"a": 2}\n```', 'x ```json```']
-    df = spark.createDataFrame([(c,) for c in cases], "c string")
-    got = [r.t for r in df.select(J.reply_json_text(F.col("c")).alias("t")).collect()]
-    assert got == [_reference_extract(c) for c in cases]
+# reply -> the JSON text that is taken from it, case by case
+REPLIES = [
+    ('{"a":1}', '{"a":1}'),
+    ('Here: {"a":1} done', '{"a":1}'),
+    ('```json {"a":1} ``` tail', '{"a":1}'),
+    ('```json{"a":1}', '{"a":1'),  # no closing fence: the last character is lost
+    ('no json', 'no json'),
+    ('{"a":1}{"b":2}', '{"a":1}{"b":2}'),
+    ('', ''),
+    ('} before {', ''),
+    ('```json\n{"a": 2}\n```', '{"a": 2}'),
+    ('x ```json```', ''),
+]
+
+
+def test_reply_json_text_case_by_case(spark):
+    df = spark.createDataFrame(REPLIES, "reply string, want string")
+    for r in df.select("reply", "want", J.reply_json_text(F.col("reply")).alias("got")).collect():
+        assert r.got == r.want, r.reply
+
+
+def test_verdicts_on_odd_lines(spark):
+    lines = ['{"a":1}] junk', '{"a":1}] {"b":2}', '{"a":1}} x', '{"a":NaN,"b":[-Infinity, "NaN"]}', '{"a":"x NaN","b":Infinity}', '{"a":1,"a":2}',
+             '{"a":[1,{"b":[2]}]}', '[1]] x', '{"a":NaN', '{"a":1},"w":{"b":2}']
+    rows = L.parse_log(_log(spark, lines)).orderBy("line_no").select(
+        "status", J.get_str(F.col("rec"), "a").alias("a"), J.get_double(F.col("rec"), "b").alias("b")).collect()
+    assert [r.status for r in rows] == ["invalid_json"] * 3 + ["ok"] * 4 + ["invalid_json"] * 3
+    assert (rows[3].a, rows[4].a, rows[4].b, rows[5].a) == ("NaN", "x NaN", float("inf"), "2")
 
 
 def test_scalar_text_renders_fractions_as_floats(spark):

@@ -63,9 +63,20 @@ def test_search_shapes(spark):
         S.search_urls(df, engine="google")
 
 
-def test_budgets():
-    assert [S.budgets(1, n)[1] for n in range(5)] == [0, 0, 0, 0, 1]
-    assert S.budgets(3, 100) == (33, 8)
+def test_budgets(spark):
+    def of(keywords, images):
+        return tuple(spark.range(1).select(*S.budgets(F.lit(keywords), images)).first())
+
+    assert [of(1, n)[1] for n in range(5)] == [0, 0, 0, 0, 1]
+    assert of(3, 100) == (33, 8) and of(0, 100) == (100, 25)
+
+
+def test_failed_keywords_count_for_the_budget(spark):
+    body = '{"images":[{"imageUrl":"a"},{"imageUrl":"b"},{"imageUrl":"c"}]}'
+    rows = [(1, "k", "serper", 200, body), (2, "lost", "serper", 429, body)]
+    df = spark.createDataFrame(rows, "response_id long, keyword string, engine string, status_code int, body string")
+    assert [r.url for r in S.crawl_selection(df, max_images=8).collect()] == ["a"]
+    assert S.crawl_selection(df.limit(0), max_images=8).count() == 0
 
 
 def test_attempt_resolution(spark):
