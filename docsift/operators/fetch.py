@@ -27,6 +27,11 @@ def path_suffix(path: Column) -> Column:
     return F.regexp_extract(path, SUFFIX_RE, 1)
 
 
+def is_web_url(url: Column) -> Column:
+    """The URL starts with http:// or https:// (downstream format check)."""
+    return F.coalesce(url.startswith("http://") | url.startswith("https://"), F.lit(False))
+
+
 def file_suffix(content_type: Column, url: Column) -> Column:
     """Suffix from the content type (case-sensitive, first match), else the
     URL path suffix when it is a known image suffix, else ``.jpg``."""

@@ -8,6 +8,7 @@ from docsift.operators import fetch as FT
 from docsift.operators import joins as JN
 from docsift.plans.registry import register
 from docsift.sources.fixtures import duckdb_cte, fixture
+from docsift.sources.tables import table
 
 _EXT = f"""case when contains(content_type, 'jpeg') or contains(content_type, 'jpg') then '.jpg'
   when contains(content_type, 'png') then '.png' when contains(content_type, 'webp') then '.webp'
@@ -19,6 +20,15 @@ _N = duckdb_cte("fetch_log") + f""", n as (select *, {_EXT} as ext,
 """
 
 
+@register("url_flags", """
+select page_id, coalesce(starts_with(url, 'http://') or starts_with(url, 'https://'), false) as web_url from (
+  select page_id, case page_id % 13 when 5 then 'ftp://' || url when 6 then null else url end as url from pages)""")
+def url_flags(spark, sf_dir):
+    kind = F.col("page_id") % 13
+    url = F.when(kind == 5, F.concat(F.lit("ftp://"), F.col("url"))).when(kind == 6, F.lit(None).cast("string")).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", FT.is_web_url(url).alias("web_url"))
+
+
 @register("file_ext", duckdb_cte("fetch_log") + f"select ord, url, {_EXT} as ext from fetch_log")
 def file_ext(spark, sf_dir):
     log = fixture(spark, sf_dir, "fetch_log")

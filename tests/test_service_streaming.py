@@ -53,3 +53,22 @@ def test_stream_seen_urls(spark, tmp_dir):
                      max_files_per_trigger=1)
     q.awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect()) == ["a", "b", "c"]
+
+
+def test_a_replayed_batch_gives_the_same_statuses_and_store(spark, tmp_dir):
+    """Losing the sink's commit makes Spark run the batch again: the batch
+    ignores what it stored the first time."""
+    src, store, sink, ck = (os.path.join(tmp_dir, x) for x in ("in", "store", "sink", "ck"))
+    rows = [(i, format((1 << 40) * (i // 2) + i % 2, "064b"), f"f{i}") for i in range(8)]
+    spark.createDataFrame(rows, "ord long, bits string, file string").write.parquet(src)
+
+    def run():
+        SJ.incremental_dedup(spark, src, "ord long, bits string, file string", store, sink, ck, max_files_per_trigger=None).awaitTermination()
+        return ({r.ord: r.status for r in spark.read.parquet(sink).collect()}, sorted(r.file for r in spark.read.parquet(store).collect()))
+
+    first = run()
+    assert set(first[0]) == set(range(8)) and first[0][0] == "new" and first[0][1] == "duplicate"
+    commits = os.path.join(ck, "commits")
+    for name in os.listdir(commits):
+        os.rename(os.path.join(commits, name), os.path.join(tmp_dir, f"lost-{name}"))
+    assert run() == first
