@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -74,13 +76,38 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_mine = threading.local()
+
+
+def _scratch() -> list[str]:
+    """The intermediate folders that this thread has made."""
+    if not hasattr(_mine, "paths"):
+        _mine.paths = []
+    return _mine.paths
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for written intermediate tables."""
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, "tables", f"{name}-{os.getpid()}-{next(_counter)}")
+    _scratch().append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the intermediate tables that this thread writes inside, at the end:
+    for work whose results are written elsewhere before it ends."""
+    first = len(_scratch())
+    try:
+        yield
+    finally:
+        for path in _scratch()[first:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _scratch()[first:]
+
+
 def _count():
     i = 0
     while True:

@@ -24,7 +24,7 @@ from docsift import constants as C
 from docsift.functions import json as J
 from docsift.operators import dedup as DD
 from docsift.operators import replies as R
-from docsift.session import write_table
+from docsift.session import scratch_scope, write_table
 from docsift.sinks.writers import append_store
 from docsift.sources.files import read_store
 
@@ -83,14 +83,15 @@ def incremental_dedup(spark: SparkSession, source: str, schema, store: str, stat
     stream = reader.parquet(source)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = write_table(batch.select("ord", "bits", "file"), "stream-batch")
-        stored = read_store(spark, store).filter(F.col("batch_id") != batch_id)
-        status = DD.incremental(rows, stored.select("ord", "bits"), threshold)
-        (status.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(status_sink))
-        written = spark.read.parquet(status_sink).filter((F.col("batch_id") == batch_id) & (F.col("status") == "new"))
-        fresh = DD.with_hash(rows).join(written.select("ord"), "ord")
-        append_store(fresh, store, batch_id)
+        with scratch_scope(spark):  # what a batch leaves is in the sink and the store
+            rows = write_table(batch.select("ord", "bits", "file"), "stream-batch")
+            stored = read_store(spark, store).filter(F.col("batch_id") != batch_id)
+            status = DD.incremental(rows, stored.select("ord", "bits"), threshold)
+            (status.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(status_sink))
+            written = spark.read.parquet(status_sink).filter((F.col("batch_id") == batch_id) & (F.col("status") == "new"))
+            fresh = DD.with_hash(rows).join(written.select("ord"), "ord")
+            append_store(fresh, store, batch_id)
 
     w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now).start()
