@@ -34,8 +34,8 @@ FENCE = 3.0
 #: ratio -> (least distance above the upper quartile, or None: no upper fence; the same below).
 RATIOS = {
     "symbol_ratio": (0.10, None),
-    "dup_line_ratio": (0.30, None),
-    "repeat_ratio": (0.20, None),
+    "dup_line_ratio": (0.50, None),
+    "repeat_ratio": (0.30, None),
     "word_length": (2.0, 2.0),
 }
 QUARTILES = (0.25, 0.75)
@@ -117,12 +117,17 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     language's, or the table's."""
     own, lang = quartiles(sketch, "lang", "source"), quartiles(sketch, "lang")
     table = quartiles(sketch.withColumn("t", F.lit(1)), "t")
+    whole = table.first()  # one row of as many numbers as there are ratios
     named = lang.select(F.col("lang").alias("_l"), *[F.struct(F.col("n"), F.col(r)).alias(f"{r}_l") for r in RATIOS])
-    whole = table.select(*[F.col(r).alias(f"{r}_t") for r in RATIOS])
-    joined = own.join(named, F.col("lang").eqNullSafe(F.col("_l"))).join(whole.withColumn("_t", F.lit(1)), F.lit(1) == F.col("_t"))
+    joined = own.join(named, F.col("lang").eqNullSafe(F.col("_l")))
+
+    def of_table(r: str) -> Column:
+        low, high = whole[r] if whole and whole[r] else (None, None)
+        return F.struct(F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"))
+
     out = [F.col("lang"), F.col("source")]
     for r, (above, below) in RATIOS.items():
-        q = F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col(f"{r}_l")["n"] >= MIN_GROUP, F.col(f"{r}_l")[r]).otherwise(F.col(f"{r}_t"))
+        q = F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col(f"{r}_l")["n"] >= MIN_GROUP, F.col(f"{r}_l")[r]).otherwise(of_table(r))
         spread = FENCE * (q["high"] - q["low"])
         if above is not None:
             out.append((q["high"] + F.greatest(spread, F.lit(above))).alias(f"{r}_max"))

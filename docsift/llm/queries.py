@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, pii, quality_rules, simhash_trie, toxicity
+from docsift.llm import bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, pii, quality_rules, quality_sql, simhash_trie, toxicity
 from docsift.llm.common import hex_digest, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, hex_digest(pii.joined(F.col("base"))).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-@query("op2_adaptive_quality")
+@query("op2_adaptive_quality", quality_sql.statement())
 def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
