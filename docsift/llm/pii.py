@@ -149,24 +149,31 @@ def graph(occurrences: DataFrame) -> DataFrame:
             .groupBy("pattern", "surface").agg(F.min("k").alias("k")))
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """surface, k, score: the new instances that score at least INSTANCE_SCORE."""
-    of_pattern = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("seeds")).filter("seeds > 0"), "pii-patterns")
-    # patterns that never meet a seed and have no scored instance stay at zero, and needn't be carried
-    seeds = edges.filter("k is not null").select("surface", "k", F.lit(1.0).alias("score")).distinct()
-    known = materialize(seeds.groupBy("surface").agg(F.min("k").alias("k"), F.max("score").alias("score")), "pii-seeds")
-    seeds, found = known, None
+def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+    """surface, k, score: the new instances that score at least INSTANCE_SCORE;
+    None if no pattern is good enough to find any. Rounds end early once they
+    change nothing."""
+    by_kind = [F.sum(F.when(F.col("k") == k, F.col("score"))).alias(f"g{k}") for k in range(len(KINDS))]
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("good")) for k in range(len(KINDS))])
+    seeds = materialize(edges.filter("k is not null").groupBy("surface").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)), "pii-seeds")
+    known, found, before = seeds, None, None
     for _ in range(rounds):
-        good = edges.select("pattern", "surface").join(known, "surface").groupBy("pattern", "k").agg(F.sum("score").alias("good"))
-        scored = (good.join(of_pattern.select("pattern", "n"), "pattern").withColumn("p", F.col("good") / (F.col("n") + 1))
-                  .filter((F.col("p") >= PATTERN_SCORE) & (F.col("good") >= SUPPORT)).select("pattern", "k", "p"))
-        scored = materialize(scored, "pii-scored")
+        # a pattern's score: identifiers among its distinct instances
+        met = edges.select("pattern", "surface").join(known, "surface", "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *by_kind)
+        rated = met.select("pattern", "n", F.inline(kinds)).withColumn("p", F.col("good") / (F.col("n") + 1))
+        scored = materialize(rated.filter((F.col("p") >= PATTERN_SCORE) & (F.col("good") >= SUPPORT)).select("pattern", "k", "p"), "pii-scored")
+        if scored.isEmpty():
+            return None
+        # an instance's score: noisy or over its patterns, the best kind counts
         votes = (edges.filter("k is null").select("pattern", "surface").join(scored, "pattern")
                  .groupBy("surface", "k").agg((1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("score")))
         best = votes.groupBy("surface").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
         found = materialize(best.select("surface", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score")).join(
             seeds.select("surface"), "surface", "left_anti"), "pii-found")
-        known = seeds.unionByName(found)
+        now = found.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("surface", "k", "score")).alias("x")).first()
+        if now.n == 0 or now == before:
+            break
+        known, before = seeds.unionByName(found), now
     return found.filter(F.col("score") >= INSTANCE_SCORE)
 
 
@@ -203,9 +210,11 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
              .withColumns({"_e": base_end, "_s": base_start})
              .filter(F.col("k").isNotNull() | (F.coalesce("_e", F.lit(0)) <= F.col("start")) & (F.coalesce("_s", F.col("end")) >= F.col("end"))).drop("_e", "_s"))
     every = materialize(every, "pii-occurrences")
-    found = materialize(bootstrap(materialize(graph(every), "pii-graph")), "pii-instances")
+    plain = rows.select("row", "doc_id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))).alias("base"))
+    found = bootstrap(materialize(graph(every), "pii-graph"))
+    if found is None:
+        return plain.select("doc_id", "base", F.col("base").alias("spans"))
     added = (every.filter("k is null").select("row", "start", "end", "surface").join(found.select("surface", "k"), "surface")
              .groupBy("row").agg(F.collect_list(F.struct("start", "k", "end")).alias("added")))
-    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    out = rows.select("row", "doc_id", plain.alias("base")).join(materialize(added, "pii-added"), "row", "left")
+    out = plain.join(materialize(added, "pii-added"), "row", "left")
     return out.select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))
