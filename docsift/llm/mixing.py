@@ -17,6 +17,7 @@ the seed, ids and numbers: reruns agree, however the table is partitioned.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +30,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL, MOST = 1.5, 2.0
 #: Words in a block, slots in a shard.
 BLOCK_WORDS, SHARD_SLOTS = 64, 4096
-#: Rows that a range of the two-step sums should hold; buckets of the unit interval.
-RANGE_ROWS, BUCKETS = 4096, 4096
+#: Buckets of the unit interval.
+BUCKETS = 4096
 ROUNDS, WALK = 4, 40
 SEED = 20240607
 
@@ -119,8 +120,11 @@ def running(column: str, order: Window) -> Column:
 
 
 def _placed(units: DataFrame, n_rows: int) -> DataFrame:
-    """``units`` with ``start``: the first word's number in its source's stream."""
-    bits = max(0, (n_rows // RANGE_ROWS).bit_length())
+    """``units`` with ``start``: the first word's number in its source's stream.
+
+    There are about as many hash ranges as the root of the number of rows, so
+    neither a range nor the ranges of a source are many rows."""
+    bits = (math.isqrt(n_rows)).bit_length()
     units = units.withColumn("range", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
     sums = units.groupBy("sid", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     base = materialize(sums.select("sid", "range", running("words", Window.partitionBy("sid").orderBy("range")).alias("base")), "mix-ranges")
