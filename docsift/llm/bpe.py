@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -24,9 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.common import small_batches
+
 WORD = 64
 #: Encoded pre-tokens that a worker keeps, in two generations.
-CACHE = 400_000
+CACHE = 250_000
 #: Longer pre-tokens are encoded each time they occur.
 CACHED_CHARS = 64
 #: Texts beyond this many characters are split into pre-tokens piecewise, to bound memory.
@@ -163,15 +166,15 @@ class Decoder:
         return b"".join([b"".join(map(get, np.frombuffer(packed[at:at + step], "<u4").tolist())) for at in range(0, len(packed), step)])
 
 
-_coders: dict[tuple, tuple[Encoder, Decoder]] = {}
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """This worker's encoder for a vocabulary file, made once."""
+    return Encoder(load_ranks(path), pattern)
 
 
-def coders(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """This worker's coders for a vocabulary file, made once."""
-    if (path, pattern) not in _coders:
-        ranks = load_ranks(path)
-        _coders[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
-    return _coders[path, pattern]
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(load_ranks(path))
 
 
 def _mapped(df: DataFrame, column: str, out: str, apply, bytes_a_batch: int = 4 << 20) -> DataFrame:
@@ -196,7 +199,7 @@ def _mapped(df: DataFrame, column: str, out: str, apply, bytes_a_batch: int = 4
                         else pa.RecordBatch.from_arrays([*[c.cast(t) for c, t in zip(part.columns, arrow.types)], pa.array(made, pa.binary())], names=names)
                     first, made, size = i + 1, [], 0
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -208,15 +211,15 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
     """
     if out in df.columns:
         raise ValueError(f"column {out} is there already")
-    return _mapped(df, text_col, out, lambda t: coders(vocabulary, pattern)[0].encode(t) if t else b"")
+    return _mapped(df, text_col, out, lambda t: encoder(vocabulary, pattern).encode(t) if t else b"")
 
 
-def decode(df: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``: the bytes of the packed ids (null: none), which are
     the UTF-8 of the text that was encoded."""
     if out in df.columns:
         raise ValueError(f"column {out} is there already")
-    return _mapped(df, ids_col, out, lambda p: coders(vocabulary, pattern)[1].decode(p) if p else b"")
+    return _mapped(df, ids_col, out, lambda p: decoder(vocabulary).decode(p) if p else b"")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,4 +227,4 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     columns are left out, an empty table gives an empty table. The text itself
     is dropped between the steps, so a row carries its ids and bytes alone."""
     ids = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), vocabulary, pattern)
-    return decode(ids.select("doc_id", "ids"), vocabulary, pattern)
+    return decode(ids.select("doc_id", "ids"), vocabulary)

@@ -30,6 +30,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, f"llm-{name}")
 
 
+#: Rows in a batch that a Python task gets at once (Spark also bounds its bytes).
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session is told to hand rows to Python in small batches:
+    texts are long, and a task holds a batch beside what it builds from it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def text_of(column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.common import small_batches
+
 WORD = regex.compile(r"\w+")
 TOKEN = regex.compile(r"[^\W\d_]+|[\d_]+|[^\w\s]+")
 
@@ -92,7 +94,7 @@ def featured(texts: DataFrame, extract: Callable[[str | None], np.ndarray], keep
                 x = [extract(t.as_py()).astype("<u4").tobytes() for t in b.column(len(keep))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(x, pa.binary())], names=[*keep, "x"])
 
-    return texts.select(*keep, "text").mapInArrow(run, ", ".join([f"{c} {fields[c]}" for c in keep] + ["x binary"]))
+    return small_batches(texts).select(*keep, "text").mapInArrow(run, ", ".join([f"{c} {fields[c]}" for c in keep] + ["x binary"]))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int, seed: int,
@@ -141,7 +143,7 @@ def scored(docs: DataFrame, score: Callable[[str | None], float], id_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(t.as_py()) for t in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def accepted(docs: DataFrame, accept: Callable[[str | None], bool], text_col: str = "text") -> DataFrame:
@@ -152,7 +154,7 @@ def accepted(docs: DataFrame, accept: Callable[[str | None], bool], text_col: st
         for b in batches:
             yield b.filter(pa.array([accept(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def sigmoid(x: float) -> float:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import WS_CHARS, content_key, materialize, one_row_each
+from docsift.llm.common import WS_CHARS, content_key, materialize, one_row_each, small_batches
 
 BUCKET_BYTES = 32 << 20
 #: Bits of the hash that each level of partitioning takes.
@@ -195,7 +195,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) ->
 
     best = _BEST.format(id=name)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), content_key(id_col, text_col).alias("key"))
-    spilled = materialize(rows.mapInArrow(spill, f"{best}, h bigint, content binary"), "grace-spill")
+    spilled = materialize(small_batches(rows).mapInArrow(spill, f"{best}, h bigint, content binary"), "grace-spill")
     records = spilled.filter(F.col("content").isNotNull())
     classes = (records.withColumn("bucket", bucket_column(records, bucket_bytes)).repartition("bucket").sortWithinPartitions("bucket")
                .mapInArrow(merge, best))

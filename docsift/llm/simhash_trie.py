@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import content_key, materialize, one_row_each
+from docsift.llm.common import content_key, materialize, one_row_each, small_batches
 from docsift.llm.components import connected_components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), content_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint")
+    return small_batches(rows).mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint")
 
 
 def bit_order(fps: DataFrame) -> list[int]:

@@ -24,7 +24,7 @@ TEXTS = ["", "a", " ", "\n\n \t x", "don't we'll I'M it's", "hello world " * 40,
 
 @pytest.mark.parametrize("k", range(len(TEXTS)))
 def test_ids_equal_the_library(k):
-    enc, dec = bpe.coders(PATH, PATTERN)
+    enc, dec = bpe.encoder(PATH, PATTERN), bpe.decoder(PATH)
     packed = enc.encode(TEXTS[k])
     assert np.frombuffer(packed, "<u4").tolist() == REFERENCE.encode_ordinary(TEXTS[k])
     assert dec.decode(packed) == TEXTS[k].encode()
