@@ -44,6 +44,8 @@ CANDIDATE = rf"(?<![^{WS_CLASS}])[^{WS_CLASS}0-9@]*+[0-9@][^{WS_CLASS}]*+"
 
 #: Characters around a span in which its context words are looked for.
 CONTEXT = 64
+#: Characters in a block of a text, at least CONTEXT.
+BLOCK = 256
 #: Rounds; least score of a pattern and of a new instance; least (soft) number of identifiers a pattern must have.
 ROUNDS, PATTERN_SCORE, INSTANCE_SCORE, SUPPORT = 3, 0.6, 0.8, 3.0
 #: Elements in a part of the two-step running sum.
@@ -66,12 +68,12 @@ def running_sums(steps: Column) -> Column:
     return let(steps, lambda v: F.when(F.size(v) > 0, over(v)).otherwise(F.array().cast("array<bigint>")))
 
 
-_SPAN = "array<struct<start: bigint, end: bigint, surface: string, before: string, after: string>>"
+_SPAN = "array<struct<start: bigint, end: bigint, surface: string>>"
 
 
 def located(text: Column, form: str) -> Column:
     """The leftmost non-overlapping matches of ``form`` in ``text``: start, end
-    (code points), surface, and up to CONTEXT characters before and after."""
+    (code points) and surface."""
     hits, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
 
     def build(h: Column, g: Column) -> Column:
@@ -79,13 +81,28 @@ def located(text: Column, form: str) -> Column:
         steps = F.slice(steps, 1, F.size(h))  # one more gap than matches
         return let(running_sums(steps), lambda at: F.transform(h, lambda x, i: let(
             F.get(at, i) + F.char_length(F.get(g, i)), lambda start: F.struct(
-                start.alias("start"), (start + F.char_length(x)).alias("end"), x.alias("surface"),
-                F.right(F.get(g, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(g, i + 1), F.lit(CONTEXT)).alias("after")))))
+                start.alias("start"), (start + F.char_length(x)).alias("end"), x.alias("surface")))))
 
     found = let(hits, lambda h: F.when(F.size(h) > 0, let(gaps, lambda g: build(h, g))))
     return F.coalesce(found, F.array().cast(_SPAN))
 
 
+def in_context(text: Column, spans: Column) -> Column:
+    """``spans`` of ``text`` with ``before`` and ``after``: up to CONTEXT
+    characters of the text on either side, whatever they are. They are cut from
+    blocks of the text, so that a span doesn't cost a pass over a long text."""
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        return let(F.floor(start / BLOCK).cast("int"), lambda b: F.substr(
+            F.concat(F.coalesce(F.get(blocks, b), F.lit("")), F.coalesce(F.get(blocks, b + 1), F.lit(""))),
+            (start - b * BLOCK + 1).cast("int"), (end - start).cast("int")))
+
+    def cut(blocks: Column) -> Column:
+        return F.transform(spans, lambda s: s.withField("before", piece(blocks, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"]))
+                           .withField("after", piece(blocks, s["end"], s["end"] + CONTEXT)))
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)), cut)
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -112,18 +129,28 @@ def passes(kind: str, s: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, k, end, surface, before, after>>: the base spans by
-    start, then kind (``k``: its place in KINDS)."""
+    """array<struct<start, k, end, surface>>: the base spans by start, then kind
+    (``k``: its place in KINDS)."""
     def of_kind(k: int, kind: str) -> Column:
         spans = F.filter(located(text, FORMS[kind]), lambda s: passes(kind, s["surface"]))
         if NEEDS[kind]:
             spans = F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(F.array().cast(_SPAN))
         return F.transform(spans, lambda s: F.struct(
-            s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), s["surface"].alias("surface"), s["before"].alias("before"), s["after"].alias("after")))
+            s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), s["surface"].alias("surface")))
 
     return F.array_sort(F.concat(*[of_kind(k, kind) for k, kind in enumerate(KINDS)]))
 
 
+def candidates(text: Column) -> Column:
+    """array<struct<start, end, surface>>: the words with a digit or an ``@``,
+    without the punctuation around them."""
+    def core(s: Column) -> Column:
+        return let(F.regexp_replace(s["surface"], r"^[^\p{L}0-9@+]+", ""), lambda x: let(F.regexp_replace(x, r"[^\p{L}0-9]+$", ""), lambda y: let(
+            s["end"] - F.char_length(x), lambda start: F.struct(start.alias("start"), (start + F.char_length(y)).alias("end"), y.alias("surface")))))
+
+    return F.filter(F.transform(located(text, CANDIDATE), core), lambda s: s["end"] > s["start"])
+
+
 def shape(surface: Column) -> Column:
     """``@`` if there is one, else letters as a, digits as 9, runs once."""
     runs = F.regexp_replace(F.regexp_replace(surface, r"\p{L}+", "a"), "[0-9]+", "9")
@@ -194,15 +221,10 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = text_of(text_col)
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
-                       .select("row", "doc_id", base_spans(F.col("text")).alias("base"), located(F.col("text"), CANDIDATE).alias("words")), "pii-spans")
+                       .select("row", "doc_id", in_context(F.col("text"), base_spans(F.col("text"))).alias("base"),
+                               in_context(F.col("text"), candidates(F.col("text"))).alias("words")), "pii-spans")
     seeds = rows.select("row", F.explode("base").alias("s")).select("row", "s.*")
-    # candidate words without the punctuation around them
-    lead, trail = r"^[^\p{L}0-9@+]+", r"[^\p{L}0-9]+$"
-    words = rows.select("row", F.explode("words").alias("s")).select("row", "s.*")
-    core = F.regexp_replace(F.regexp_replace("surface", lead, ""), trail, "")
-    skipped = F.char_length("surface") - F.char_length(F.regexp_replace("surface", lead, ""))
-    words = words.select("row", (F.col("start") + skipped).alias("start"), F.lit(None).cast("int").alias("k"),
-                         (F.col("start") + skipped + F.char_length(core)).alias("end"), core.alias("surface"), "before", "after").filter("end > start")
+    words = rows.select("row", F.explode("words").alias("s")).select("row", "s.*").withColumn("k", F.lit(None).cast("int"))
     order = Window.partitionBy("row").orderBy("start", F.col("k").asc_nulls_last())
     base_end = F.max(F.when(F.col("k").isNotNull(), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     base_start = F.min(F.when(F.col("k").isNotNull(), F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))

@@ -66,5 +66,13 @@ def test_patterns_find_what_the_forms_miss(spark):
     assert all(set(r.base) <= set(r.spans) for r in out.values())
 
 
+def test_context_is_the_text_around_a_span_whatever_it_holds(spark):
+    rows = [(i, f"{'é🙂 ' * (i * 40)}row 7 ip 10.0.0.{i} 200 ok") for i in range(12)]
+    rows += [(100, "x " * 300 + "row 7 ip 10.0.0.256 200 ok")]
+    out = {r.doc_id: r for r in P.extract(frame(spark, rows)).collect()}
+    added = {d: [rows[-1][1][s.start:s.end] for s in r.spans if s not in r.base] for d, r in out.items()}
+    assert added.pop(100) == ["10.0.0.256"] and not any(added.values())
+
+
 def test_empty_table(spark):
     assert P.extract(frame(spark, []).limit(0)).count() == 0
