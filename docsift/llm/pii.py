@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base rules find e-mail addresses, IP addresses, payment cards and phone numbers
-by their form. They are the seeds. The words around the seeds, with the shape
-of the identifier, are lexical patterns; words with a digit or an ``@`` that no
-base rule took are candidate instances. Patterns and instances are a two-sided
-graph that is scored in rounds: a pattern by the share of identifiers among its
-distinct instances, an instance by its patterns (noisy or). Occurrences of the
-instances that score high enough are added to the base spans, which stay.
+by their form. They are the seeds. The words around the seeds are lexical
+patterns; words with a digit or an ``@`` that no base rule took, and runs of such
+words, are candidate instances. Patterns and instances are a two-sided graph
+that is scored in rounds: a pattern by the share of identifiers among its
+distinct instances, an instance by its patterns (noisy or) and by how well its
+digits suit the kind, whatever its shape. Occurrences of the instances that
+score high enough are added to the base spans, which stay.
 
 Only DataFrame functions are used. A text is read once, a whole row at a time;
 everything after is keyed by row number, pattern or surface, pre-aggregated, so
@@ -41,6 +42,15 @@ FORMS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Words with a digit or an @.
 CANDIDATE = rf"(?<![^{WS_CLASS}])[^{WS_CLASS}0-9@]*+[0-9@][^{WS_CLASS}]*+"
+# Two or more words of digits and the punctuation of numbers, one space or more
+# apart, that end with their words but for punctuation. Possessive, as above.
+_END = rf"(?=[^{WS_CLASS}\p{{L}}0-9@]*+(?:[{WS_CLASS}]|\z))"
+_NUMBER = rf"[0-9]++(?:[().+/-]++[0-9]++)*+\)?{_END}"
+RUN = rf"(?<![^{WS_CLASS}])[^{WS_CLASS}\p{{L}}0-9@]*+{_NUMBER}(?:\x20++[+(]*+{_NUMBER})++"
+#: Digits in a run of several words that may be one identifier: from a local phone number to the longest card.
+RUN_DIGITS = (7, 19)
+#: Digits of a card and of a phone number, with or without its country; groups of digits in an IP address.
+CARD_DIGITS, PHONE_DIGITS, IP_GROUPS = (14, 19), (7, 15), 4
 
 #: Characters around a span in which its context words are looked for.
 CONTEXT = 64
@@ -141,59 +151,104 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of_kind(k, kind) for k, kind in enumerate(KINDS)]))
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, end, surface>>: the words with a digit or an ``@``,
-    without the punctuation around them."""
-    def core(s: Column) -> Column:
-        return let(F.regexp_replace(s["surface"], r"^[^\p{L}0-9@+]+", ""), lambda x: let(F.regexp_replace(x, r"[^\p{L}0-9]+$", ""), lambda y: let(
-            s["end"] - F.char_length(x), lambda start: F.struct(start.alias("start"), (start + F.char_length(y)).alias("end"), y.alias("surface")))))
-
-    return F.filter(F.transform(located(text, CANDIDATE), core), lambda s: s["end"] > s["start"])
-
-
-def shape(surface: Column) -> Column:
-    """``@`` if there is one, else letters as a, digits as 9, runs once."""
-    runs = F.regexp_replace(F.regexp_replace(surface, r"\p{L}+", "a"), "[0-9]+", "9")
-    return F.when(F.contains(surface, F.lit("@")), F.lit("@")).otherwise(runs)
+_CANDIDATES = "array<struct<start: bigint, end: bigint, surface: string, at: bigint>>"
 
 
-def patterns(surface: Column, before: Column, after: Column) -> Column:
-    """The lexical patterns of an occurrence: its shape with the two words
-    before it, and with one word on either side."""
+def candidates(text: Column) -> Column:
+    """array<struct<start, end, surface, at>>: the words with a digit or an
+    ``@``, and in runs of number words each stretch of RUN_DIGITS digits, without
+    the punctuation around them. Those that start with the same word, at ``at``,
+    are readings of one instance."""
+    # an opening bracket stays before digits that it closes within the span, a closing one after them
+    lead, trail = r"^(?:(?!\([0-9]+\).*[0-9])[^\p{L}0-9@+])+", r"(?:(?!(?<=\([0-9]{1,19})\)$)[^\p{L}0-9])+$"
+
+    def core(start: Column, end: Column, surface: Column, at: Column) -> Column:
+        return let(F.regexp_replace(surface, lead, ""), lambda x: let(F.regexp_replace(x, trail, ""), lambda y: F.struct(
+            (start + F.char_length(surface) - F.char_length(x)).alias("start"), (end - F.char_length(x) + F.char_length(y)).alias("end"),
+            y.alias("surface"), at.alias("at"))))
+
+    def stretches(m: Column) -> Column:
+        def of(w: Column, d: Column) -> Column:  # the words, and the digits before each and before the end
+            def from_word(i: Column) -> Column:
+                last = F.sequence(i, F.least(i + RUN_DIGITS[1], F.size(w)) - 1)
+                fit = F.filter(last, lambda j: (j == i) | (F.get(d, j + 1) - F.get(d, i)).between(*RUN_DIGITS))
+                return F.transform(fit, lambda j: core(
+                    m["start"] + F.get(w, i)["start"], m["start"] + F.get(w, j)["end"],
+                    F.array_join(F.transform(F.slice(w, i + 1, j - i + 1), lambda x: x["surface"]), " "), m["start"] + F.get(w, i)["start"]))
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), from_word))
+
+        return let(located(m["surface"], r"[^\x20]+"), lambda w: let(
+            running_sums(F.concat(F.transform(w, lambda x: F.length(digits(x["surface"])).cast("long")), F.array(F.lit(0).cast("long")))),
+            lambda d: of(w, d)))
+
+    def readings(m: Column) -> Column:
+        return F.when(F.contains(m["surface"], F.lit(" ")), stretches(m)).otherwise(F.array(core(m["start"], m["end"], m["surface"], m["start"])))
+
+    return F.filter(F.flatten(F.transform(located(text, f"{RUN}|{CANDIDATE}"), readings)).cast(_CANDIDATES), lambda s: s["end"] > s["start"])
+
+
+def suits(surface: Column, k: Column) -> Column:
+    """From 0 to 1, how well the letters and digits of ``surface`` suit the kind:
+    an address has an ``@``; an IP address has four groups of digits; the digits
+    of a card or phone number are as many as those have, or in proportion less.
+    Neither their grouping nor their punctuation counts."""
+    n, long = F.length(digits(surface)), F.char_length(surface)
+    share = 1 - F.char_length(F.regexp_replace(surface, r"[^\p{L}]", "")) / long
+    groups = F.regexp_count(surface, F.lit("[0-9]+"))
+
+    def within(low: int, high: int) -> Column:
+        return F.least(F.lit(1.0), n / low, high / F.greatest(n, F.lit(1)))
+
+    fit = {"ip": F.least(F.lit(1.0), groups / IP_GROUPS), "card": within(*CARD_DIGITS), "phone": within(*PHONE_DIGITS)}
+    weighed = F.lit(0.0)
+    for kind, w in fit.items():
+        weighed = F.when(k == KINDS.index(kind), share * w).otherwise(weighed)
+    address = F.when(k == KINDS.index("email"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(F.contains(surface, F.lit("@")), address).otherwise(weighed)
+
+
+def patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns of an occurrence: the two words before it, and one
+    word on either side; words without the punctuation around them."""
     def bare(s: Column) -> Column:
-        return F.filter(F.split(F.lower(s), f"[{WS_CLASS}]+", -1), lambda w: w != F.lit(""))
+        each = F.transform(F.split(F.lower(s), f"[{WS_CLASS}]+", -1), lambda w: F.regexp_replace(w, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", ""))
+        return F.filter(each, lambda w: w != F.lit(""))
 
     left, right = bare(before), bare(after)
     one, two = F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("^")), F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("^"))
     next_word = F.coalesce(F.get(right, F.lit(0)), F.lit("$"))
-    return F.array(F.concat_ws("\t", F.lit("2"), two, one, shape(surface)), F.concat_ws("\t", F.lit("1"), one, next_word, shape(surface)))
+    return F.array(F.concat_ws("\t", F.lit("2"), two, one), F.concat_ws("\t", F.lit("1"), one, next_word))
 
 
 def graph(occurrences: DataFrame) -> DataFrame:
-    """pattern, surface, k: distinct edges; ``k`` is the kind if the surface is a
-    seed (the first in KINDS where it is several), else null."""
-    return (occurrences.select(F.explode(patterns(F.col("surface"), F.col("before"), F.col("after"))).alias("pattern"), "surface", "k")
-            .groupBy("pattern", "surface").agg(F.min("k").alias("k")))
+    """pattern, slot, surface, k: distinct edges; ``slot`` is the instance that
+    the surface is a reading of; ``k`` is the kind if the surface is a seed (the
+    first in KINDS where it is several), else null."""
+    return (occurrences.select(F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"), "slot", "surface", "k")
+            .groupBy("pattern", "slot", "surface").agg(F.min("k").alias("k")))
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     """surface, k, score: the new instances that score at least INSTANCE_SCORE;
     None if no pattern is good enough to find any. Rounds end early once they
     change nothing."""
-    by_kind = [F.sum(F.when(F.col("k") == k, F.col("score"))).alias(f"g{k}") for k in range(len(KINDS))]
+    by_kind = [F.max(F.when(F.col("k") == k, F.col("score"))).alias(f"g{k}") for k in range(len(KINDS))]
+    totals = [F.sum(f"g{k}").alias(f"g{k}") for k in range(len(KINDS))]
     kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("good")) for k in range(len(KINDS))])
     seeds = materialize(edges.filter("k is not null").groupBy("surface").agg(F.min("k").alias("k")).withColumn("score", F.lit(1.0)), "pii-seeds")
     known, found, before = seeds, None, None
     for _ in range(rounds):
         # a pattern's score: identifiers among its distinct instances
-        met = edges.select("pattern", "surface").join(known, "surface", "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *by_kind)
+        met = (edges.select("pattern", "slot", "surface").join(known, "surface", "left").groupBy("pattern", "slot").agg(*by_kind)
+               .groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *totals))
         rated = met.select("pattern", "n", F.inline(kinds)).withColumn("p", F.col("good") / (F.col("n") + 1))
         scored = materialize(rated.filter((F.col("p") >= PATTERN_SCORE) & (F.col("good") >= SUPPORT)).select("pattern", "k", "p"), "pii-scored")
         if scored.isEmpty():
             return None
-        # an instance's score: noisy or over its patterns, the best kind counts
-        votes = (edges.filter("k is null").select("pattern", "surface").join(scored, "pattern")
-                 .groupBy("surface", "k").agg((1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("score")))
+        # an instance's score: noisy or over its patterns, as far as it suits the kind; the best kind counts
+        votes = (edges.filter("k is null").select("pattern", "surface").distinct().join(scored, "pattern")
+                 .groupBy("surface", "k").agg((1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("score"))
+                 .withColumn("score", F.col("score") * suits(F.col("surface"), F.col("k"))).filter("score > 0"))
         best = votes.groupBy("surface").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
         found = materialize(best.select("surface", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score")).join(
             seeds.select("surface"), "surface", "left_anti"), "pii-found")
@@ -204,6 +259,25 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     return found.filter(F.col("score") >= INSTANCE_SCORE)
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """row, ``added`` (sorted array of start, k, end): spans of ``found`` (row,
+    at, start, end, k, score) that don't overlap: of those that start with the
+    same word the one with the best score, then the longest; the leftmost first."""
+    best = F.max(F.struct("score", (F.col("end") - F.col("start")).alias("long"), "start", "end", (-F.col("k")).alias("k"))).alias("b")
+    each = found.groupBy("row", "at").agg(best).select("row", "b.start", (-F.col("b.k")).alias("k"), "b.end")
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # stretches of spans that overlap; only within one is the choice made span by span
+    clear = F.when(F.coalesce(reached, F.lit(0)) <= F.col("start"), F.lit(1)).otherwise(F.lit(0))
+    stretch = F.sum("clear").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = F.array_sort(F.collect_list(F.struct("start", "k", "end")))
+    none = F.array().cast("array<struct<start: bigint, k: int, end: bigint>>")
+    chosen = F.aggregate("held", none, lambda kept, s: F.when(
+        (F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["end"] <= s["start"]), F.concat(kept, F.array(s))).otherwise(kept))
+    return (each.withColumn("clear", clear).withColumn("stretch", stretch).groupBy("row", "stretch").agg(held.alias("held"))
+            .groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(chosen))).alias("added")))
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of sorted spans (start, k, end, ..), comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -215,7 +289,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     is the place in KINDS), one row per input row.
 
     ``spans`` has the base spans and those that the patterns add, none of which
-    overlaps a base span. A null text counts as empty and has none; ids are
+    overlaps a base span or another added one. A null text counts as empty and has none; ids are
     passed on, null or repeated; repeated rows have the same spans. Other
     columns are ignored; an empty table gives an empty table.
     """
@@ -223,20 +297,24 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
                        .select("row", "doc_id", in_context(F.col("text"), base_spans(F.col("text"))).alias("base"),
                                in_context(F.col("text"), candidates(F.col("text"))).alias("words")), "pii-spans")
-    seeds = rows.select("row", F.explode("base").alias("s")).select("row", "s.*")
+    seeds = rows.select("row", F.explode("base").alias("s")).select("row", "s.*").withColumn("at", F.col("start"))
     words = rows.select("row", F.explode("words").alias("s")).select("row", "s.*").withColumn("k", F.lit(None).cast("int"))
     order = Window.partitionBy("row").orderBy("start", F.col("k").asc_nulls_last())
     base_end = F.max(F.when(F.col("k").isNotNull(), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    base_start = F.min(F.when(F.col("k").isNotNull(), F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    every = (seeds.select("row", "start", "k", "end", "surface", "before", "after").unionByName(words)
+    # backwards, as frames that shrink are summed anew for every row
+    back = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("k").asc_nulls_last())
+    base_start = F.min(F.when(F.col("k").isNotNull(), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    every = (seeds.select("row", "at", "start", "k", "end", "surface", "before", "after").unionByName(words)
              .withColumns({"_e": base_end, "_s": base_start})
              .filter(F.col("k").isNotNull() | (F.coalesce("_e", F.lit(0)) <= F.col("start")) & (F.coalesce("_s", F.col("end")) >= F.col("end"))).drop("_e", "_s"))
+    # the longest reading that no base span overlaps names the instance
+    longest = F.max(F.struct(F.char_length("surface"), "surface")).over(Window.partitionBy("row", "at", F.col("k").isNull()))
+    every = every.withColumn("slot", F.when(F.col("k").isNotNull(), F.col("surface")).otherwise(longest["surface"]))
     every = materialize(every, "pii-occurrences")
     plain = rows.select("row", "doc_id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))).alias("base"))
     found = bootstrap(materialize(graph(every), "pii-graph"))
     if found is None:
         return plain.select("doc_id", "base", F.col("base").alias("spans"))
-    added = (every.filter("k is null").select("row", "start", "end", "surface").join(found.select("surface", "k"), "surface")
-             .groupBy("row").agg(F.collect_list(F.struct("start", "k", "end")).alias("added")))
+    added = apart(every.filter("k is null").select("row", "at", "start", "end", "surface").join(found, "surface"))
     out = plain.join(materialize(added, "pii-added"), "row", "left")
     return out.select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))

@@ -74,5 +74,26 @@ def test_context_is_the_text_around_a_span_whatever_it_holds(spark):
     assert added.pop(100) == ["10.0.0.256"] and not any(added.values())
 
 
+def test_other_shapes_in_a_trusted_context(spark):
+    bad = next(c for c in ("4485 2396 1073 2158", "4485 2396 1073 2159") if not luhn(c.replace(" ", "")))
+    rows = [(i, f"note {i} please call me at +1 (017) 555-77{i:02d} today") for i in range(12)]
+    rows += [(50 + i, f"my card number {with_check(f'44852396107{i:04d}')} is mine") for i in range(12)]
+    found = {100: ("call me at (555) 123-4567, thanks", "phone", "(555) 123-4567"), 101: ("or call me at 555-123-4567.", "phone", "555-123-4567"),
+             102: ("call me at 555 123  4567 today", "phone", "555 123  4567"), 103: (f"my card number {bad} is mine", "card", bad),
+             104: ("call me at 0171 5551234 or 12 of 30", "phone", "0171 5551234"), 105: ("fax 555 123 4567 (office)", "phone", "555 123 4567"),
+             106: (f"é🙂 card number {bad} 12 27", "card", bad)}
+    rows += [(d, x[0]) for d, x in found.items()]
+    rows += [(200, "call me at 5 today"), (201, "12 of 30 items 555 1234"), (202, "in 2024 5 of 123 4567 8 were new")]
+    out = {r.doc_id: r for r in P.extract(frame(spark, rows)).collect()}
+    added = {d: [(P.KINDS[s.k], dict(rows)[d][s.start:s.end]) for s in r.spans if s not in r.base] for d, r in out.items()}
+    assert added == {d: [found[d][1:]] if d in found else [] for d, _ in rows}
+
+
+def test_added_spans_never_overlap(spark):
+    rows = [(i, f"call me at +1 (017) 555-77{i:02d} today") for i in range(12)] + [(100, "call me at 555 123 4567 200 300 400 500 600 call me at 123 4567 200 today" * 3)]
+    r = next(r for r in P.extract(frame(spark, rows)).collect() if r.doc_id == 100)
+    assert r.spans and all(a.end <= b.start for a, b in zip(r.spans, r.spans[1:]))
+
+
 def test_empty_table(spark):
     assert P.extract(frame(spark, []).limit(0)).count() == 0
