@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, pii, quality_rules, quality_sql, simhash_trie, toxicity
-from docsift.llm.common import hex_digest, read
+from docsift.llm import bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, periodic, pii, quality_rules, quality_sql, simhash_trie, toxicity
+from docsift.llm.common import hex_digest, let, read, text_of, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +133,29 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return nbsvm.score(docs, nbsvm.train(docs, read(spark, sf_dir, "labels")))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where in a tenth of the documents (by the CRC-32 h of
+    the id) the words from word a = h/10 mod n on repeat with a period that fits
+    three to ten times."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(w):
+        n = F.size(w)
+        at = (g % n).cast("int")
+        period = (1 + F.floor((n - at) / (3 + g % 8))).cast("int")
+        place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < at, i).otherwise(at + (i - at) % period)))
+        return F.when(n > 0, F.array_join(place, " ")).otherwise(F.lit(""))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words(text_of()), planted)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_planted_runs(read(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                        hex_digest(listed).alias("runs_sha256"), hex_digest(F.col("collapsed")).alias("collapsed_sha256"))
