@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, periodic, pii, quality_rules, quality_sql, simhash_trie, toxicity
+from docsift.llm import bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, periodic, pii, quality_rules, quality_sql, simhash_trie, toxicity, winnowing
 from docsift.llm.common import hex_digest, let, read, text_of, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
                         hex_digest(listed).alias("runs_sha256"), hex_digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+@query("op12_winnowing")
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.against_next(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", winnowing.printed(F.col("fingerprint")).alias("fingerprint"),
+                        winnowing.printed(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
