@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, periodic, pii, quality_rules, quality_sql, simhash_trie, toxicity, winnowing
+from docsift.llm import alignment, bpe, chat_tree, grace_dedup, line_dedup, mixing, nbsvm, periodic, pii, quality_rules, quality_sql, simhash_trie, toxicity, winnowing
 from docsift.llm.common import hex_digest, let, read, text_of, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,18 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.against_next(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", winnowing.printed(F.col("fingerprint")).alias("fingerprint"),
                         winnowing.printed(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def paired_vocabularies() -> tuple[str, str]:
+    """Paths of the two vocabularies that op13 aligns."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(read(spark, sf_dir, "documents"), *paired_vocabularies())
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(hex_digest(F.col("groups")))
+    rated = alignment.rate(aligned.withColumn("groups_sha256", digest))
+    return rated.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
