@@ -155,15 +155,25 @@ class Encoder:
 
 
 class Decoder:
-    """Packed ids -> bytes."""
+    """Packed ids -> bytes: the tokens' bytes lie end to end in one array, and the
+    bytes of many ids are picked from it at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.tokens = {i: token for token, i in ranks.items()}
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.all = np.frombuffer(b"".join(tokens), np.uint8)
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def _part(self, ids: np.ndarray) -> bytes:
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        return self.all[np.arange(ends[-1]) + np.repeat(self.start[ids] - (ends - length), length)].tobytes()
 
     def decode(self, packed: bytes) -> bytes:
-        get = self.tokens.__getitem__
         step = 4 * PIECES
-        return b"".join([b"".join(map(get, np.frombuffer(packed[at:at + step], "<u4").tolist())) for at in range(0, len(packed), step)])
+        return b"".join([self._part(np.frombuffer(packed[at:at + step], "<u4")) for at in range(0, len(packed), step)])
 
 
 @lru_cache(maxsize=2)
@@ -177,26 +187,26 @@ def decoder(path: str) -> Decoder:
     return Decoder(load_ranks(path))
 
 
-def _mapped(df: DataFrame, column: str, out: str, apply, bytes_a_batch: int = 4 << 20) -> DataFrame:
-    """``df`` with binary column ``out`` = ``apply(value)`` for each row, in small batches."""
+def _mapped(df: DataFrame, column: str, out: list[str], apply, keep: list[str] | None = None, bytes_a_batch: int = 4 << 20) -> DataFrame:
+    """Columns ``keep`` (default: all) of ``df`` and the binary columns ``out``, the
+    values of ``apply(value of column)``, for each row, in small batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    schema = StructType([*df.schema.fields, StructField(out, BinaryType())])
-    names = [f.name for f in schema.fields]
-    at = df.columns.index(column)
+    keep = df.columns if keep is None else keep
+    df = df.select(*keep, F.col(column).alias("_in"))
+    schema = StructType([*df.schema.fields[:-1], *[StructField(o, BinaryType()) for o in out]])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first, made, size = 0, [], 0
-            for i, x in enumerate(b.column(at)):
+            for i, x in enumerate(b.column(len(keep))):
                 made.append(apply(x.as_py()))
-                size += len(made[-1])
+                size += sum(map(len, made[-1]))
                 if size >= bytes_a_batch or i + 1 == b.num_rows:
-                    part = b.slice(first, len(made))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], schema=arrow) if part.schema.types == arrow.types[:-1] \
-                        else pa.RecordBatch.from_arrays([*[c.cast(t) for c, t in zip(part.columns, arrow.types)], pa.array(made, pa.binary())], names=names)
+                    kept = [c.slice(first, len(made)).cast(t) for c, t in zip(b.columns[:len(keep)], arrow.types)]
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.binary()) for c in zip(*made))], names=arrow.names)
                     first, made, size = i + 1, [], 0
 
     return small_batches(df).mapInArrow(run, schema)
@@ -211,7 +221,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
     """
     if out in df.columns:
         raise ValueError(f"column {out} is there already")
-    return _mapped(df, text_col, out, lambda t: encoder(vocabulary, pattern).encode(t) if t else b"")
+    return _mapped(df, text_col, [out], lambda t: (encoder(vocabulary, pattern).encode(t) if t else b"",))
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -219,12 +229,17 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "dec
     the UTF-8 of the text that was encoded."""
     if out in df.columns:
         raise ValueError(f"column {out} is there already")
-    return _mapped(df, ids_col, out, lambda p: decoder(vocabulary).decode(p) if p else b"")
+    return _mapped(df, ids_col, [out], lambda p: (decoder(vocabulary).decode(p) if p else b"",))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` and ``decoded`` of every row (repeated rows too); other
-    columns are left out, an empty table gives an empty table. The text itself
-    is dropped between the steps, so a row carries its ids and bytes alone."""
-    ids = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), vocabulary, pattern)
-    return decode(ids.select("doc_id", "ids"), vocabulary)
+    """``doc_id``, ``ids`` and ``decoded`` (from the ids alone) of every row (repeated
+    rows too); other columns are left out, an empty table gives an empty table. A
+    row meets Python once, and its text doesn't come back."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def both(text: str | None) -> tuple[bytes, bytes]:
+        ids = encoder(vocabulary, pattern).encode(text) if text else b""
+        return ids, decoder(vocabulary).decode(ids)
+
+    return _mapped(rows, "text", ["ids", "decoded"], both, keep=["doc_id"])
