@@ -98,19 +98,26 @@ def featured(texts: DataFrame, extract: Callable[[str | None], np.ndarray], keep
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int, seed: int,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``order``, ``y`` (0/1), ``text`` of at most ``most`` labelled rows outside
-    the held-out fold: crc32 of the id as text modulo ``fold[0]`` is not ``fold[1]``.
-
-    Rows are taken in the order of a hash of their id. Null ids, labels and
-    other label values than 0 and 1 are left out.
+                    extract: Callable[[str | None], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``order``, ``y`` (0/1), ``x`` (packed feature numbers) of at most ``most``
+    labelled ids outside the held-out fold: crc32 of the id as text modulo
+    ``fold[0]`` is not ``fold[1]``.
+
+    Ids are taken in the order of a hash of them, each once: of several labels the
+    more frequent counts (1 if they are as many), of several documents the one with
+    the least hash of its text. Null ids, labels and other label values than 0 and 1
+    are left out. So the sample is the same however the tables are partitioned, and
+    repeated rows don't crowd others out.
     """
-    chosen = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), fold))
-              .select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("order"))
-              .orderBy("order", "_id", "y").limit(most))
+    voted = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), fold))
+             .groupBy(F.col("doc_id").alias("_id")).agg((F.avg(F.col(label).cast("int")) >= 0.5).cast("int").alias("y")))
+    chosen = voted.select("_id", "y", F.xxhash64(F.lit(seed), F.col("_id")).alias("order")).orderBy("order", "_id").limit(most)
     # the broadcast side has at most ``most`` rows of three numbers
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("order", "y", "text").limit(2 * most)
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).withColumn("h", F.xxhash64("text"))
+    # features are extracted where the texts are read; a repeated row leaves one a task
+    return (featured(found, extract, ["_id", "order", "y", "h"]).groupBy("_id", "order", "y").agg(F.min(F.struct("h", "x")).alias("least"))
+            .select("order", "y", "least.x"))
 
 
 def held_out(doc_id, fold: tuple[int, int]):

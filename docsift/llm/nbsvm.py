@@ -117,9 +117,10 @@ def fit(xs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most: int = MOST_ROWS) -> Model:
-    """Fit on at most ``most`` labelled rows outside the held-out fold."""
-    sample = X.training_sample(docs, labels, label, FOLD, most, SEED, id_col, text_col)
-    at, both, (bias, slope, offset) = X.fit_in_task(X.featured(sample, extract, ["order", "y"]), fit)
+    """Fit on at most ``most`` labelled ids outside the held-out fold (of repeated
+    ids and labels see :func:`features.training_sample`)."""
+    sample = X.training_sample(docs, labels, label, FOLD, most, SEED, extract, id_col, text_col)
+    at, both, (bias, slope, offset) = X.fit_in_task(sample, fit)
     return Model(at, both[:len(at)], both[len(at):], bias, slope, offset)
 
 

@@ -94,3 +94,99 @@ def test_features_see_whole_texts():
     assert set(toxicity.extract("nasty")) <= set(toxicity.extract(long + "nasty"))
     assert len(nbsvm.extract(None)) == 0 and len(toxicity.extract(" ")) == 0
     assert len(nbsvm.extract("a a a")) > len(nbsvm.extract("a a"))
+
+
+def ids_of(spark, docs, labels, parts, most=12_000):
+    """(order, y) of the sample, from tables dealt over ``parts`` partitions."""
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int").repartition(parts)
+    sample = X.training_sample(df, lab, "toxic", toxicity.FOLD, most, toxicity.SEED, toxicity.extract)
+    return sorted((r.order, r.y, bytes(r.x)) for r in sample.collect())
+
+
+def test_repeated_rows_leave_every_id_in_the_sample(spark):
+    """One id repeated 60,000 times, once as a document and once as a label row."""
+    docs = [(i, f"text number {i}") for i in range(301)]
+    labels = [(i, i % 2) for i in range(301)]
+    train = [i for i in range(301) if zlib.crc32(str(i).encode()) % 4 != 2]
+    hot = train[7]
+    want = ids_of(spark, docs, labels, 3)
+    assert len(want) == len(train)
+    assert ids_of(spark, docs + [docs[hot]] * 60_000, labels, 3) == want == ids_of(spark, docs + [docs[hot]] * 60_000, labels, 7)
+    assert ids_of(spark, docs, labels + [labels[hot]] * 60_000, 7) == want
+    assert len(ids_of(spark, docs + [docs[hot]] * 300, labels, 5, most=50)) == 50
+
+
+def test_clashing_labels_and_texts_of_one_id(spark):
+    docs, labels = [(1, "a b"), (1, "c d"), (5, "e"), (6, "f")], [(1, 0), (1, 1), (5, 0), (5, 0), (5, 1), (6, None), (6, 0), (6, 7)]
+    rows = [ids_of(spark, docs[::step], labels[::step], parts) for step, parts in ((1, 1), (-1, 4), (1, 6))]
+    assert rows[0] == rows[1] == rows[2]
+    held = [i for i in (1, 5, 6) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sorted(y for _, y, _ in rows[0]) == sorted(y for i, y in ((1, 1), (5, 0), (6, 0)) if i not in held)
+
+
+def test_ftrl_equals_a_plain_loop():
+    """The same updates with dictionaries, one coordinate at a time."""
+    docs, labels = corpus(150)
+    xs = [toxicity.extract(d[1]) for d in docs]
+    y = [t for _, _, t in labels]
+    share = (sum(y) + 1) / (len(y) + 2)
+    z, n, bias, bias_n = {}, {}, np.log(share / (1 - share)), 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    rng = np.random.default_rng(toxicity.SEED)
+    for _ in range(toxicity.EPOCHS):
+        for k in rng.permutation(len(y)):
+            w = {i: weight(i) for i in xs[k].tolist()}
+            g = 1 / (1 + np.exp(-(bias + sum(w.values())))) - y[k]
+            for i, v in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old ** 0.5) / toxicity.ALPHA * v
+                n[i] = old + g * g
+            bias_n += g * g
+            bias -= toxicity.ALPHA * g / (toxicity.BETA + bias_n ** 0.5)
+    want = {i: weight(i) for i in z if weight(i)}
+    at, w, (got_bias,) = toxicity.fit(xs, np.array(y))
+    assert sorted(want) == at.tolist() and np.allclose(w, [want[i] for i in at.tolist()]) and np.isclose(got_bias, bias)
+
+
+def test_log_ratios_and_dual_descent_equal_plain_forms():
+    docs, labels = corpus(120)
+    xs = [nbsvm.extract(d[1]) for d in docs]
+    y = np.array([q for _, q, _ in labels])
+    r = nbsvm.log_ratios(xs, y)
+    held = [{}, {}]
+    for x, q in zip(xs, y.tolist()):
+        for i in x.tolist():
+            held[q][i] = held[q].get(i, 0) + 1
+    totals = [sum(h.values()) + nbsvm.SMOOTH * nbsvm.SIZE for h in held]
+    for i in range(nbsvm.SIZE):
+        n = [h.get(i, 0) for h in held]
+        if sum(n) < nbsvm.LEAST_ROWS:
+            assert r[i] == 0
+        else:
+            assert np.isclose(r[i], np.log((n[1] + nbsvm.SMOOTH) / totals[1]) - np.log((n[0] + nbsvm.SMOOTH) / totals[0]))
+    rows = [nbsvm.scaled(x, r) for x in xs]
+    sign = 2.0 * y - 1
+    w, bias = nbsvm.dual_descent(rows, sign)
+    # the same descent with dictionaries
+    plain, plain_bias, dual = {}, 0.0, [0.0] * len(rows)
+    rng = np.random.default_rng(nbsvm.SEED)
+    for _ in range(nbsvm.EPOCHS):
+        change = 0.0
+        for k in rng.permutation(len(rows)).tolist():
+            x = dict(zip(rows[k][0].tolist(), rows[k][1].tolist()))
+            slope = sign[k] * (sum(plain.get(i, 0.0) * v for i, v in x.items()) + plain_bias) - 1
+            best = min(max(dual[k] - slope / (sum(v * v for v in x.values()) + 1), 0.0), nbsvm.C)
+            step, dual[k] = best - dual[k], best
+            for i, v in x.items():
+                plain[i] = plain.get(i, 0.0) + step * sign[k] * v
+            plain_bias += step * sign[k]
+            change = max(change, abs(step))
+        if change < 1e-3:
+            break
+    assert np.isclose(bias, plain_bias) and np.allclose(w[list(plain)], list(plain.values())) and set(np.flatnonzero(w).tolist()) <= set(plain)
