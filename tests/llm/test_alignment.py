@@ -65,31 +65,72 @@ def text_of(groups):
 ONE = alignment.Aligner(A_PATH, B_PATH)
 
 
-@pytest.mark.parametrize("part", range(10))
-def test_equals_whole_encodings(part):
-    assert ONE.cuts
-    for t in TEXTS[part::10]:
-        a, b, groups = slow(t)
-        links = Counter((p, q) for x, y in groups for p in x for q in y)
-        assert ONE.align(t) == (len(a), len(b), len(groups), sum(links.values()), text_of(groups), dict(links)), repr(t)
+def by_text(one, texts):
+    """(n_a, n_b, n_groups, n_links, groups, {pair: n}) of each text, as one batch."""
+    made = one.align(texts)
+    links = [{} for _ in texts]
+    for pair, n, of in zip(made["pair"].tolist(), made["n"].tolist(), made["of"].tolist()):
+        assert pair not in links[of]
+        links[of][pair] = n
+    return list(zip(*(made[k].tolist() for k in ("n_a", "n_b", "n_groups", "n_links")), made["groups"], links))
+
+
+def slow_row(t):
+    a, b, groups = slow(t)
+    links = Counter(p << 32 | q for x, y in groups for p in x for q in y)
+    return len(a), len(b), len(groups), sum(links.values()), text_of(groups), dict(links)
+
+
+WANT = [slow_row(t) for t in TEXTS]
+
+
+def test_equals_whole_encodings_in_batches_and_alone():
+    assert ONE.cuts and by_text(ONE, TEXTS) == WANT
+    for t, row in zip(TEXTS, WANT):
+        assert by_text(ONE, [t]) == [row], repr(t)
+    assert by_text(ONE, ["", "▁"]) == [slow_row(""), slow_row("▁")]
 
 
-def test_small_stores_and_no_cuts(monkeypatch):
-    small, whole = alignment.Aligner(A_PATH, B_PATH, cache=3), alignment.Aligner(A_PATH, B_PATH)
-    whole.cuts = False
-    for t in TEXTS[:150]:
-        assert small.align(t) == whole.align(t) == ONE.align(t)
-    assert max(len(s) for s in (small.pieces.new, small.pieces.old, small.windows.new, small.windows.old)) <= 3
+def test_ranks_give_the_ids_of_the_file():
+    for t in TEXTS:
+        assert list(ONE.ids_a(" " + t)) == A.encode(" " + t, add_special_tokens=False).ids, repr(t)
+
+
+def test_small_store_and_parts_of_long_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "PART_CHARS", 9)
+    monkeypatch.setattr(alignment, "CROWD", 2)
+    small = alignment.Aligner(A_PATH, B_PATH, cache=3)
+    for at in range(0, len(TEXTS), 7):
+        assert by_text(small, TEXTS[at:at + 7]) == WANT[at:at + 7]
+    assert max(len(small.windows.new), len(small.windows.old)) <= 3
 
 
 def test_anchors_are_shared_ends_before_spaces():
     a, b = ONE.encode(TEXTS[-1])
-    at_a, at_b = ONE.anchors(a, b)
-    assert len(at_a) == len(at_b) > 20
-    for i, j in zip(at_a[1:-1], at_b[1:-1]):
+    at_a, at_b = ONE.anchors(a, b, np.array([0]))
+    assert len(at_a) == len(at_b) > 20 and (at_a[0], at_b[0]) == (0, 0)
+    for i, j in zip(at_a[1:].tolist(), at_b[1:].tolist()):
         assert ONE.of_a.joined(a[:i]) == ONE.of_b.joined(b[:j]) and ONE.of_a.tokens[a[i]].startswith(b" ")
 
 
+def test_equal_windows_are_decided_by_ids(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 3, 4000), rng.integers(0, 2, 4000)
+    at = np.sort(rng.choice(np.arange(1, 4000), 1500, replace=False))
+    at = np.append([0], at)
+    end = np.append(at[1:], 4000)
+    keys = [(tuple(a[i:k]), tuple(b[i:k])) for i, k in zip(at, end)]
+
+    def classes():
+        like = alignment.equal_windows(a, at, end, b, at, end)
+        assert all(keys[i] == keys[j] for i, j in enumerate(like.tolist()))
+        return like.tolist()
+
+    assert len(set(classes())) == len(set(keys))
+    monkeypatch.setattr(alignment, "_hashes", lambda ids, start, end: np.zeros(len(start), np.uint64))  # all collide
+    classes()
+
+
 def test_other_normalizers_are_not_cut(tmp_path):
     import json
 
@@ -97,7 +138,8 @@ def test_other_normalizers_are_not_cut(tmp_path):
         made = json.load(f)
     made["pre_tokenizer"]["add_prefix_space"] = True
     (tmp_path / "a.json").write_text(json.dumps(made), encoding="utf-8")
-    assert not alignment.Aligner(str(tmp_path / "a.json"), B_PATH).cuts
+    other = alignment.Aligner(str(tmp_path / "a.json"), B_PATH)
+    assert not other.cuts and by_text(other, TEXTS[:60]) == WANT[:60]  # a space is there already
 
 
 def expected(rows):
