@@ -28,6 +28,7 @@ from docsift.session import scratch_dir, write_table
 from docsift.sinks import writers as W
 from docsift.sources import files as FS
 from docsift.sources import images as IM
+from docsift.sources.image_folder import with_content
 
 
 def crawl(responses: DataFrame, max_images: int = 500, keywords: list[str] | None = None) -> DataFrame:
@@ -51,15 +52,13 @@ def accept_images(spark: SparkSession, folder: str, store_path: str | None = Non
     ``invalid``: a rule failed. ``duplicate``: near a stored hash, or near an
     earlier accepted file in path order. ``accepted``: the rest; a file that
     passes the rules but has no pixel hash (WebP) cannot be a duplicate.
-    ``hidden``: the file source skips names that start with ``_`` or ``.``.
     Only files within the size bounds are opened. New hashes are added to the
     store, if one is named.
     """
-    listed = FS.scan_images(spark, folder, "dedup")
+    listed = write_table(FS.scan_images(spark, folder, "dedup"), "accept-listed")
     sized = listed.filter(F.col("length").between(rules.min_bytes, rules.max_bytes))
-    # one folder, not recursive: the file name is unique and spelled the same
-    # by both sources (their path URIs differ in form)
-    hashes = IM.hash_images(spark, folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "bits")
+    # one folder, not recursive: the file name is unique
+    hashes = IM.hash_images(spark, folder)
     rows = (IM.image_info(sized).join(hashes, "name", "left")
             .withColumn("decodable", F.col("bits").isNotNull() | (F.col("format") == "WEBP")))
     passed = write_table(I.apply_filter(rows, rules).filter("accepted").select("path", "name", "bits"), "accept-passed")
@@ -76,8 +75,7 @@ def accept_images(spark: SparkSession, folder: str, store_path: str | None = Non
         batch = (store.agg(F.max("batch_id")).first()[0] or 0) + 1
         fresh = DD.with_hash(checked.filter(F.col("found") == "new")).withColumn("file", F.col("path"))
         W.append_store(fresh, store_path, batch)
-    hidden = FS.hidden_images(spark, folder).select("path", F.lit("hidden").alias("status"))
-    return out.unionByName(hidden)
+    return out
 
 
 def label(spark: SparkSession, folder: str, client_factory: Callable, prompt: str, model: str, timestamp: str,
@@ -90,10 +88,10 @@ def label(spark: SparkSession, folder: str, client_factory: Callable, prompt: st
     ``summary_dir`` the report.
     """
     J.allow_repeated_keys(spark)
-    files = FS.scan_images(spark, folder, "label" if flavour == "label" else "extract")
+    files = write_table(FS.scan_images(spark, folder, "label" if flavour == "label" else "extract"), "label-files")
     numbered = FS.number_files(files, flavour).select("path", "name", "length", "processing_order")
     params = LABEL_PARAMS if flavour == "label" else EXTRACT_PARAMS
-    reqs = files.filter(~needs_reencode(F.col("length"))).select("path", request_body(F.col("content"), prompt, model, params).alias("request"))
+    reqs = with_content(files.filter(~needs_reencode(F.col("length")))).select("path", request_body(F.col("content"), prompt, model, params).alias("request"))
     replies = materialize(call_service(reqs, "path", "request", client_factory, partitions=partitions),
                           scratch_dir(spark, "replies"))
     info = write_table(IM.image_info(files).select("path", F.struct("name", "file_size", "format", "width", "height", "mode").alias("image_info")), "label-info")

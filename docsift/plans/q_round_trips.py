@@ -22,6 +22,7 @@ from docsift.sinks import writers as W
 from docsift.sources import files as FS
 from docsift.sources import images as IM
 from docsift.sources.fixtures import duckdb_cte, fixture
+from docsift.sources.image_folder import write_files
 from docsift.sources.tables import table
 
 
@@ -209,3 +210,30 @@ def label_records(spark, sf_dir):
     meta = [J.get_str(rec, f"_metadata.{k}").alias(k) for k in ("image_path", "classification_timestamp", "model_used", "purpose")]
     info = [J.get_str(rec, f"_file_info.{k}").alias(k) for k in ("filename", "processing_order")]
     return parsed.select("conv_id", "turn", *own, *meta, *info)
+
+
+#: Suffixes and first characters that the scanned files take in turn.
+_SUFFIXES = (".jpg", ".JPG", ".Jpg", ".jpeg", ".png", ".PNG", ".webp", ".bmp", ".tiff", ".tif", ".txt", "")
+_FIRSTS = ("_", ".", "a", "=", " ")
+
+
+@register("image_scans", f"""
+with f as (select [{', '.join(f"'{x}'" for x in _FIRSTS)}][1 + doc_id % {len(_FIRSTS)}] || 'doc%20' || doc_id || s as name, s, strlen(coalesce(text, '')) as length
+  from (select *, [{', '.join(f"'{x}'" for x in _SUFFIXES)}][1 + doc_id % {len(_SUFFIXES)}] as s from documents)),
+ x as (select 'label' as flavour, 0 as rank, * from f where lower(s) in ({', '.join(f"'{x}'" for x in C.LABEL_SCAN_SUFFIXES)})
+  union all select 'extract', list_position(['.jpg', '.jpeg', '.png', '.webp'], s), * from f where s in ('.jpg', '.jpeg', '.png', '.webp')
+  union all select 'dedup', 0, * from f where s in ('.jpg', '.jpeg', '.png', '.webp', '.JPG', '.JPEG', '.PNG', '.WEBP'))
+select flavour, name, length, row_number() over (partition by flavour order by rank, name) as processing_order from x""")
+def image_scans(spark, sf_dir):
+    def pick(values):
+        return F.get(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values)).cast("int"))
+
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(pick(_FIRSTS), F.lit("doc%20"), F.col("doc_id").cast("string"), pick(_SUFFIXES))
+    folder = scratch_dir(spark, "image-scans")
+    write_files(docs.select(name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), folder)
+    out = None
+    for flavour in ("label", "extract", "dedup"):
+        one = FS.number_files(FS.scan_images(spark, folder, flavour), flavour).select(F.lit(flavour).alias("flavour"), "name", "length", "processing_order")
+        out = one if out is None else out.unionByName(one)
+    return out

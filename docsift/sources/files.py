@@ -1,8 +1,8 @@
 """File sources: image folders, JSON-lines logs, URL lists, the hash store.
 
-Image folders are read with the ``binaryFile`` source. Its ``length`` column
-is pushed down to the file listing and ``content`` is only read for rows that
-survive, so the size gate costs no I/O for rejected files.
+Image folders are listed by the data source of ``image_folder``, which also
+reads names that Spark's file sources hide. Names and sizes are filtered in the
+listing; contents are only read for files that survive.
 """
 
 from __future__ import annotations
@@ -15,38 +15,31 @@ from pyspark.sql import types as T
 from docsift import constants as C
 from docsift.functions import json as J
 from docsift.operators.numbering import with_position
+from docsift.sources.image_folder import list_images
 
 
 def _suffix(path_col: str = "path"):
     return F.regexp_extract(F.col(path_col), r"(\.[^./]*)$", 1)
 
 
-def scan_images(spark: SparkSession, folder: str, flavour: str = "label",
+def scan_images(spark: SparkSession, folder: str | list[str], flavour: str = "label",
                 min_bytes: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Image files of one folder (not recursive): ``path, name, length, content``.
+    """Image files of a folder or several (not recursive): ``path, name, length``.
 
     ``label``: lower-cased suffix in jpg, jpeg, png, webp, bmp, tiff.
     ``extract``: case-sensitive jpg, jpeg, png, webp, ranked in that order.
     ``dedup``: those four suffixes in lower or upper case only.
-    Optional size bounds filter on ``length`` before content is read.
+    Names may start with any character. Size bounds hold in the listing; see
+    ``image_folder.with_content`` for the bytes.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    folders = [folder] if isinstance(folder, str) else folder
+    exact = [g[1:] for g in C.EXTRACTION_SCAN_GLOBS]
+    suffixes = {"label": C.LABEL_SCAN_SUFFIXES, "extract": exact, "dedup": [*exact, *(s.upper() for s in exact)]}[flavour]
+    df = list_images(spark, folders, suffixes, flavour == "label", min_bytes, max_bytes)
     if flavour == "extract":
-        reader = reader.option("pathGlobFilter", "*.{jpg,jpeg,png,webp}")
-    elif flavour == "dedup":
-        reader = reader.option("pathGlobFilter", "*.{jpg,jpeg,png,webp,JPG,JPEG,PNG,WEBP}")
-    df = reader.load(folder)
-    if flavour == "label":
-        df = df.filter(F.lower(_suffix()).isin(*C.LABEL_SCAN_SUFFIXES))
-    if min_bytes is not None:
-        df = df.filter(F.col("length") >= min_bytes)
-    if max_bytes is not None:
-        df = df.filter(F.col("length") <= max_bytes)
-    df = df.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
-    if flavour == "extract":
-        rank = F.lit(len(C.EXTRACTION_SCAN_GLOBS))
-        for i, g in reversed(list(enumerate(C.EXTRACTION_SCAN_GLOBS))):
-            rank = F.when(_suffix() == g[1:], F.lit(i)).otherwise(rank)
+        rank = F.lit(len(exact))
+        for i, s in reversed(list(enumerate(exact))):
+            rank = F.when(_suffix() == s, F.lit(i)).otherwise(rank)
         df = df.withColumn("ext_rank", rank)
     return df
 
@@ -59,17 +52,6 @@ def number_files(files: DataFrame, flavour: str = "label") -> DataFrame:
     return with_position(files.drop("content"), order, "processing_order", start=1)
 
 
-def hidden_images(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, name`` of image files that the file source skips, since their
-    names start with ``_`` or ``.``. Read from the folder's listing, which the
-    driver holds for any scan."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = [(f.getPath().toString(), f.getPath().getName()) for f in files if f.isFile() and f.getPath().getName()[0] in "._"]
-    kept = [x for x in names if x[1].lower().endswith(C.LABEL_SCAN_SUFFIXES)]
-    return spark.createDataFrame(kept, "path string, name string")
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with ``file`` and 1-based ``line_no`` per file, blank lines kept.
 

@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.session import scratch_dir
+from docsift.sources.image_folder import list_images, with_content, write_files
+
 INFO_TYPE = "struct<format:string,width:int,height:int,mode:string,transparency:boolean,error:string>"
 
 _PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
@@ -122,19 +125,38 @@ def header_info(content: Column) -> Column:
 
 
 def image_info(files: DataFrame) -> DataFrame:
-    """``path, name, file_size`` plus header format, size, mode, transparency marker and error."""
+    """``path, name, file_size`` plus header format, size, mode, transparency marker
+    and error. Contents are read here if ``files`` is a listing without them."""
+    files = files if "content" in files.columns else with_content(files)
     return files.select("path", "name", F.col("length").alias("file_size"),
                         header_info(F.col("content")).alias("info")).select(
         "path", "name", "file_size", "info.*")
 
 
+#: Suffixes that the JVM readers decode, in any case.
+DECODED_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".gif")
+
+
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
-    """JVM-decoded pixels: ``origin, width, height, nChannels, data`` (BGR order).
+    """JVM-decoded pixels: ``name, width, height, nChannels, data`` (BGR order).
 
-    Undecodable files are dropped by the source; join on ``origin`` to flag them.
+    Undecodable files are dropped by the source; join on ``name`` to flag them. The
+    source hides names that start with ``_`` or ``.``: such files are copied to a
+    scratch folder under a name with a letter before it, and decoded from there.
     """
+    hidden = list_images(spark, [folder], DECODED_SUFFIXES, any_case=True).filter(F.substring("name", 1, 1).isin("_", "."))
     glob = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[bB][mM][pP],[gG][iI][fF]}"
-    return spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", glob).load(folder).select("image.*")
+
+    def read(path: str, name) -> DataFrame:
+        found = spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", glob).load(path)
+        return found.select(name(F.regexp_extract("image.origin", r"([^/]*)$", 1)).alias("name"), "image.width", "image.height", "image.nChannels", "image.data")
+
+    shown = read(folder, lambda n: n)
+    if hidden.isEmpty():
+        return shown
+    staged = scratch_dir(spark, "hidden-images")
+    write_files(with_content(hidden.select("path", F.concat(F.lit("h"), "name").alias("name"))), staged)
+    return shown.unionByName(read(staged, lambda n: F.substring(n, 2, 1 << 20)))
 
 
 def _ahash(data: bytes, w: int, h: int, c: int, n: int = 8) -> str | None:
@@ -171,10 +193,9 @@ def pixel_ahash(data, width, height, channels) -> Column:
 
 
 def hash_images(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, bits`` for every decodable image of a folder."""
+    """``name, bits`` for every decodable image of a folder."""
     img = decoded(spark, folder)
-    return img.select(F.col("origin").alias("path"),
-                      pixel_ahash("data", "width", "height", "nChannels").alias("bits"))
+    return img.select("name", pixel_ahash("data", "width", "height", "nChannels").alias("bits"))
 
 
 def payload_b64(content: Column) -> Column:

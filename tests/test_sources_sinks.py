@@ -66,7 +66,7 @@ def test_header_info(spark, tmp_dir):
 
 def test_pixel_hash(spark, tmp_dir):
     d = _folder(tmp_dir)
-    hashes = {os.path.basename(r.path): r.bits for r in IM.hash_images(spark, d).collect()}
+    hashes = {r.name: r.bits for r in IM.hash_images(spark, d).collect()}
     assert hashes["f.Png"] == ("00001111" * 8)
     assert hashes["a.png"] == "0" * 64  # flat image: nothing above the mean
 
