@@ -29,7 +29,7 @@ from docsift.llm.common import small_batches
 
 WORD = 64
 #: Encoded pre-tokens that a worker keeps, in two generations.
-CACHE = 250_000
+CACHE = 400_000
 #: Longer pre-tokens are encoded each time they occur.
 CACHED_CHARS = 64
 #: Texts beyond this many characters are split into pre-tokens piecewise, to bound memory.
