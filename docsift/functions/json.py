@@ -10,23 +10,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Second element behind a text that is parsed: the first that the text doesn't
+#: hold, as a text that brings it along (``1,<mark>]``) would pass.
+MARKS = (7046029254386353131, 2862933555777941757)
+
 _JSON_WS = "[ \\t\\r\\n]*"
 
 
 def strict_parse(text: Column) -> Column:
-    """Parse ``text`` as exactly one JSON value, or NULL.
+    """Parse ``text`` as exactly one JSON value, or NULL; the text is parsed once.
 
     ``try_parse_json`` alone accepts trailing text (``{..} junk``) and two
-    concatenated objects. Wrapping the text in ``[...]`` makes both a syntax
-    error unless the text closes the bracket itself (``{..}] junk``), so a
-    text with a bracket must also parse as the value of an object. Requiring
-    that the array has no second element keeps exactly one value; blank text
-    becomes ``[]`` and so NULL as well.
+    concatenated objects. So the text is parsed as the first element of an array
+    whose second is a mark, an integer: a text that closes the bracket itself
+    (``{..}] junk``) never reaches the mark, and one with several values has it
+    later. Nothing but the mark itself can stand there, for what would make the
+    second element of its own is followed by the mark as a third. Blank text is a
+    syntax error, and so NULL as well. The array is held in a lambda variable, so
+    that the optimizer can't copy the parse into every use.
     """
-    arr = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    whole = ~text.contains("]") | F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    return F.when(F.variant_get(arr, "$[1]", "variant").isNull() & whole,
-                  F.variant_get(arr, "$[0]", "variant"))
+    mark = F.when(text.contains(str(MARKS[0])), F.lit(MARKS[1])).otherwise(F.lit(MARKS[0]))
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+
+    def single(x: Column) -> Column:
+        marked = (F.try_variant_get(x["v"], "$[1]", "bigint") == x["mark"]) & F.variant_get(x["v"], "$[2]", "variant").isNull()
+        return F.when(marked, F.variant_get(x["v"], "$[0]", "variant"))
+
+    return F.get(F.transform(F.array(F.struct(whole.alias("v"), mark.alias("mark"))), single), F.lit(0))
 
 
 def quote_constants(text: Column) -> Column:

@@ -91,3 +91,18 @@ def test_scalar_text_renders_fractions_as_floats(spark):
     v = J.strict_parse(F.col("j"))
     r = df.select(*[J.scalar_text(v, k).alias(k) for k in "abcd"]).first()
     assert (r.a, r.b, r.c, r.d) == ("462645.0", "5", "0.95", "0.5")
+
+
+def test_a_line_is_parsed_once_and_marks_do_not_pass(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    a, b = J.MARKS
+    lines = [f'{{"a":1}},{a}]', f'{{"a":1}}, {a}], {b}', f'{{"a":{a}}}', f'{{"a":[{a},{b}]}}', '{"a":1}, 5', '{"a":1},', "1,2", '{"a":1}]', '{"a":1}] {"b":[2', "[1],[2]", '"]"', '{"k":"]"}']
+    df = _log(spark, lines).select("line_no", J.strict_parse(F.col("line")).alias("v"))
+    got = [r.t for r in df.orderBy("line_no").select(F.to_json("v").alias("t")).collect()]
+    assert got == [None, None, f'{{"a":{a}}}', f'{{"a":[{a},{b}]}}', None, None, None, None, None, None, '"]"', '{"k":"]"}']
+    text = io.StringIO()
+    with redirect_stdout(text):
+        df.explain("extended")
+    assert text.getvalue().split("== Optimized")[1].split("== Physical")[0].count("parseJson") == 1
