@@ -26,14 +26,24 @@ from pyspark.sql import functions as F
 from docsift import constants as C
 from docsift.functions.hashing import bits_to_long
 from docsift.operators.greedy import greedy
-from docsift.operators.hamming import near_pairs
+from docsift.operators.hamming import AGREE, near_pairs
+from docsift.operators.hash_index import HashIndex
 from docsift.session import write_table
 
-#: Nodes in the first wave, and how much larger each next one is.
-FIRST_WAVE, WAVE_GROWTH = 256, 16
+#: Nodes in the first wave, and how much larger each next one is. A wave is
+#: compared with itself, at most FIRST_WAVE^2 / 2 pairs where all are near.
+FIRST_WAVE, WAVE_GROWTH = 512, 16
 #: Wave ends up to this rank are exact; beyond it an approximate quantile does,
 #: since waves need only be in order.
 EXACT_RANKS = 4096
+#: Up to so many hashes, near ones need agree on one block, or two: fewer and
+#: shorter keys than the default three, for the same pairs.
+ONE_BLOCK, TWO_BLOCKS = 1 << 15, 1 << 20
+
+
+def agreeing(n: int) -> int:
+    """Blocks that near hashes must agree on, for a join of ``n`` hashes."""
+    return 1 if n <= ONE_BLOCK else 2 if n <= TWO_BLOCKS else AGREE
 
 
 def with_hash(rows: DataFrame, bits: str = "bits") -> DataFrame:
@@ -58,9 +68,9 @@ def node_pairs(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFr
             .select(F.col("id_a").alias("node_a"), F.col("id_b").alias("node_b"), "distance"))
 
 
-def wave_ends(nodes: DataFrame) -> list[int]:
-    """Node ids at which the waves end (the last wave has no end)."""
-    n = nodes.count()
+def wave_ends(nodes: DataFrame, n: int | None = None) -> list[int]:
+    """Node ids at which the waves of (``n``) nodes end (the last wave has no end)."""
+    n = nodes.count() if n is None else n
     ranks, size = [], FIRST_WAVE
     while size < n:
         ranks.append(size)
@@ -82,29 +92,25 @@ def _by_node():
     return Window.orderBy("node")
 
 
-def assign(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, known: DataFrame | None = None) -> DataFrame:
-    """``node, leader`` for every node (a leader leads itself).
-
-    ``known`` (``hash``): leaders from before; a node near one of them gets a
-    null leader. ``nodes`` must be cheap to read again (a written table).
-    """
-    ends = wave_ends(nodes)
-    leaders = known.select(F.lit(None).cast("long").alias("node"), "hash") if known is not None else None
+def assign(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
+    """``node, leader`` for every node (a leader leads itself). ``nodes`` must be
+    cheap to read again (a written table)."""
+    n = nodes.count()
+    agree = agreeing(n)
+    ends = wave_ends(nodes, n)
+    leaders = None
     owners: list[DataFrame] = []
     for lo, hi in zip([None, *ends], [*ends, None]):
         wave = nodes.select(F.col("node").cast("long"), "hash")
         wave = wave if lo is None else wave.filter(F.col("node") > lo)
         wave = wave if hi is None else wave.filter(F.col("node") <= hi)
         if leaders is not None:
-            found = near_pairs(wave, leaders.select(F.col("hash").alias("node"), "hash"), threshold, "node")
+            found = near_pairs(wave, leaders.select(F.col("hash").alias("node"), "hash"), threshold, "node", agree=agree)
             of_hash = leaders.select(F.col("hash").alias("id_b"), F.col("node").alias("leader"))
-            # the earliest leader; one from before (null) comes first
-            hits = (found.join(of_hash, "id_b").groupBy(F.col("id_a").alias("node"))
-                    .agg(F.min("leader").alias("leader"), F.max(F.col("leader").isNull()).alias("old")))
-            hits = write_table(hits.select("node", F.when(~F.col("old"), F.col("leader")).alias("leader")), "dedup-hits")
+            hits = write_table(found.join(of_hash, "id_b").groupBy(F.col("id_a").alias("node")).agg(F.min("leader").alias("leader")), "dedup-hits")
             owners.append(hits)
             wave = write_table(wave.join(hits.select("node"), "node", "left_anti"), "dedup-wave")
-        pairs = write_table(near_pairs(wave, None, threshold, "node").select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")), "dedup-pairs")
+        pairs = write_table(near_pairs(wave, None, threshold, "node", agree=agree).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")), "dedup-pairs")
         led = wave.join(greedy(pairs).withColumnRenamed("id", "node"), "node", "left")
         led = write_table(led.select("node", F.coalesce("leader", "node").alias("leader"), "hash"), "dedup-owners")
         owners.append(led.select("node", "leader"))
@@ -151,16 +157,27 @@ def removed(plan: DataFrame) -> DataFrame:
         F.when(F.col("hash") == F.col("leader_hash"), F.lit("exact")).otherwise(F.lit("near")).alias("reason"))
 
 
-def incremental(batch: DataFrame, store: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
+def incremental(batch: DataFrame, store: DataFrame | HashIndex | None, threshold: int = C.DEFAULT_THRESHOLD, but_batch: int | None = None) -> DataFrame:
     """Check a batch against a stored set, then against itself in order.
 
     A batch row is a duplicate when a stored hash or an earlier *new* batch
     row is within the threshold; otherwise it is new and joins the store.
     Returns ``ord, status`` for every batch row.
+
+    ``store``: rows with ``bits``, a :class:`HashIndex` (rows are read in proportion
+    to the batch; what it holds under ``but_batch`` doesn't count), or None. The
+    stored set is met once, before the batch meets itself.
     """
     nodes = write_table(collapse_exact(batch), "dedup-nodes")
-    stored = write_table(with_hash(store).select("hash").distinct(), "dedup-stored")
-    owners = assign(nodes, threshold, known=stored)
+    known = None
+    if isinstance(store, HashIndex):
+        known = store.near(nodes, but_batch)
+    elif store is not None:
+        stored = write_table(with_hash(store).select("hash").distinct(), "dedup-stored")
+        agree = agreeing(max(nodes.count(), stored.count()))
+        known = near_pairs(nodes.select("node", "hash"), stored.select(F.col("hash").alias("node"), "hash"), threshold, "node", agree=agree).select(F.col("id_a").alias("node")).distinct()
+    free = nodes if known is None else write_table(nodes.join(known, "node", "left_anti"), "dedup-free")
+    owners = assign(free, threshold)
     new_nodes = owners.filter(F.col("node") == F.col("leader")).select("node")
     per_row = with_hash(batch).join(nodes.select("hash", "node"), "hash")
     is_new = per_row.join(new_nodes.withColumn("n", F.lit(True)), "node", "left")

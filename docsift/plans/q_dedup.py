@@ -8,7 +8,9 @@ from docsift import constants as C
 from docsift.functions.hashing import average_bits, bits_to_long, long_to_hex
 from docsift.operators import dedup as DD
 from docsift.operators import images as I
-from docsift.plans.registry import register
+from docsift.operators.hash_index import HashIndex
+from docsift.plans.registry import ORACLE, register
+from docsift.session import scratch_dir, write_table
 from docsift.sources.fixtures import duckdb_cte, fixture
 from docsift.sources.tables import table
 
@@ -105,6 +107,18 @@ def incremental_dedup(spark, sf_dir):
     return DD.incremental(batch, store, T)
 
 
+@register("indexed_dedup", ORACLE["incremental_dedup"])
+def indexed_dedup(spark, sf_dir):
+    """The same through a stored index of three batches, one of them written twice,
+    compacted between."""
+    fp = fixture(spark, sf_dir, "fingerprints")
+    index = HashIndex(spark, scratch_dir(spark, "hash-index"), T, shard_rows=1 << 16, most_batches=2)
+    stored = write_table(DD.with_hash(fp.filter(F.col("block") == STORE_BLOCK)).select("hash").distinct(), "hash-index-rows")
+    for batch in (0, 1, 2, 2):
+        index.append(stored.filter(F.pmod("hash", F.lit(3)) == batch), batch)
+    return DD.incremental(fp.filter(F.col("block") != STORE_BLOCK), index, T)
+
+
 _REASON = f"""case when i.file_id is null then 'missing'
   when file_size < {C.MIN_FILE_BYTES} or file_size > {C.MAX_FILE_BYTES} then 'file_size'
   when format not in ('JPEG', 'PNG', 'WEBP') then 'format'
@@ -125,7 +139,7 @@ def arrival_status(spark, sf_dir):
     reason = F.when(F.col("file_id").isNull(), F.lit("missing")).otherwise(I.reject_reason())
     checked = arrivals.withColumn("reason", reason)
     valid = checked.filter(F.col("reason").isNull()).select("ord", "bits")
-    status = DD.incremental(valid, valid.limit(0), T).select(
+    status = DD.incremental(valid, None, T).select(
         "ord", F.when(F.col("status") == "new", F.lit("accepted")).otherwise(F.lit("duplicate")).alias("status"))
     invalid = checked.filter(F.col("reason").isNotNull()).select("ord", F.lit("invalid").alias("status"))
     return invalid.unionByName(status)

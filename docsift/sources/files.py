@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from docsift import constants as C
 from docsift.functions import json as J
+from docsift.operators.hash_index import HashIndex
 from docsift.operators.numbering import with_position
 from docsift.sources.image_folder import list_images
 
@@ -97,6 +98,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], STORE_SCHEMA)
 
 
+def store_index(spark: SparkSession, path: str, threshold: int = C.DEFAULT_THRESHOLD) -> HashIndex:
+    """The index beside the store at ``path``. A store that has none yet (imported,
+    or from before there were indexes) gets one, batch by batch."""
+    index = HashIndex(spark, f"{path.rstrip('/')}-index-{threshold}", threshold)
+    if index.generation() is None:
+        store = read_store(spark, path)
+        for r in store.select("batch_id").distinct().orderBy("batch_id").collect():
+            index.append(store.filter(F.col("batch_id") == r.batch_id).select("hash"), r.batch_id)
+    return index
+
+
 def import_store_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object ``{hex hash: file}`` as store rows.
 

@@ -6,9 +6,9 @@
 * ``label_log``: model replies arriving as files become label records
   appended to a JSON log (append mode, checkpointed).
 * ``incremental_dedup``: each micro-batch of hashes is checked against the
-  stored hashes and then against itself; new hashes are appended to the
-  store under the batch id. A replayed batch first ignores its own earlier
-  store rows, so replay after a failure gives the same answer.
+  stored hashes, through the store's index, and then against itself; new
+  hashes are appended to both under the batch id. A replayed batch ignores
+  its own earlier rows, so replay after a failure gives the same answer.
 
 All jobs take a checkpoint folder; with ``available_now`` they process what
 is there and stop (tests, backfills), otherwise they keep running.
@@ -26,7 +26,7 @@ from docsift.operators import dedup as DD
 from docsift.operators import replies as R
 from docsift.session import scratch_scope, write_table
 from docsift.sinks.writers import append_store
-from docsift.sources.files import read_store
+from docsift.sources.files import store_index
 
 
 def _trigger(writer, available_now: bool):
@@ -81,17 +81,19 @@ def incremental_dedup(spark: SparkSession, source: str, schema, store: str, stat
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source)
+    index = store_index(spark, store, threshold)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(spark):  # what a batch leaves is in the sink and the store
             rows = write_table(batch.select("ord", "bits", "file"), "stream-batch")
-            stored = read_store(spark, store).filter(F.col("batch_id") != batch_id)
-            status = DD.incremental(rows, stored.select("ord", "bits"), threshold)
+            status = DD.incremental(rows, index, threshold, but_batch=batch_id)
             (status.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(status_sink))
             written = spark.read.parquet(status_sink).filter((F.col("batch_id") == batch_id) & (F.col("status") == "new"))
             fresh = DD.with_hash(rows).join(written.select("ord"), "ord")
+            fresh = write_table(fresh, "stream-fresh")
             append_store(fresh, store, batch_id)
+            index.append(fresh, batch_id)
 
     w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now).start()

@@ -1,7 +1,9 @@
 """Banded Hamming join against brute force; greedy leader semantics."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators import dedup as DD
@@ -131,3 +133,46 @@ def test_greedy_rounds_and_walk_agree(spark, monkeypatch):
     want = {r.id: r.leader for r in greedy.greedy(df).collect()}
     monkeypatch.setattr(greedy, "WALK_EDGES", 0)
     assert {r.id: r.leader for r in greedy.greedy(df).collect()} == want
+
+
+def _random_rows(spark, n, seed, near_to=()):
+    rnd = random.Random(seed)
+    hashes = [rnd.getrandbits(64) for _ in range(n)] + [h ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for h in near_to]
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    return hashes, spark.createDataFrame(list(enumerate(signed)), "node bigint, hash bigint")
+
+
+def test_index_finds_near_hashes_and_opens_few_shards(spark, tmp_dir):
+    from docsift.operators.hash_index import HashIndex
+
+    index = HashIndex(spark, f"{tmp_dir}/index", 1, agree=2, shard_rows=60)
+    asked = spark.createDataFrame([(1, 5)], "node bigint, hash bigint")
+    assert index.near(asked).count() == 0 and index.opened_rows(asked) == 0
+    stored = []
+    for batch in range(2):
+        hashes, rows = _random_rows(spark, 300, batch)
+        stored += hashes
+        index.append(rows, batch)
+    index.append(rows, 1)  # a batch that is written again replaces itself
+    total = index.rows().count()
+    assert total == 600 * 3
+    near = [h ^ 1 for h in (stored[0], stored[299], stored[300], stored[599])]
+    asked = spark.createDataFrame([(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate([*near, 12345])], "node bigint, hash bigint")
+    for _ in range(2):  # before compaction and after
+        assert sorted(r.node for r in index.near(asked).collect()) == [0, 1, 2, 3]
+        assert sorted(r.node for r in index.near(asked, but_batch=1).collect()) == [0, 1]
+        index.compact()
+        assert index.rows().count() == total
+    number, shards = index.generation()
+    assert shards == 30 and index.opened_rows(asked.limit(1)) <= 3 * 2 * 60 + 300  # three shards, about 60 rows each
+    os.makedirs(f"{tmp_dir}/index/gen-{number + 1}-7/base")  # a compaction that died leaves the generation before in use
+    assert index.generation() == (number, shards)
+
+
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_blocks_by_size_give_the_same_pairs(spark, agree):
+    hashes, rows = _random_rows(spark, 300, 7)
+    _, rows = _random_rows(spark, 300, 7, near_to=hashes[:60])
+    want = sorted(tuple(r) for r in DD.node_pairs(rows, 5).collect())
+    got = near_pairs(rows, None, 5, "node", agree=agree)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) >= 60
