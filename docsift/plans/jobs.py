@@ -22,7 +22,7 @@ from docsift.operators import labels as L
 from docsift.operators import replies as R
 from docsift.operators import search as S
 from docsift.operators.requests import EXTRACT_PARAMS, LABEL_PARAMS, needs_reencode, request_body
-from docsift.operators.service import call_service, materialize
+from docsift.operators.service import call_once
 from docsift.operators.numbering import with_position
 from docsift.session import scratch_dir, write_table
 from docsift.sinks import writers as W
@@ -64,36 +64,38 @@ def accept_images(spark: SparkSession, folder: str, store_path: str | None = Non
     passed = write_table(I.apply_filter(rows, rules).filter("accepted").select("path", "name", "bits"), "accept-passed")
     hashed = with_position(passed.filter("bits IS NOT NULL"), ["path"], "ord", start=1)
     hashed = write_table(hashed, "accept-hashed")
-    store = FS.read_store(spark, store_path) if store_path else spark.createDataFrame([], FS.STORE_SCHEMA)
-    status = write_table(DD.incremental(hashed.select("ord", "bits"), store.select("ord", "bits"), threshold), "accept-status")
+    index = FS.store_index(spark, store_path, threshold) if store_path else None
+    status = write_table(DD.incremental(hashed.select("ord", "bits"), index, threshold), "accept-status")
     checked = hashed.join(status, "ord").select("path", "ord", "bits", F.col("status").alias("found"))
     out = (listed.select("path").join(passed.select("path", F.lit(True).alias("passed")), "path", "left")
            .join(checked.select("path", "found"), "path", "left")
            .select("path", F.when(F.col("passed").isNull(), F.lit("invalid"))
                    .when(F.col("found") == "duplicate", F.lit("duplicate")).otherwise(F.lit("accepted")).alias("status")))
     if store_path:
-        batch = (store.agg(F.max("batch_id")).first()[0] or 0) + 1
-        fresh = DD.with_hash(checked.filter(F.col("found") == "new")).withColumn("file", F.col("path"))
+        batch = (FS.read_store(spark, store_path).agg(F.max("batch_id")).first()[0] or 0) + 1
+        fresh = write_table(DD.with_hash(checked.filter(F.col("found") == "new")).withColumn("file", F.col("path")), "accept-fresh")
         W.append_store(fresh, store_path, batch)
+        index.append(fresh, batch)
     return out
 
 
 def label(spark: SparkSession, folder: str, client_factory: Callable, prompt: str, model: str, timestamp: str,
-          partitions: int | None = None, flavour: str = "label", log_dir: str | None = None, summary_dir: str | None = None) -> DataFrame:
+          partitions: int | None = None, flavour: str = "label", log_dir: str | None = None, summary_dir: str | None = None,
+          ledger: str | None = None) -> DataFrame:
     """Label every image of a folder through a service; failures stay as rows.
 
-    Replies are written once to the checkpoint root before parsing, so a
-    retried stage never repeats a paid call. An image above the payload limit
-    is not sent, but recorded as failed. ``log_dir`` gets the JSON-lines log,
-    ``summary_dir`` the report.
+    Replies go to a ledger before they are parsed (see ``service.call_once``), so
+    neither a task nor a job that runs again repeats a committed call; name a
+    ``ledger`` folder to keep it for later runs (default: one in the checkpoint
+    root). An image above the payload limit is not sent, but recorded as failed.
+    ``log_dir`` gets the JSON-lines log, ``summary_dir`` the report.
     """
     J.allow_repeated_keys(spark)
     files = write_table(FS.scan_images(spark, folder, "label" if flavour == "label" else "extract"), "label-files")
     numbered = FS.number_files(files, flavour).select("path", "name", "length", "processing_order")
     params = LABEL_PARAMS if flavour == "label" else EXTRACT_PARAMS
     reqs = with_content(files.filter(~needs_reencode(F.col("length")))).select("path", request_body(F.col("content"), prompt, model, params).alias("request"))
-    replies = materialize(call_service(reqs, "path", "request", client_factory, partitions=partitions),
-                          scratch_dir(spark, "replies"))
+    replies = write_table(call_once(reqs, "path", "request", client_factory, ledger or scratch_dir(spark, "ledger"), partitions=partitions), "replies")
     info = write_table(IM.image_info(files).select("path", F.struct("name", "file_size", "format", "width", "height", "mode").alias("image_info")), "label-info")
     out = numbered.join(replies, "path", "left").join(info, "path", "left")
     unsent = F.col("attempts").isNull()

@@ -11,7 +11,7 @@ from docsift.functions import json as J
 from docsift.operators import labels as L
 from docsift.operators import replies as R
 from docsift.operators.requests import LABEL_PARAMS, request_body
-from docsift.operators.service import CallNetworkError, CallTimeout, call_service, materialize
+from docsift.operators.service import resolve_attempts
 from docsift.plans import duck as D
 from docsift.plans.q_extraction import parsed_extraction
 from docsift.plans.q_labels import _P, _S, _hist_long, parsed_labels
@@ -144,27 +144,13 @@ def display_values(spark, sf_dir):
     return recs.select("line_no", *[J.display_value(F.col("rec"), f).alias(f) for f in ("document_category", "ocr_difficulty", "text_clarity")])
 
 
-def _client():
-    """A deterministic in-process service: some calls time out, some fail."""
-    def call(request: str):
-        n = int(request.rsplit("-", 1)[1])
-        if n % 7 == 3:
-            raise CallTimeout("no answer")
-        if n % 11 == 5:
-            raise CallNetworkError("connection reset")
-        return (429, "slow down") if n % 5 == 1 else (200, f"answer {n}")
-    return call
-
-
-@register("service_calls", """
-select doc_id, case when doc_id % 7 = 3 or doc_id % 11 = 5 then null when doc_id % 5 = 1 then 429 else 200 end as status_code,
-  case when doc_id % 7 = 3 or doc_id % 11 = 5 then null when doc_id % 5 = 1 then 'slow down' else 'answer ' || doc_id end as content,
-  case when doc_id % 7 = 3 then 'timeout' when doc_id % 11 = 5 then 'network' end as exception_kind,
-  case when doc_id % 7 = 3 or doc_id % 11 = 5 then 3 else 1 end as attempts from documents""")
+@register("service_calls", duckdb_cte("attempt_log") + """,
+ t as (select * from attempt_log where attempt <= 3),
+ a as (select url, min(attempt) filter (where exception_kind is null) as ok, max(attempt) as last from t group by url)
+select a.url, case when ok is not null then t.status_code end as status_code, case when ok is null then t.exception_kind end as exception_kind, t.attempt as attempts
+from a join t on t.url = a.url and t.attempt = coalesce(ok, last)""")
 def service_calls(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("request"))
-    called = call_service(docs, "doc_id", "request", lambda: _client(), sleep=lambda s: None)
-    return materialize(called, scratch_dir(spark, "round-trip-calls")).drop("exception_message")
+    return resolve_attempts(fixture(spark, sf_dir, "attempt_log"), "url")
 
 
 def _little_endian(n):
