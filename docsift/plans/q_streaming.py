@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docsift import constants as C
 from docsift.plans.q_dedup import _walk
 from docsift.plans.registry import register
-from docsift.session import scratch_dir
+from docsift.session import scratch_dir, write_table
 from docsift.sources.fixtures import duckdb_cte, fixture
 from docsift.streaming import jobs as SJ
 
@@ -35,6 +35,27 @@ def stream_seen_urls(spark, sf_dir):
     return spark.read.parquet(p["sink"])
 
 
+@register("stream_accepted_urls", duckdb_cte("attempt_log") + f"""
+select url, cast(2 * attempt as bigint) as seq, case when coalesce(max(case when status_code = 200 then 1 else 0 end)
+    over (partition by url order by attempt rows between unbounded preceding and 1 preceding), 0) = 1 then '{SJ.SEEN}' else '{SJ.TAKE}' end as decision
+from attempt_log""")
+def stream_accepted_urls(spark, sf_dir):
+    """Every attempt is an arrival of its URL; the verdict on it comes with it (odd
+    attempts) or lands with the next files (even ones)."""
+    p = _paths(spark, "accepted-urls")
+    attempts = fixture(spark, sf_dir, "attempt_log").select("url", "attempt", F.coalesce(F.col("status_code") == 200, F.lit(False)).alias("good"))
+    attempts = write_table(attempts, "accepted-urls-attempts")
+    arrival = F.struct((2 * F.col("attempt")).cast("long").alias("seq"), F.lit(None).cast("boolean").alias("accepted"))
+    verdict = F.struct((2 * F.col("attempt") + 1).cast("long").alias("seq"), F.col("good").alias("accepted"))
+    events = attempts.select("url", "attempt", F.explode(F.array(arrival, verdict)).alias("e")).select("url", "attempt", "e.*")
+    # files land in the order of this number
+    landing = F.least(F.col("attempt") + F.when((F.col("attempt") % 2 == 0) & F.col("accepted").isNotNull(), 1).otherwise(0), F.lit(4))
+    for n in range(1, 5):
+        events.filter(landing == n).select("url", "seq", "accepted").write.mode("append").parquet(p["input"])
+        SJ.accepted_urls(spark, p["input"], p["sink"], p["checkpoint"]).awaitTermination()
+    return spark.read.parquet(p["sink"])
+
+
 @register("stream_label_log", duckdb_cte("model_replies") + f""", j as (select *, case
   when strpos(content, '```json') > 0 then regexp_replace(substring(content, strpos(content, '```json') + 7,
     greatest(case when strpos(substring(content, strpos(content, '```json') + 7), '```') > 0

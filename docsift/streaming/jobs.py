@@ -3,6 +3,9 @@
 * ``seen_urls``: URLs already handled are suppressed across micro-batches
   (``dropDuplicates`` keeps the URL set as streaming state; with an event
   time column, ``dropDuplicatesWithinWatermark`` bounds that state).
+* ``accepted_urls``: a URL is seen only once its image is accepted; until then
+  it is in hand, and after a rejection it may come again (keyed state with a
+  timer, ``applyInPandasWithState``).
 * ``label_log``: model replies arriving as files become label records
   appended to a JSON log (append mode, checkpointed).
 * ``incremental_dedup``: each micro-batch of hashes is checked against the
@@ -16,9 +19,13 @@ is there and stop (tests, backfills), otherwise they keep running.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docsift import constants as C
 from docsift.functions import json as J
@@ -49,6 +56,63 @@ def seen_urls(spark: SparkSession, source: str, schema, sink: str, checkpoint: s
     return _trigger(w, available_now).start()
 
 
+#: What becomes of an arrival: it is fetched, another arrival of it is in hand, or
+#: its image was accepted before.
+TAKE, IN_HAND, SEEN = "take", "in_hand", "seen"
+
+
+def decide_url(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_ms: int | None) -> Iterator[pd.DataFrame]:
+    """Decisions on one URL's arrivals, in the order of ``seq``. Events are arrivals
+    (``accepted`` null) and verdicts. The state is (accepted): none for a URL that is
+    new, was rejected, or whose verdict did not come in ``hold_ms``."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    events = sorted((int(seq), None if pd.isna(verdict) else bool(verdict)) for b in batches for seq, verdict in zip(b["seq"], b["accepted"]))
+    known = bool(state.get[0]) if state.exists else None  # None: free, False: in hand, True: accepted
+    out = []
+    for seq, verdict in events:
+        if verdict is None:
+            out.append((key[0], seq, TAKE if known is None else SEEN if known else IN_HAND))
+            known = bool(known)
+        elif not known:  # a verdict on an accepted URL changes nothing
+            known = True if verdict else None
+    if known is None:
+        if state.exists:
+            state.remove()
+    else:
+        state.update((known,))
+        if not known and hold_ms is not None:
+            state.setTimeoutDuration(hold_ms)
+    if out:
+        yield pd.DataFrame(out, columns=["url", "seq", "decision"])
+
+
+def accepted_urls(spark: SparkSession, source: str, sink: str, checkpoint: str, hold_ms: int | None = None, available_now: bool = True,
+                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Events ``url, seq, accepted`` arrive as files: arrivals (``accepted`` null)
+    and verdicts on the images of taken ones. ``sink`` gets ``url, seq, decision`` for
+    each arrival.
+
+    Only accepted URLs become seen: one whose image was rejected (or whose verdict
+    does not come within ``hold_ms``, which also frees its state) is taken again when
+    it comes again. ``seq`` orders the events of a URL within a micro-batch; a
+    verdict belongs in the batch of its arrival or a later one.
+    """
+    reader = spark.readStream.schema("url string, seq bigint, accepted boolean")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+
+    def decide(key, batches, state):
+        return decide_url(key, batches, state, hold_ms)
+
+    timer = GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    decided = reader.parquet(source).groupBy("url").applyInPandasWithState(
+        decide, "url string, seq bigint, decision string", "accepted boolean", "append", timer)
+    w = decided.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
+    return _trigger(w, available_now).start()
+
+
 def label_log(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keys: tuple[str, ...],
               path_col: str | None = None, order_col: str | None = None, timestamp_col: str | None = None, model: str = "",
               flavour: str = "label", available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:

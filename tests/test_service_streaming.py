@@ -72,3 +72,57 @@ def test_a_replayed_batch_gives_the_same_statuses_and_store(spark, tmp_dir):
     for name in os.listdir(commits):
         os.rename(os.path.join(commits, name), os.path.join(tmp_dir, f"lost-{name}"))
     assert run() == first
+
+
+class _State:
+    """The state of one URL, as the stream's function sees it."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timer = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timer = ms
+
+
+def _decide(state, events, hold_ms=None):
+    import pandas as pd
+
+    frames = [pd.DataFrame([e], columns=["seq", "accepted"]).astype({"accepted": "object"}) for e in events]
+    return [(r.seq, r.decision) for f in SJ.decide_url(("u",), iter(frames), state, hold_ms) for r in f.itertuples()]
+
+
+def test_a_url_is_seen_only_once_accepted():
+    s = _State()
+    assert _decide(s, [(2, None), (1, None)]) == [(1, SJ.TAKE), (2, SJ.IN_HAND)]
+    assert _decide(s, [(3, None)]) == [(3, SJ.IN_HAND)]
+    assert _decide(s, [(4, False)]) == [] and not s.exists  # rejected: nothing is kept
+    assert _decide(s, [(5, None), (6, True), (7, None)]) == [(5, SJ.TAKE), (7, SJ.SEEN)]
+    assert _decide(s, [(8, False), (9, None)]) == [(9, SJ.SEEN)] and s.value == (True,)
+
+
+def test_a_verdict_that_does_not_come_frees_the_url():
+    s = _State()
+    assert _decide(s, [(1, None)], 1000) == [(1, SJ.TAKE)] and s.timer == 1000
+    s.hasTimedOut = True
+    assert _decide(s, [], 1000) == [] and not s.exists
+    s.hasTimedOut = False
+    assert _decide(s, [(2, None)], 1000) == [(2, SJ.TAKE)]
+
+
+def test_accepted_urls_stream_survives_restarts(spark, tmp_dir):
+    src, sink, ck = (os.path.join(tmp_dir, k) for k in ("src", "sink", "ck"))
+    schema = "url string, seq bigint, accepted boolean"
+    for rows in ([("a", 1, None), ("b", 1, None)], [("a", 2, False), ("b", 2, True)], [("a", 3, None), ("b", 3, None), ("c", 1, None), ("c", 2, None)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        SJ.accepted_urls(spark, src, sink, ck).awaitTermination()
+    got = {(r.url, r.seq): r.decision for r in spark.read.parquet(sink).collect()}
+    assert got == {("a", 1): "take", ("b", 1): "take", ("a", 3): "take", ("b", 3): "seen", ("c", 1): "take", ("c", 2): "in_hand"}
