@@ -189,9 +189,13 @@ def label_records(spark, sf_dir):
     replies = with_position(fixture(spark, sf_dir, "model_replies"), ["conv_id", "turn"], "nth", start=1)
     path = F.concat(F.lit("img/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".png"))
     out = R.with_metadata(R.with_outcome(replies), path, None, F.lit("2024-01-01T00:00:00"), MODEL)
-    lines = R.record_text(R.with_file_info(out, path, F.col("nth"))).select("conv_id", "turn", "line")
+    return record_fields(R.record_text(R.with_file_info(out, path, F.col("nth"))), "line")
+
+
+def record_fields(lines, line: str):
+    """The fields of label records, read back from their JSON lines."""
     rec = F.col("rec")
-    parsed = lines.select("conv_id", "turn", F.inline(F.array(F.struct(J.parse_object(F.col("line")).alias("rec")))))
+    parsed = lines.select("conv_id", "turn", F.inline(F.array(F.struct(J.parse_object(F.col(line)).alias("rec")))))
     own = [J.get_str(rec, k).alias(k) for k in ("error", "summary", "raw_response", "json_error", "error_details")]
     meta = [J.get_str(rec, f"_metadata.{k}").alias(k) for k in ("image_path", "classification_timestamp", "model_used", "purpose")]
     info = [J.get_str(rec, f"_file_info.{k}").alias(k) for k in ("filename", "processing_order")]

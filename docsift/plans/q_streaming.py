@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from docsift import constants as C
 from docsift.plans.q_dedup import _walk
-from docsift.plans.registry import register
+from docsift.plans.q_round_trips import MODEL, record_fields
+from docsift.plans.registry import ORACLE, register
 from docsift.session import scratch_dir, write_table
 from docsift.sources.fixtures import duckdb_cte, fixture
 from docsift.streaming import jobs as SJ
@@ -83,6 +84,19 @@ def stream_label_log(spark, sf_dir):
     return spark.read.schema(schema).json(p["sink"]).select("conv_id", "turn", "outcome", "error")
 
 
+@register("stream_ordered_log", ORACLE["label_records"].replace("row_number() over (order by conv_id, turn)", "row_number() over (order by conv_id % 2, conv_id, turn)"))
+def stream_ordered_log(spark, sf_dir):
+    """Even conversations land first, then odd ones; the whole records are compared."""
+    p = _paths(spark, "ordered-log")
+    name = F.concat(F.lit("img/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".png"))
+    replies = write_table(fixture(spark, sf_dir, "model_replies").withColumn("path", name).withColumn("at", F.lit("2024-01-01T00:00:00")), "ordered-log-replies")
+    for odd in (0, 1):
+        replies.filter(F.col("conv_id") % 2 == odd).write.mode("append").parquet(p["input"])
+        SJ.ordered_label_log(spark, p["input"], replies.schema, p["sink"], p["checkpoint"], ("conv_id", "turn"), "path", "at", MODEL).awaitTermination()
+    lines = spark.read.schema("conv_id long, turn long, record string").json(os.path.join(p["sink"], "records"))
+    return record_fields(lines, "record")
+
+
 # arrivals: the three blocks of the fingerprint table land one after another
 # (first crawl, re-encoded copies, exact re-uploads); the store starts empty
 _BLOCKS = 3

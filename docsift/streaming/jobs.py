@@ -7,7 +7,8 @@
   it is in hand, and after a rejection it may come again (keyed state with a
   timer, ``applyInPandasWithState``).
 * ``label_log``: model replies arriving as files become label records
-  appended to a JSON log (append mode, checkpointed).
+  appended to a JSON log (append mode, checkpointed); ``ordered_label_log``
+  numbers them over all micro-batches.
 * ``incremental_dedup``: each micro-batch of hashes is checked against the
   stored hashes, through the store's index, and then against itself; new
   hashes are appended to both under the batch id. A replayed batch ignores
@@ -22,7 +23,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,6 +33,7 @@ from docsift import constants as C
 from docsift.functions import json as J
 from docsift.operators import dedup as DD
 from docsift.operators import replies as R
+from docsift.operators.numbering import with_position
 from docsift.session import scratch_scope, write_table
 from docsift.sinks.writers import append_store
 from docsift.sources.files import store_index
@@ -113,6 +116,18 @@ def accepted_urls(spark: SparkSession, source: str, sink: str, checkpoint: str,
     return _trigger(w, available_now).start()
 
 
+def _records(replies: DataFrame, keys: tuple[str, ...], path_col: str | None, order: Column, timestamp_col: str | None, model: str, flavour: str) -> DataFrame:
+    """``keys``, outcome, error and the record's JSON line of each reply."""
+    rec = R.with_outcome(replies, flavour)
+    if path_col:
+        stamp = F.col(timestamp_col) if timestamp_col else F.lit(None).cast("string")
+        rec = R.with_metadata(rec, F.col(path_col), None, stamp, model, flavour=flavour)
+        rec = R.with_file_info(rec, F.col(path_col), order)
+    return R.record_text(rec, "record").select(
+        *keys, F.when(F.col("o.has_error"), F.lit("error")).otherwise(F.lit("ok")).alias("outcome"),
+        F.col("o.error").alias("error"), "record")
+
+
 def label_log(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keys: tuple[str, ...],
               path_col: str | None = None, order_col: str | None = None, timestamp_col: str | None = None, model: str = "",
               flavour: str = "label", available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
@@ -122,20 +137,54 @@ def label_log(spark: SparkSession, source: str, schema, sink: str, checkpoint: s
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    replies = reader.parquet(source)
-    rec = R.with_outcome(replies, flavour)
-    if path_col:
-        stamp = F.col(timestamp_col) if timestamp_col else F.lit(None).cast("string")
-        rec = R.with_metadata(rec, F.col(path_col), None, stamp, model, flavour=flavour)
-        rec = R.with_file_info(rec, F.col(path_col), F.col(order_col) if order_col else F.lit(None).cast("int"))
-    rec = R.record_text(rec, "record").select(
-        *keys, F.when(F.col("o.has_error"), F.lit("error")).otherwise(F.lit("ok")).alias("outcome"),
-        F.col("o.error").alias("error"), "record")
+    order = F.col(order_col) if order_col else F.lit(None).cast("int")
+    rec = _records(reader.parquet(source), keys, path_col, order, timestamp_col, model, flavour)
     w = rec.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint) \
         .option("ignoreNullFields", "false").outputMode("append")
     return _trigger(w, available_now).start()
 
 
+def ordered_label_log(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keys: tuple[str, ...], path_col: str,
+                      timestamp_col: str | None = None, model: str = "", flavour: str = "label", available_now: bool = True,
+                      max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """As :func:`label_log`, with the processing order of the whole stream in every
+    record: micro-batches one after another, the replies of a batch by ``keys``.
+
+    ``sink/records`` holds the lines by batch id, ``sink/counts`` how many records
+    each finished batch has; the counts of the batches before give the first number
+    of the next. A batch that runs again replaces its own lines and its own count,
+    so it gets the same numbers.
+    """
+    J.allow_repeated_keys(spark)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    counts = f"{sink.rstrip('/')}/counts"
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(spark):  # what a batch leaves is in the sink
+            before = read_counts(spark, counts).filter(F.col("batch_id") < batch_id).agg(F.sum("n")).first()[0] or 0
+            numbered = write_table(with_position(batch, list(keys), "_order", start=before + 1), "stream-numbered")
+            lines = _records(numbered, keys, path_col, F.col("_order"), timestamp_col, model, flavour)
+            (lines.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .option("ignoreNullFields", "false").partitionBy("batch_id").json(f"{sink.rstrip('/')}/records"))
+            (numbered.agg(F.count(F.lit(1)).alias("n")).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(counts))
+
+    w = reader.parquet(source).writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+    return _trigger(w, available_now).start()
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``n, batch_id`` of the finished batches; none where nothing is written yet."""
+    try:
+        return spark.read.schema("n bigint, batch_id bigint").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], "n bigint, batch_id bigint")
+
+
 def incremental_dedup(spark: SparkSession, source: str, schema, store: str, status_sink: str,
                       checkpoint: str, threshold: int = C.DEFAULT_THRESHOLD, available_now: bool = True,
                       max_files_per_trigger: int | None = 1) -> StreamingQuery:

@@ -126,3 +126,32 @@ def test_accepted_urls_stream_survives_restarts(spark, tmp_dir):
         SJ.accepted_urls(spark, src, sink, ck).awaitTermination()
     got = {(r.url, r.seq): r.decision for r in spark.read.parquet(sink).collect()}
     assert got == {("a", 1): "take", ("b", 1): "take", ("a", 3): "take", ("b", 3): "seen", ("c", 1): "take", ("c", 2): "in_hand"}
+
+
+def test_processing_order_goes_on_across_batches_and_replays(spark, tmp_dir):
+    import json
+    import shutil
+
+    src, sink, ck = (os.path.join(tmp_dir, k) for k in ("src", "sink", "ck"))
+    schema = "id bigint, path string, status_code int, exception_kind string, content string"
+
+    def land(ids):
+        rows = [(i, f"img/{i}.png", 200 if i % 3 else 500, None, '{"document_category":"c"}') for i in ids]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+
+    def run():
+        SJ.ordered_label_log(spark, src, schema, sink, ck, ("id",), "path").awaitTermination()
+        found = spark.read.schema("id long, record string").json(f"{sink}/records").collect()
+        return {r.id: json.loads(r.record)["_file_info"]["processing_order"] for r in found}
+
+    land([5, 3, 9])
+    assert run() == {3: 1, 5: 2, 9: 3}
+    land([4, 1])
+    want = {3: 1, 5: 2, 9: 3, 1: 4, 4: 5}
+    assert run() == want
+    # the last batch is lost from the checkpoint's commits, and runs again
+    for name in ("1", ".1.crc"):
+        shutil.move(f"{ck}/commits/{name}", f"{tmp_dir}/commit{name}")
+    assert run() == want
+    land([2])
+    assert run() == want | {2: 6}
