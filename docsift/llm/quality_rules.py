@@ -29,16 +29,19 @@ ACCURACY, SMALLEST = 0.01, 1e-6
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 #: A group with fewer documents takes its language's thresholds, or the table's.
 MIN_GROUP = 100
-#: A fence lies FENCE interquartile ranges beyond the quartile, and at least this far.
-FENCE = 3.0
-#: ratio -> (least distance above the upper quartile, or None: no upper fence; the same below).
+#: A fence lies FENCE times the distance from the median to the tail quantile beyond that
+#: quantile; BLUR is what the sketch may take off that distance, as a share of the quantile.
+FENCE, BLUR = 3.0, 2 * ACCURACY
+TAILS = (0.1, 0.5, 0.9)
+#: ratio -> (least distance of its fences: one occurrence in the shortest text that the
+#: base rules pass; the count and how much of it one occurrence makes, which is never
+#: beyond a fence; has a lower fence too).
 RATIOS = {
-    "symbol_ratio": (0.10, None),
-    "dup_line_ratio": (0.50, None),
-    "repeat_ratio": (0.30, None),
-    "word_length": (2.0, 2.0),
+    "symbol_ratio": (1 / MIN_WORDS, "n_symbols", 1, False),
+    "dup_line_ratio": (1 / MIN_WORDS, "n_dup_lines", 1, False),
+    "repeat_ratio": (6 / MIN_WORDS, "n_repeat_words", 6, False),
+    "word_length": (1 / MIN_WORDS, None, 0, True),
 }
-QUARTILES = (0.25, 0.75)
 
 
 def repeated_words(w: Column) -> Column:
@@ -98,41 +101,39 @@ def sketches(rated: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "ratio", "bucket").agg(F.count(F.lit(1)).alias("n")))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Quartiles of merged sketches: one row for each group ``by``, with n and,
-    for each ratio, a struct (low, high)."""
+def tails(sketch: DataFrame, *by: str) -> DataFrame:
+    """Quantiles of merged sketches: one row for each group ``by``, with n and,
+    for each ratio, a struct (low, mid, high)."""
     merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "ratio")
     upto = F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first()))
     value = F.coalesce(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1), F.lit(0.0))
     counted = merged.select(*by, "ratio", value.alias("v"), upto.alias("upto"), F.sum("n").over(group).alias("all"))
-    at = [F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v"))) for q in QUARTILES]
-    each = counted.groupBy(*by, "ratio").agg(F.max("all").alias("n"), at[0].alias("low"), at[1].alias("high"))
-    return each.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("ratio") == r, F.struct("low", "high"))).alias(r) for r in RATIOS])
+    at = [F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v"))).alias(name) for q, name in zip(TAILS, ("low", "mid", "high"))]
+    each = counted.groupBy(*by, "ratio").agg(F.max("all").alias("n"), *at)
+    return each.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("ratio") == r, F.struct("low", "mid", "high"))).alias(r) for r in RATIOS])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and for each ratio ``<ratio>_min`` / ``<ratio>_max``, from
+    """lang, source and for each ratio ``<ratio>_max`` (and ``<ratio>_min``), from
     the group's own sketch, or where it has under MIN_GROUP documents from its
     language's, or the table's."""
-    own, lang = quartiles(sketch, "lang", "source"), quartiles(sketch, "lang")
-    table = quartiles(sketch.withColumn("t", F.lit(1)), "t")
+    own, lang = tails(sketch, "lang", "source"), tails(sketch, "lang")
+    table = tails(sketch.withColumn("t", F.lit(1)), "t")
     whole = table.first()  # one row of as many numbers as there are ratios
     named = lang.select(F.col("lang").alias("_l"), *[F.struct(F.col("n"), F.col(r)).alias(f"{r}_l") for r in RATIOS])
     joined = own.join(named, F.col("lang").eqNullSafe(F.col("_l")))
 
     def of_table(r: str) -> Column:
-        low, high = whole[r] if whole and whole[r] else (None, None)
-        return F.struct(F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"))
+        values = whole[r] if whole and whole[r] else (None, None, None)
+        return F.struct(*[F.lit(v).cast("double").alias(name) for v, name in zip(values, ("low", "mid", "high"))])
 
     out = [F.col("lang"), F.col("source")]
-    for r, (above, below) in RATIOS.items():
+    for r, (least, _, _, below) in RATIOS.items():
         q = F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col(f"{r}_l")["n"] >= MIN_GROUP, F.col(f"{r}_l")[r]).otherwise(of_table(r))
-        spread = FENCE * (q["high"] - q["low"])
-        if above is not None:
-            out.append((q["high"] + F.greatest(spread, F.lit(above))).alias(f"{r}_max"))
-        if below is not None:
-            out.append((q["low"] - F.greatest(spread, F.lit(below))).alias(f"{r}_min"))
+        out.append((q["high"] + F.greatest(FENCE * (q["high"] - q["mid"] + BLUR * q["high"]), F.lit(least))).alias(f"{r}_max"))
+        if below:
+            out.append((q["low"] - F.greatest(FENCE * (q["mid"] - q["low"] + BLUR * q["low"]), F.lit(least))).alias(f"{r}_min"))
     return joined.select(*out)
 
 
@@ -149,10 +150,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     limits = materialize(thresholds(materialize(sketches(rated), "quality-sketches")), "quality-thresholds")
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     within = F.lit(True)
-    for r, (above, below) in RATIOS.items():
-        if above is not None:
-            within &= F.col(r) <= F.col(f"{r}_max")
-        if below is not None:
+    for r, (_, count, once, below) in RATIOS.items():
+        inside = F.col(r) <= F.col(f"{r}_max")
+        within &= inside | (F.col(count) <= once) if count else inside
+        if below:
             within &= F.col(r) >= F.col(f"{r}_min")
     # a group all of whose rows fail the base rules has no thresholds, and needs none
     judged = rated.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")

@@ -11,23 +11,22 @@ WS, NOT_WS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 def _fences() -> str:
     out = []
-    for r, (above, below) in Q.RATIOS.items():
-        spread = f"{Q.FENCE} * ({r}_high - {r}_low)"
-        if above is not None:
-            out.append(f"{r} <= {r}_high + greatest({spread}, {above})")
-        if below is not None:
-            out.append(f"{r} >= {r}_low - greatest({spread}, {below})")
+    for r, (least, count, once, below) in Q.RATIOS.items():
+        out.append(f"({r} <= {r}_high + greatest({Q.FENCE} * ({r}_high - {r}_mid + {Q.BLUR} * {r}_high), {least})" + (f" or {count} <= {once})" if count else ")"))
+        if below:
+            out.append(f"{r} >= {r}_low - greatest({Q.FENCE} * ({r}_mid - {r}_low + {Q.BLUR} * {r}_low), {least})")
     return " and ".join(out)
 
 
-def _quartiles(name: str, by: list[str]) -> str:
-    """CTE ``name``: n and the quartiles of each ratio for the groups ``by``."""
-    wide = ", ".join(f"max(case when ratio = '{r}' then low end) as {r}_low, max(case when ratio = '{r}' then high end) as {r}_high" for r in Q.RATIOS)
+def _tails(name: str, by: list[str]) -> str:
+    """CTE ``name``: n and the quantiles of each ratio for the groups ``by``."""
+    ends = ("low", "mid", "high")
+    wide = ", ".join(f"max(case when ratio = '{r}' then {e} end) as {r}_{e}" for r in Q.RATIOS for e in ends)
     keys, group = "".join(f"{k}, " for k in by), ", ".join([*by, "ratio"])
-    low, high = Q.QUARTILES
+    at = ", ".join(f"min(case when upto >= {q} * total then v end) as {e}" for q, e in zip(Q.TAILS, ends))
     return f"""{name} as (
   select {keys}max(n) as n, {wide} from (
-    select {keys}ratio, max(total) as n, min(case when upto >= {low} * total then v end) as low, min(case when upto >= {high} * total then v end) as high from (
+    select {keys}ratio, max(total) as n, {at} from (
       select {keys}ratio, coalesce(2 * pow({Q.GAMMA!r}, bucket) / {Q.GAMMA + 1!r}, 0.0) as v,
              sum(n) over (partition by {group} order by bucket nulls first) as upto, sum(n) over (partition by {group}) as total
       from (select {group}, bucket, sum(n) as n from sketch group by all))
@@ -37,7 +36,7 @@ def _quartiles(name: str, by: list[str]) -> str:
 def statement() -> str:
     names = ", ".join(Q.RATIOS)
     pick = ", ".join(f"case when own.n >= {Q.MIN_GROUP} then own.{r}_{e} when by_lang.n >= {Q.MIN_GROUP} then by_lang.{r}_{e} else whole.{r}_{e} end as {r}_{e}"
-                     for r in Q.RATIOS for e in ("low", "high"))
+                     for r in Q.RATIOS for e in ("low", "mid", "high"))
     return f"""
 with d as (
   select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{NOT_WS}+') as w,
@@ -57,9 +56,9 @@ b as (
 sketch as (
   select lang, source, ratio, case when v >= {Q.SMALLEST} then cast(ceil(ln(v) / {math.log(Q.GAMMA)!r}) as integer) end as bucket, count(*) as n
   from (unpivot (select lang, source, {names} from b where not base_failed) on {names} into name ratio value v) group by all),
-{_quartiles("own", ["lang", "source"])},
-{_quartiles("by_lang", ["lang"])},
-{_quartiles("whole", [])},
+{_tails("own", ["lang", "source"])},
+{_tails("by_lang", ["lang"])},
+{_tails("whole", [])},
 f as (select own.lang, own.source, {pick} from own join by_lang on by_lang.lang is not distinct from own.lang cross join whole)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and coalesce({_fences()}, false) as kept

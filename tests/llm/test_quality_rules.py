@@ -65,12 +65,28 @@ def test_a_source_keeps_what_is_usual_in_it(spark):
 def test_sketch_quantiles_are_accurate_and_merge(spark):
     rows = [(i, prose(50 + i), "en", f"s{i % 5}") for i in range(500)]
     rated = Q.with_base(Q.signals(frame(spark, rows)))
-    whole = Q.quartiles(Q.sketches(rated), "lang").first()
+    whole = Q.tails(Q.sketches(rated), "lang").first()
     lengths = sorted(sum(map(len, t.split())) / len(t.split()) for _, t, _, _ in rows)
-    for q, got in zip(Q.QUARTILES, whole["word_length"]):
+    for q, got in zip(Q.TAILS, whole["word_length"]):
         exact = lengths[int(q * len(lengths)) - 1]
         assert abs(got - exact) <= 1.1 * Q.ACCURACY * exact
 
 
 def test_empty_table(spark):
     assert Q.judge(frame(spark, ROWS).limit(0)).count() == 0
+
+
+def test_fences_follow_the_source_where_constants_would_not(spark):
+    """Lists repeat a tenth of their lines, prose none: the same share of repeated
+    lines passes in one source and fails in the other."""
+    def lines(n, repeated):
+        own = [f"{prose(6)} {i}" for i in range(n - repeated)]
+        return "\n".join(own + random.choices(own, k=repeated))
+
+    lists = [(i, lines(30, random.randint(2, 5)), "en", "lists") for i in range(300)]
+    pages = [(1000 + i, lines(30, 0), "en", "pages") for i in range(300)]
+    odd = [(5000, lists[0][1], "en", "pages")]
+    out = {r.doc_id: r.kept for r in Q.judge(frame(spark, lists + pages + odd)).collect()}
+    assert all(out[i] for i in range(300)) and all(out[1000 + i] for i in range(300)) and not out[5000]
+    limits = {r.source: r for r in Q.thresholds(Q.sketches(Q.with_base(Q.signals(frame(spark, lists + pages))))).collect()}
+    assert limits["lists"].dup_line_ratio_max > 5 * limits["pages"].dup_line_ratio_max
