@@ -10,7 +10,7 @@ from docsift import constants as C
 from docsift.functions import json as J
 from docsift.operators import labels as L
 from docsift.operators import replies as R
-from docsift.operators.requests import LABEL_PARAMS, request_body
+from docsift.operators.requests import EXTRACT_PARAMS, LABEL_PARAMS, request_body
 from docsift.operators.service import resolve_attempts
 from docsift.plans import duck as D
 from docsift.plans.q_extraction import parsed_extraction
@@ -126,14 +126,21 @@ def step_status(spark, sf_dir):
 PROMPT, MODEL = "Describe the document.", "vision-model"
 
 
-@register("request_json", f"""
-select doc_id, md5('{{"model":"{MODEL}","messages":[{{"role":"user","content":[{{"type":"text","text":"{PROMPT}"}},{{"type":"image_url","image_url":{{"url":"{C.DATA_URL_PREFIX}'
-  || base64(encode(coalesce(text, ''))) || '","detail":"{LABEL_PARAMS["detail"]}"}}}}]}}],"max_tokens":{LABEL_PARAMS["max_tokens"]},"temperature":{LABEL_PARAMS["temperature"]}}}') as request_md5
-from documents""")
+def _request_sql(params) -> str:
+    """The request of one flavour, written out."""
+    return f"""'{{"model":"{MODEL}","messages":[{{"role":"user","content":[{{"type":"text","text":"{PROMPT}"}},{{"type":"image_url","image_url":{{"url":"{C.DATA_URL_PREFIX}'
+  || base64(encode(coalesce(text, ''))) || '","detail":"{params["detail"]}"}}}}]}}],"max_tokens":{params["max_tokens"]},"temperature":{params["temperature"]}}}'"""
+
+
+_FLAVOURS = {"label": LABEL_PARAMS, "extract": EXTRACT_PARAMS}
+
+
+@register("request_json", " union all ".join(f"select doc_id, '{name}' as flavour, md5({_request_sql(p)}) as request_md5 from documents" for name, p in _FLAVOURS.items()))
 def request_json(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     content = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select("doc_id", F.md5(request_body(content, PROMPT, MODEL)).alias("request_md5"))
+    each = [F.struct(F.lit(name).alias("flavour"), F.md5(request_body(content, PROMPT, MODEL, p)).alias("request_md5")) for name, p in _FLAVOURS.items()]
+    return docs.select("doc_id", F.inline(F.array(*each)))
 
 
 @register("display_values", _P + "select line_no" + "".join(
@@ -153,21 +160,48 @@ def service_calls(spark, sf_dir):
     return resolve_attempts(fixture(spark, sf_dir, "attempt_log"), "url")
 
 
-def _little_endian(n):
-    return F.concat(*[F.lpad(F.hex(F.floor(n / 256 ** i) % 256), 2, "0") for i in range(4)])
+def _number(n, size: int, big: bool = False):
+    """Hex of ``n`` in ``size`` bytes."""
+    places = range(size - 1, -1, -1) if big else range(size)
+    return F.concat(*[F.lpad(F.hex(F.floor(n / 256 ** i) % 256), 2, "0") for i in places])
+
+
+#: Formats that the written headers take in turn.
+_FORMATS = ("BMP", "PNG", "GIF", "JPEG", "WEBP")
 
 
-@register("image_headers", duckdb_cte("image_info") + """
-select file_id, case when decodable then 'BMP' end as format, case when decodable then width end as width, case when decodable then height end as height,
-  case when decodable then case when mode = 'RGBA' then 'RGBA' else 'RGB' end end as mode,
-  case when not decodable then 'cannot identify image file' end as error from image_info""")
+@register("image_headers", duckdb_cte("image_info") + f""",
+ f as (select *, [{', '.join(f"'{x}'" for x in _FORMATS)}][1 + file_id % {len(_FORMATS)}] as kind from image_info)
+select file_id, case when decodable then kind end as format, case when decodable then width end as width, case when decodable then height end as height,
+  case when decodable then case when kind = 'GIF' then 'P' when kind <> 'JPEG' and mode = 'RGBA' then 'RGBA' else 'RGB' end end as mode,
+  decodable and kind in ('PNG', 'GIF') and file_id % 2 = 0 as transparency,
+  case when not decodable then 'cannot identify image file' end as error from f""")
 def image_headers(spark, sf_dir):
+    """Headers of all five formats: PNG with and without tRNS, GIF with a comment
+    before the graphic control extension, JPEG whose frame header follows a long
+    APP segment full of markers, WebP in the extended layout."""
     info = fixture(spark, sf_dir, "image_info")
-    magic = F.when(F.col("decodable"), F.lit("424D")).otherwise(F.lit("0000"))
-    bpp = F.when(F.col("mode") == "RGBA", F.lit("2000")).otherwise(F.lit("1800"))
-    header = F.unhex(F.concat(magic, F.repeat(F.lit("00"), 16), _little_endian(F.col("width")), _little_endian(F.col("height")), F.lit("0100"), bpp))
+    w, h, rgba, marked = F.col("width"), F.col("height"), F.col("mode") == "RGBA", F.col("file_id") % 2 == 0
+
+    def either(condition, yes: str, no: str):
+        return F.when(condition, F.lit(yes)).otherwise(F.lit(no))
+
+    def text(x: str):
+        return F.lit(x.encode().hex())
+
+    zeros = F.lit("00" * 4)
+    png = F.concat(F.lit("89504E470D0A1A0A"), F.lit("0000000D"), text("IHDR"), _number(w, 4, True), _number(h, 4, True), F.lit("08"),
+                   either(rgba, "06", "02"), F.lit("000000"), zeros, F.when(marked, F.concat(F.lit("00000006"), text("tRNS"), F.lit("00" * 6), zeros)).otherwise(F.lit("")),
+                   zeros, text("IDAT"), zeros)
+    gif = F.concat(text("GIF89a"), _number(w, 2), _number(h, 2), F.lit("000000"), F.lit("21FE0361626300"),
+                   F.lit("21F904"), either(marked, "01", "00"), F.lit("00000000"), F.lit("2C"))
+    jpeg = F.concat(F.lit("FFD8FFE11000"), F.lit("FFC0" * 2047), F.lit("FFC0001108"), _number(h, 2, True), _number(w, 2, True), F.lit("03"), zeros)
+    webp = F.concat(text("RIFF"), zeros, text("WEBPVP8X"), F.lit("0A000000"), either(rgba, "10", "00"), F.lit("000000"), _number(w - 1, 3), _number(h - 1, 3))
+    bmp = F.concat(text("BM"), F.lit("00" * 16), _number(w, 4), _number(h, 4), F.lit("0100"), either(rgba, "2000", "1800"))
+    written = F.element_at(F.array(bmp, png, gif, jpeg, webp), (F.col("file_id") % len(_FORMATS) + 1).cast("int"))
+    header = F.unhex(F.when(F.col("decodable"), written).otherwise(F.lit("00" * 30)))
     return info.select("file_id", IM.header_info(header).alias("h")).select(
-        "file_id", "h.format", F.col("h.width").cast("bigint").alias("width"), F.col("h.height").cast("bigint").alias("height"), "h.mode", "h.error")
+        "file_id", "h.format", F.col("h.width").cast("bigint").alias("width"), F.col("h.height").cast("bigint").alias("height"), "h.mode", "h.transparency", "h.error")
 
 
 @register("label_records", _J + f""", e as (select *, case
