@@ -72,15 +72,25 @@ def content_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as keep them apart from the
+    columns of ``docs``, in any case."""
+    taken, mark = {c.lower() for c in docs.columns}, "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def one_row_each(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` named by ``chosen`` (id, key, n), all columns as they
     are, one for each name; n is how many rows share the id and the key. Where n
     is above one the rows are alike in id and text, and any one is taken."""
-    keyed = docs.withColumn("__key", content_key(id_col, text_col))
-    named = chosen.select(F.col("id").alias("__id"), F.col("key").alias("__k"), F.col("n").alias("__n"))
-    same = (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    single = keyed.join(named.filter("__n = 1"), same, "left_semi")
-    if named.filter("__n > 1").isEmpty():
-        return single.drop("__key")
-    repeated = keyed.join(named.filter("__n > 1"), same, "left_semi").dropDuplicates([id_col, "__key"])
-    return single.unionByName(repeated).drop("__key")
+    key, named_id, named_key, n = free_names(docs, "key", "named_id", "named_key", "n")
+    keyed = docs.withColumn(key, content_key(id_col, text_col))
+    named = chosen.select(F.col("id").alias(named_id), F.col("key").alias(named_key), F.col("n").alias(n))
+    same = (F.col(key) == F.col(named_key)) & F.col(id_col).eqNullSafe(F.col(named_id))
+    single = keyed.join(named.filter(F.col(n) == 1), same, "left_semi")
+    if named.filter(F.col(n) > 1).isEmpty():
+        return single.drop(key)
+    repeated = keyed.join(named.filter(F.col(n) > 1), same, "left_semi").dropDuplicates([id_col, key])
+    return single.unionByName(repeated).drop(key)
