@@ -54,7 +54,7 @@ def stream_accepted_urls(spark, sf_dir):
     for n in range(1, 5):
         events.filter(landing == n).select("url", "seq", "accepted").write.mode("append").parquet(p["input"])
         SJ.accepted_urls(spark, p["input"], p["sink"], p["checkpoint"]).awaitTermination()
-    return spark.read.parquet(p["sink"])
+    return spark.read.schema("url string, seq bigint, decision string").parquet(p["sink"]).select("url", "seq", "decision")
 
 
 @register("stream_label_log", duckdb_cte("model_replies") + f""", j as (select *, case

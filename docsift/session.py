@@ -94,6 +94,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession):
     """Delete the intermediate tables that this thread writes inside, at the end:
@@ -102,9 +108,7 @@ def scratch_scope(spark: SparkSession):
     try:
         yield
     finally:
-        for path in _scratch()[first:]:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove_folders(spark, _scratch()[first:])
         del _scratch()[first:]
 
 

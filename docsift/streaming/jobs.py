@@ -4,8 +4,8 @@
   (``dropDuplicates`` keeps the URL set as streaming state; with an event
   time column, ``dropDuplicatesWithinWatermark`` bounds that state).
 * ``accepted_urls``: a URL is seen only once its image is accepted; until then
-  it is in hand, and after a rejection it may come again (keyed state with a
-  timer, ``applyInPandasWithState``).
+  it is in hand, and after a rejection it may come again. A batch meets what the
+  batches before left of its URLs in one join, and windows decide it.
 * ``label_log``: model replies arriving as files become label records
   appended to a JSON log (append mode, checkpointed); ``ordered_label_log``
   numbers them over all micro-batches.
@@ -27,14 +27,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.window import Window
 
 from docsift import constants as C
 from docsift.functions import json as J
 from docsift.operators import dedup as DD
 from docsift.operators import replies as R
 from docsift.operators.numbering import with_position
-from docsift.session import scratch_scope, write_table
+from docsift.session import remove_folders, scratch_scope, write_table
 from docsift.sinks.writers import append_store
 from docsift.sources.files import store_index
 
@@ -65,9 +66,10 @@ TAKE, IN_HAND, SEEN = "take", "in_hand", "seen"
 
 
 def decide_url(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Decisions on one URL's arrivals, in the order of ``seq``. Events are arrivals
-    (``accepted`` null) and verdicts. The state is (accepted): none for a URL that is
-    new, was rejected, or whose verdict did not come in ``hold_ms``."""
+    """Decisions on one URL's arrivals, in the order of ``seq``: the rule that
+    :func:`decided` applies to all URLs of a batch, for use with Spark's keyed state. Events
+    are arrivals (``accepted`` null) and verdicts. The state is (accepted): none for a URL that
+    is new, was rejected, or whose verdict did not come in ``hold_ms``."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -91,28 +93,80 @@ def decide_url(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, h
         yield pd.DataFrame(out, columns=["url", "seq", "decision"])
 
 
+#: Every so many batches the URLs of all batches before are written together.
+ALL_URLS_EVERY = 16
+
+
+def left_urls(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """``url, accepted, until`` as the batches before ``batch_id`` leave them in ``path``:
+    true for accepted, false for in hand (until that time in ms, null: no end), null for free."""
+    schema = "url string, accepted boolean, until bigint, batch_id bigint"
+    if batch_id == 0:
+        return spark.createDataFrame([], schema).drop("batch_id")
+    parts = [f"{path}/batch_id={n}" for n in range(_all_urls_before(batch_id), batch_id)]
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*parts)
+    return rows.groupBy("url").agg(F.max_by("accepted", "batch_id").alias("accepted"), F.max_by("until", "batch_id").alias("until"))
+
+
+def _all_urls_before(batch_id: int) -> int:
+    return (batch_id - 1) // ALL_URLS_EVERY * ALL_URLS_EVERY
+
+
+def decided(events: DataFrame, left: DataFrame, hold_ms: int | None) -> DataFrame:
+    """The events (url, seq, accepted, now in ms) of a batch with the ``decision`` on an
+    arrival, whether the event is the URL's last, and then what it leaves: ``leaves``, ``until``."""
+    of_url = left.select(F.col("url").alias("_url"), F.col("accepted").alias("_left"), F.col("until").alias("_until"))
+    met = events.join(of_url, F.col("url").eqNullSafe(F.col("_url")), "left")
+    came = F.when(F.col("_left") | F.col("_until").isNull() | (F.col("_until") > F.col("now")), F.col("_left"))
+    by_seq = Window.partitionBy("url").orderBy("seq", F.col("accepted").asc_nulls_first())
+    earlier = by_seq.rowsBetween(Window.unboundedPreceding, -1)
+    good = F.coalesce("accepted", F.lit(False))
+    # before the event; true stays, else the event before decides: an arrival is in hand, a verdict frees
+    known = (F.when(F.coalesce(came, F.lit(False)) | F.coalesce(F.bool_or(good).over(earlier), F.lit(False)), True)
+             .when(F.row_number().over(by_seq) == 1, came).when(F.lag("accepted").over(by_seq).isNull(), False))
+    decision = F.when(F.col("known").isNull(), TAKE).when(F.col("known"), SEEN).otherwise(IN_HAND)
+    leaves = F.when(F.coalesce("known", F.lit(False)) | good, True).when(F.col("accepted").isNull(), False)
+    until = F.lit(None).cast("bigint") if hold_ms is None else F.when(~F.col("leaves"), F.col("now") + hold_ms)
+    return (met.withColumn("known", known).withColumn("last", F.lead("seq").over(by_seq).isNull())
+            .withColumn("leaves", leaves).withColumn("until", until).withColumn("decision", decision)
+            .select("url", "seq", "accepted", "decision", "last", "leaves", "until"))
+
+
 def accepted_urls(spark: SparkSession, source: str, sink: str, checkpoint: str, hold_ms: int | None = None, available_now: bool = True,
                   max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Events ``url, seq, accepted`` arrive as files: arrivals (``accepted`` null)
     and verdicts on the images of taken ones. ``sink`` gets ``url, seq, decision`` for
-    each arrival.
+    each arrival, by batch id; a batch that runs again replaces its own rows.
 
     Only accepted URLs become seen: one whose image was rejected (or whose verdict
     does not come within ``hold_ms``, which also frees its state) is taken again when
-    it comes again. ``seq`` orders the events of a URL within a micro-batch; a
-    verdict belongs in the batch of its arrival or a later one.
+    it comes again. ``seq`` (never null) orders the events of a URL within a micro-batch; a
+    verdict belongs in the batch of its arrival or a later one. What each batch leaves of
+    its URLs is kept beside Spark's own files in ``checkpoint``.
     """
     reader = spark.readStream.schema("url string, seq bigint, accepted boolean")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
-    def decide(key, batches, state):
-        return decide_url(key, batches, state, hold_ms)
+    seq = F.coalesce("seq", F.raise_error(F.lit("an event has no seq")).cast("bigint"))
+    # the batch's own time, the same when it runs again
+    stream = reader.parquet(source).select("url", seq.alias("seq"), "accepted", F.unix_millis(F.current_timestamp()).alias("now"))
+    kept = f"{checkpoint.rstrip('/')}/urls"
 
-    timer = GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    decided = reader.parquet(source).groupBy("url").applyInPandasWithState(
-        decide, "url string, seq bigint, decision string", "accepted boolean", "append", timer)
-    w = decided.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(spark):  # what a batch leaves is in the sink and the checkpoint
+            before = left_urls(spark, kept, batch_id)
+            rows = write_table(decided(batch, before, hold_ms), "stream-decided")
+            rows.filter(F.col("accepted").isNull()).select("url", "seq", "decision").write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+            leaves = rows.filter("last").select("url", F.col("leaves").alias("accepted"), "until")
+            if batch_id % ALL_URLS_EVERY == 0:
+                others = before.join(leaves.select(F.col("url").alias("_url")), F.col("url").eqNullSafe(F.col("_url")), "left_anti")
+                leaves = leaves.unionByName(others).filter(F.col("accepted").isNotNull())
+            leaves.write.mode("overwrite").parquet(f"{kept}/batch_id={batch_id}")
+            if batch_id % ALL_URLS_EVERY == 1:  # the batch before is through, and holds all that came before it
+                remove_folders(spark, [f"{kept}/batch_id={n}" for n in range(max(0, batch_id - 1 - ALL_URLS_EVERY), batch_id - 1)])
+
+    w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now).start()
 
 

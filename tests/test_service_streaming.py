@@ -155,3 +155,49 @@ def test_processing_order_goes_on_across_batches_and_replays(spark, tmp_dir):
     assert run() == want
     land([2])
     assert run() == want | {2: 6}
+
+
+def test_urls_of_a_batch_are_decided_as_one_by_one(spark, tmp_dir, monkeypatch):
+    """Several batches, a written state of all URLs among them, a batch that runs again."""
+    import random
+
+    import pytest
+
+    monkeypatch.setattr(SJ, "ALL_URLS_EVERY", 2)
+    rnd, src, sink, ck = random.Random(4), *(os.path.join(tmp_dir, k) for k in ("src", "sink", "ck"))
+    states, want = {}, []
+    for batch in range(5):
+        rows = [(rnd.choice([*"abcdefgh", None]), 10 * batch + i // 9, rnd.choice([None, None, True, False, False])) for i in range(45)]
+        rows = list({(u, s): (u, s, v) for u, s, v in rows}.values())
+        spark.createDataFrame(rows, "url string, seq bigint, accepted boolean").write.mode("append").parquet(src)
+        SJ.accepted_urls(spark, src, sink, ck).awaitTermination()
+        for url in {r[0] for r in rows}:
+            state = states.setdefault(url, _State())
+            want += [(url, *d) for d in _decide_as(url, state, [r[1:] for r in rows if r[0] == url])]
+    read = lambda: sorted((tuple(r) for r in spark.read.parquet(sink).select("url", "seq", "decision").collect()), key=repr)
+    assert read() == sorted(want, key=repr)
+    for name in ("4", ".4.crc"):
+        os.rename(os.path.join(ck, "commits", name), os.path.join(tmp_dir, f"lost-{name}"))
+    SJ.accepted_urls(spark, src, sink, ck).awaitTermination()
+    assert read() == sorted(want, key=repr)
+    assert not os.path.exists(os.path.join(ck, "urls", "batch_id=0")) and os.path.exists(os.path.join(ck, "urls", "batch_id=4"))
+    with pytest.raises(Exception, match="an event has no seq"):
+        spark.createDataFrame([("a", None, None)], "url string, seq bigint, accepted boolean").write.mode("append").parquet(src)
+        SJ.accepted_urls(spark, src, sink, ck).awaitTermination()
+
+
+def _decide_as(url, state, events):
+    import pandas as pd
+
+    frame = pd.DataFrame(events, columns=["seq", "accepted"]).astype({"accepted": "object"})
+    return [(r.seq, r.decision) for f in SJ.decide_url((url,), iter([frame]), state, None) for r in f.itertuples()]
+
+
+def test_urls_are_decided_without_a_python_call_each(spark):
+    events = spark.createDataFrame([("a", 1, None, 0)], "url string, seq bigint, accepted boolean, now bigint")
+    left = spark.createDataFrame([("a", False, 5)], "url string, accepted boolean, until bigint")
+    found = SJ.decided(events, left, 7)
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert [(r.decision, r.last, r.leaves, r.until) for r in found.collect()] == [(SJ.IN_HAND, True, False, 7)]
+    late = SJ.decided(events.withColumn("now", F.lit(5).cast("bigint")), left, 7)
+    assert [(r.decision, r.until) for r in late.collect()] == [(SJ.TAKE, 12)]
