@@ -64,7 +64,9 @@ def collapse_exact(rows: DataFrame) -> DataFrame:
 
 def node_pairs(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
     """``(node_a, node_b, distance)`` with node_a < node_b and distance <= threshold."""
-    return (near_pairs(nodes, threshold=threshold, id_col="node", hash_col="hash")
+    nodes = write_table(nodes.select("node", "hash"), "dedup-nodes")
+    n = nodes.count()
+    return (near_pairs(nodes, None, threshold, "node", agree=agreeing(n), n=n)
             .select(F.col("id_a").alias("node_a"), F.col("id_b").alias("node_b"), "distance"))
 
 
@@ -105,7 +107,7 @@ def assign(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
         wave = wave if lo is None else wave.filter(F.col("node") > lo)
         wave = wave if hi is None else wave.filter(F.col("node") <= hi)
         if leaders is not None:
-            found = near_pairs(wave, leaders.select(F.col("hash").alias("node"), "hash"), threshold, "node", agree=agree)
+            found = near_pairs(wave, leaders.select(F.col("hash").alias("node"), "hash"), threshold, "node", agree=agree, n=n)
             of_hash = leaders.select(F.col("hash").alias("id_b"), F.col("node").alias("leader"))
             hits = write_table(found.join(of_hash, "id_b").groupBy(F.col("id_a").alias("node")).agg(F.min("leader").alias("leader")), "dedup-hits")
             owners.append(hits)

@@ -12,6 +12,11 @@ band of ten bits. A larger ``agree`` gives more and longer keys.
 A pair that agrees on several combinations is emitted only for the first, so
 no ``distinct`` (and no extra shuffle) follows. Exact copies must be collapsed
 before (``dedup.collapse_exact``). A hot key is split by AQE's skew join.
+
+The keys are joined by shuffles, never by broadcast: Spark takes them for no larger
+than the hashes they are made from, and would send them through the driver. A
+join of many hashes takes the combinations in several passes, so that a task
+sorts the keys of one pass at a time.
 """
 
 from __future__ import annotations
@@ -22,9 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift import constants as C
+from docsift.operators.joins import shuffled
 
 #: Blocks that near hashes must agree on.
 AGREE = 3
+#: Key rows of one side that a pass aims at; a pass has at least one combination.
+PASS_KEYS = 1 << 23
 
 
 def _signed(mask: int) -> int:
@@ -45,11 +53,18 @@ def blocks(threshold: int, agree: int = AGREE, bits: int = C.HASH_BITS) -> list[
     return out
 
 
-def key_rows(df: DataFrame, hash_col: str, threshold: int, agree: int = AGREE) -> DataFrame:
+def passes(n: int | None, threshold: int, agree: int = AGREE) -> list[list[tuple[int, ...]]]:
+    """The block combinations for a join of (at most) ``n`` hashes a side, by pass."""
+    every = list(combinations(range(threshold + agree), agree))
+    size = len(every) if n is None else max(1, PASS_KEYS // max(1, n))
+    return [every[i:i + size] for i in range(0, len(every), size)]
+
+
+def key_rows(df: DataFrame, hash_col: str, threshold: int, agree: int = AGREE, combos: list[tuple[int, ...]] | None = None) -> DataFrame:
     """One row per (input row, combination): ``combo`` (block set), ``key`` (masked hash)."""
     masks = blocks(threshold, agree)
     keys = []
-    for chosen in combinations(range(len(masks)), agree):
+    for chosen in combos or combinations(range(len(masks)), agree):
         mask = sum(masks[i] for i in chosen)
         keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).cast("long").alias("combo"),
                              F.col(hash_col).bitwiseAND(F.lit(_signed(mask)).cast("long")).alias("key")))
@@ -70,24 +85,29 @@ def first_combination(x: Column, threshold: int, agree: int = AGREE) -> Column:
 
 
 def candidates(left: DataFrame, right: DataFrame | None = None, threshold: int = C.DEFAULT_THRESHOLD,
-               id_col: str = "ord", hash_col: str = "hash", agree: int = AGREE) -> DataFrame:
+               id_col: str = "ord", hash_col: str = "hash", agree: int = AGREE, n: int | None = None) -> DataFrame:
     """The joined rows ``id_a, h_a, id_b, h_b, combo`` before the exact check."""
-    lrows = key_rows(left.select(id_col, hash_col), hash_col, threshold, agree)
-    rrows = lrows if right is None else key_rows(right.select(id_col, hash_col), hash_col, threshold, agree)
-    a = lrows.select(F.col(id_col).alias("id_a"), F.col(hash_col).alias("h_a"), "combo", "key")
-    b = rrows.select(F.col(id_col).alias("id_b"), F.col(hash_col).alias("h_b"), "combo", "key")
-    j = a.join(b, ["combo", "key"])
-    return j.filter(F.col("id_a") < F.col("id_b")) if right is None else j
+    found = None
+    for combos in passes(n, threshold, agree):
+        lrows = key_rows(left.select(id_col, hash_col), hash_col, threshold, agree, combos)
+        rrows = lrows if right is None else key_rows(right.select(id_col, hash_col), hash_col, threshold, agree, combos)
+        a = lrows.select(F.col(id_col).alias("id_a"), F.col(hash_col).alias("h_a"), "combo", "key")
+        b = rrows.select(F.col(id_col).alias("id_b"), F.col(hash_col).alias("h_b"), "combo", "key")
+        j = a.join(shuffled(b), ["combo", "key"])
+        found = j if found is None else found.unionByName(j)
+    return found.filter(F.col("id_a") < F.col("id_b")) if right is None else found
 
 
 def near_pairs(left: DataFrame, right: DataFrame | None = None, threshold: int = C.DEFAULT_THRESHOLD,
-               id_col: str = "ord", hash_col: str = "hash", agree: int = AGREE) -> DataFrame:
+               id_col: str = "ord", hash_col: str = "hash", agree: int = AGREE, n: int | None = None) -> DataFrame:
     """Pairs ``(id_a, id_b, distance)`` with ``distance <= threshold``.
 
     Without ``right`` it is a self-join and each unordered pair appears once
-    with ``id_a < id_b``. Rows must have distinct hashes within each side.
+    with ``id_a < id_b``. Rows must have distinct hashes within each side. With
+    ``n``, the (most) hashes of a side, a join of many takes several passes; the
+    sides must then be cheap to read again (written tables).
     """
     x = F.col("h_a").bitwiseXOR(F.col("h_b"))
-    return (candidates(left, right, threshold, id_col, hash_col, agree).withColumn("distance", F.bit_count(x))
+    return (candidates(left, right, threshold, id_col, hash_col, agree, n).withColumn("distance", F.bit_count(x))
             .filter((F.col("distance") <= threshold) & (first_combination(x, threshold, agree) == F.col("combo")))
             .select("id_a", "id_b", "distance"))

@@ -12,6 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must shuffle: a table that grows with the input, and
+    that Spark may take for small enough to be sent through the driver (few bytes on
+    disk, or rows that a generator multiplies)."""
+    return df.hint("merge")
+
+
 def unmatched(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of ``left`` whose key does not occur in ``right`` (NOT EXISTS)."""
     keys = [key] if isinstance(key, str) else list(key)

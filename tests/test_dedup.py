@@ -176,3 +176,16 @@ def test_blocks_by_size_give_the_same_pairs(spark, agree):
     want = sorted(tuple(r) for r in DD.node_pairs(rows, 5).collect())
     got = near_pairs(rows, None, 5, "node", agree=agree)
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) >= 60
+
+
+def test_many_hashes_are_joined_in_passes(spark, monkeypatch):
+    from docsift.operators import hamming
+
+    assert len(hamming.passes(24_000_000, 5, 3)) == 56 and len(hamming.passes(1000, 5, 1)) == 1
+    hashes, rows = _random_rows(spark, 200, 7)
+    _, rows = _random_rows(spark, 200, 7, near_to=hashes[:40])
+    want = sorted(tuple(r) for r in near_pairs(rows, None, 5, "node").collect())
+    monkeypatch.setattr(hamming, "PASS_KEYS", 500)
+    got = near_pairs(rows, None, 5, "node", agree=2, n=240)
+    assert len(hamming.passes(240, 5, 2)) == 11
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) >= 40
