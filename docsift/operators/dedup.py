@@ -28,6 +28,7 @@ from docsift.functions.hashing import bits_to_long
 from docsift.operators.greedy import greedy
 from docsift.operators.hamming import AGREE, near_pairs
 from docsift.operators.hash_index import HashIndex
+from docsift.operators.joins import shuffled
 from docsift.session import write_table
 
 #: Nodes in the first wave, and how much larger each next one is. A wave is
@@ -109,11 +110,11 @@ def assign(nodes: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
         if leaders is not None:
             found = near_pairs(wave, leaders.select(F.col("hash").alias("node"), "hash"), threshold, "node", agree=agree, n=n)
             of_hash = leaders.select(F.col("hash").alias("id_b"), F.col("node").alias("leader"))
-            hits = write_table(found.join(of_hash, "id_b").groupBy(F.col("id_a").alias("node")).agg(F.min("leader").alias("leader")), "dedup-hits")
+            hits = write_table(found.join(shuffled(of_hash), "id_b").groupBy(F.col("id_a").alias("node")).agg(F.min("leader").alias("leader")), "dedup-hits")
             owners.append(hits)
-            wave = write_table(wave.join(hits.select("node"), "node", "left_anti"), "dedup-wave")
-        pairs = write_table(near_pairs(wave, None, threshold, "node", agree=agree).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")), "dedup-pairs")
-        led = wave.join(greedy(pairs).withColumnRenamed("id", "node"), "node", "left")
+            wave = write_table(wave.join(shuffled(hits.select("node")), "node", "left_anti"), "dedup-wave")
+        pairs = write_table(near_pairs(wave, None, threshold, "node", agree=agree, n=n).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")), "dedup-pairs")
+        led = wave.join(shuffled(greedy(pairs).withColumnRenamed("id", "node")), "node", "left")
         led = write_table(led.select("node", F.coalesce("leader", "node").alias("leader"), "hash"), "dedup-owners")
         owners.append(led.select("node", "leader"))
         fresh = led.filter(F.col("node") == F.col("leader")).select("node", "hash")
@@ -134,22 +135,22 @@ def dedup_plan(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFra
     owners = assign(nodes, threshold)
     lead_files = nodes.select(F.col("node").alias("leader"), F.col("file_ord").alias("leader_file"),
                               F.col("hash").alias("leader_hash"))
-    per_row = with_hash(rows).join(nodes.select("hash", "node"), "hash")
-    return (per_row.join(owners, "node").join(lead_files, "leader")
+    per_row = with_hash(rows).join(shuffled(nodes.select("hash", "node")), "hash")
+    return (per_row.join(shuffled(owners), "node").join(shuffled(lead_files), "leader")
             .withColumn("keep", F.col("ord") == F.col("leader_file")))
 
 
 def leaders(rows: DataFrame, threshold: int = C.DEFAULT_THRESHOLD) -> DataFrame:
     nodes = write_table(collapse_exact(rows), "dedup-nodes")
     owners = assign(nodes, threshold)
-    return owners.filter(F.col("node") == F.col("leader")).join(nodes, "node").select(
+    return owners.filter(F.col("node") == F.col("leader")).join(shuffled(nodes), "node").select(
         F.col("node").alias("ord"), "bits")
 
 
 def groups(plan: DataFrame) -> DataFrame:
     """Long-form groups of more than one file: ``leader, member, group_size``."""
     sizes = plan.groupBy("leader").agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > 1)
-    return plan.join(sizes, "leader").select("leader", F.col("ord").alias("member"), "group_size")
+    return plan.join(shuffled(sizes), "leader").select("leader", F.col("ord").alias("member"), "group_size")
 
 
 def removed(plan: DataFrame) -> DataFrame:
@@ -176,12 +177,13 @@ def incremental(batch: DataFrame, store: DataFrame | HashIndex | None, threshold
         known = store.near(nodes, but_batch)
     elif store is not None:
         stored = write_table(with_hash(store).select("hash").distinct(), "dedup-stored")
-        agree = agreeing(max(nodes.count(), stored.count()))
-        known = near_pairs(nodes.select("node", "hash"), stored.select(F.col("hash").alias("node"), "hash"), threshold, "node", agree=agree).select(F.col("id_a").alias("node")).distinct()
-    free = nodes if known is None else write_table(nodes.join(known, "node", "left_anti"), "dedup-free")
+        n = max(nodes.count(), stored.count())
+        agree = agreeing(n)
+        known = near_pairs(nodes.select("node", "hash"), stored.select(F.col("hash").alias("node"), "hash"), threshold, "node", agree=agree, n=n).select(F.col("id_a").alias("node")).distinct()
+    free = nodes if known is None else write_table(nodes.join(shuffled(known), "node", "left_anti"), "dedup-free")
     owners = assign(free, threshold)
     new_nodes = owners.filter(F.col("node") == F.col("leader")).select("node")
-    per_row = with_hash(batch).join(nodes.select("hash", "node"), "hash")
-    is_new = per_row.join(new_nodes.withColumn("n", F.lit(True)), "node", "left")
+    per_row = with_hash(batch).join(shuffled(nodes.select("hash", "node")), "hash")
+    is_new = per_row.join(shuffled(new_nodes.withColumn("n", F.lit(True))), "node", "left")
     return is_new.select("ord", F.when(F.coalesce("n", F.lit(False)) & (F.col("ord") == F.col("node")),
                                        F.lit("new")).otherwise(F.lit("duplicate")).alias("status"))

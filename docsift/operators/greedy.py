@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.operators.joins import shuffled
 from docsift.session import ensure_checkpoint_dir, write_table
 
 #: Edges that one task may walk (a bounded rest, some megabytes).
@@ -52,14 +53,14 @@ def greedy(edges: DataFrame) -> DataFrame:
     kept_parts: list[DataFrame] = []
     while e.count() > WALK_EDGES:
         nodes = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
-        kept = write_table(nodes.join(e.select(F.col("dst").alias("id")), "id", "left_anti"), "greedy-kept")
-        removed = e.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        kept = write_table(nodes.join(shuffled(e.select(F.col("dst").alias("id"))), "id", "left_anti"), "greedy-kept")
+        removed = e.join(shuffled(kept.withColumnRenamed("id", "src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         gone = write_table(kept.union(removed), "greedy-gone")
-        e = write_table(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
-                        .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "greedy-edges")
+        e = write_table(e.join(shuffled(gone.withColumnRenamed("id", "src")), "src", "left_anti")
+                        .join(shuffled(gone.withColumnRenamed("id", "dst")), "dst", "left_anti"), "greedy-edges")
         # a node whose edges all went with this round is free, and so kept
         left = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
-        free = nodes.join(gone, "id", "left_anti").join(left, "id", "left_anti")
+        free = nodes.join(shuffled(gone), "id", "left_anti").join(shuffled(left), "id", "left_anti")
         kept_parts.append(write_table(kept.union(free), "greedy-kept"))
     walked = e.repartition(1).mapInArrow(_walk, "id long, leader long")
     if not kept_parts:
@@ -68,5 +69,5 @@ def greedy(edges: DataFrame) -> DataFrame:
     for p in kept_parts:
         kept = kept.union(p)
     kept = write_table(kept, "greedy-kept")
-    owned = every.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    owned = every.join(shuffled(kept.withColumnRenamed("id", "src")), "src", "left_semi").join(shuffled(kept.withColumnRenamed("id", "dst")), "dst", "left_anti")
     return kept.select("id", F.col("id").alias("leader")).union(owned.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("leader")))

@@ -189,3 +189,13 @@ def test_many_hashes_are_joined_in_passes(spark, monkeypatch):
     got = near_pairs(rows, None, 5, "node", agree=2, n=240)
     assert len(hamming.passes(240, 5, 2)) == 11
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) >= 40
+
+
+def test_no_table_of_hashes_or_owners_is_sent_through_the_driver(spark):
+    """Written tables are small on disk, and Spark takes keys for as small as the hashes."""
+    rnd = random.Random(9)
+    rows = spark.createDataFrame([(i, _bits(rnd.getrandbits(64))) for i in range(700)], "ord long, bits string")
+    plan = DD.dedup_plan(rows, 5)
+    nodes = write_table(DD.collapse_exact(rows), "test-nodes")
+    for df in (DD.groups(plan), DD.removed(plan), DD.leaders(rows, 5), DD.node_pairs(nodes, 5), near_pairs(nodes, nodes, 5, "node")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
